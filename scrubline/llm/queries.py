@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, exact_dedup, language_id, license_scan, media_ts, quality
+from . import bpe, chat_format, exact_dedup, language_id, license_scan, media_ts, quality, suffix_dedup
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_language_id": language_id.op3_language_id,
     "op5_bpe": bpe.op5_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_media_ts": media_ts.op9_media_ts,
     "op10_quality": quality.op10_quality,
