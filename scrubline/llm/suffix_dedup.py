@@ -33,8 +33,10 @@ from .wordhash import BASE, BYTE_VALUE, mix, powers
 WINDOW = 50
 GRAM = 20
 #: Bytes hashed at once, and anchors gathered before a map task sends them.
-CHUNK_BYTES = 2_000_000
-FLUSH_ANCHORS = 1_000_000
+CHUNK_BYTES = 400_000
+FLUSH_ANCHORS = 400_000
+#: Buckets of suffixes for each shuffle partition; a worker holds one bucket at a time.
+BUCKETS_PER_PARTITION = 3
 _LAST = np.iinfo(np.int64).max  # stands for a null id
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -64,7 +66,9 @@ def anchors(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.
     value[~inside] = BYTE_VALUE[256]
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(value * up[:n], out=sums[1:])
+    value *= up[:n]
+    np.cumsum(value, out=sums[1:])
+    del value, inside
     none = np.empty(0, np.int64)
     if n < window + 2 * reach:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -165,7 +169,8 @@ def _sender(window: int, gram: int, buckets: int):
         for d, ranges in _per_doc(doc[~keep], np.maximum(place[~keep] - reach, 0), place[~keep] + window):
             rows.append((int(np.uint64(marks[d]) % np.uint64(buckets)), 0, ids[d : d + 1].tobytes(), marks[d : d + 1].tobytes(), ranges.tobytes()))
         doc, place, g, around = doc[keep], place[keep], g[keep], around[keep]
-        bucket = ((g >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        # anchors have small hashes, being minima; mixed again they spread evenly
+        bucket = (mix(g & _LOW48) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((place, doc, bucket))
         doc, place, g, around, bucket = doc[order], place[order], g[order], around[order], bucket[order]
         cut = np.flatnonzero(_runs(bucket))
@@ -398,7 +403,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(partitions(spark), docs.rdd.getNumPartitions())
+    buckets = BUCKETS_PER_PARTITION * max(partitions(spark), docs.rdd.getNumPartitions())
     sent = docs.mapInArrow(_sender(window, gram, buckets), _SENT)
     first = settle(sent.groupBy("bucket").applyInArrow(_leaves(window, gram), _SPAN))
     del sent
