@@ -33,7 +33,15 @@ def settle(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrubline-ckpt-"))
-    return df.checkpoint(eager=True)
+    # the shuffle files behind a checkpoint are of no more use; a lost one would be computed again
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        again = df.select("*")
+        return again.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:
