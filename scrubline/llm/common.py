@@ -44,6 +44,13 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for written tables that the cluster shares: the checkpoint folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        settle(spark.range(1).toDF("x"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, exact_dedup, language_id, license_scan, media_ts, quality, suffix_dedup
+from . import bpe, chat_format, exact_dedup, language_id, license_scan, media_ts, near_dedup, packing, quality, suffix_dedup
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_language_id": language_id.op3_language_id,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
