@@ -28,11 +28,13 @@ from .wordhash import mix, shingles
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Sets below SMALL are banded by size class, with about SMALL_ROWS members in a band.
-SMALL, SMALL_ROWS = 256, 4.5
+SMALL, SMALL_ROWS = 256, 5.0
+#: A band needs so many used registers; below TINY members (where equal sets are one member) two do.
+LEAST_USED, TINY = 3, 12
 #: An estimate so far below the threshold is out of reach of six standard errors.
 MARGIN = 6 * (0.25 * 0.64 / REGISTERS) ** 0.5
 _U = np.uint64
@@ -66,6 +68,23 @@ def accidental(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     return n1 * n2 / (n1 + n2) ** 2 / (2 * np.log(2) * 2**MANTISSA)
 
 
+#: Bits of a set's parity bitmap.
+BITMAP = 1024
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Which of BITMAP cells an odd number of members falls in, as bytes.
+
+    Two bitmaps differ in at most as many cells as their sets differ in members.
+    """
+    return np.packbits((np.bincount((s & _U(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8), bitorder="little")
+
+
+def most_similar(apart: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """The largest Jaccard similarity of sets of these sizes with so many members in just one, or more."""
+    return np.maximum(n1 + n2 - apart, 0) / np.maximum(n1 + n2 + apart, 1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of registers, corrected for accidental equality."""
     either = ((a > 0) | (b > 0)).sum(1)
@@ -74,6 +93,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np
     return np.clip((same / np.maximum(either, 1) - p) / (1 - p), 0.0, 1.0)
 
 
+def low_bits(regs: np.ndarray) -> np.ndarray:
+    """One bit of every register as longs, 64 registers each: unrelated registers agree in half of them."""
+    bits = np.zeros((len(regs), -(-REGISTERS // 64) * 64), np.uint8)
+    bits[:, :REGISTERS] = regs & 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+LONGS = -(-REGISTERS // 64)
+
+
 def _classes(n: int) -> list[int]:
     c = int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
     return [c, c + 1]
@@ -93,22 +122,23 @@ def _subset(c: int) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray, n: int) -> np.ndarray:
-    """The keys of a set: bands without any used register have none."""
+    """The keys of a set: bands with too few used registers, which would meet by chance, have none."""
     mixed = np.where(regs > 0, mix(regs.astype(np.uint64) * _SALT + _SALT), _U(0))
     keys = []
     if n >= SMALL:
         sums = mixed.reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
-        keys.append(mix(sums[sums > 0] + _SALT[np.flatnonzero(sums > 0)]))
+        used = np.flatnonzero((mixed > 0).reshape(BANDS, ROWS).sum(1) >= LEAST_USED)
+        keys.append(mix(sums[used] + _SALT[used]))
     if n * THRESHOLD < SMALL:
         for c in _classes(n):
             sums = np.where(_subset(c), mixed[None, :], _U(0)).sum(1, dtype=np.uint64)
-            used = np.flatnonzero(sums > 0)
+            used = np.flatnonzero((_subset(c) & (regs > 0)[None, :]).sum(1) >= (LEAST_USED if 1.25**c > TINY else 2))
             keys.append(mix(sums[used] + _SALT[used] * _U(2 * c + 3)))
     return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, m1, m2, regs): set size, 128 bits that name the set, registers."""
+    """(doc_id, n, m1, m2, regs, map): set size, 128 bits that name the set, registers, parity bitmap."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
@@ -117,18 +147,20 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in it:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                n, m1, m2, regs = [], [], [], []
+                n, m1, m2, regs, maps = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = shingles(t, words)
                     n.append(len(s))
                     m1.append(mix(s ^ _U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64))
                     m2.append(mix(s + _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64))
                     regs.append(registers(s).tobytes())
+                    maps.append(bitmap(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "m1", "m2", "regs"]
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), pa.array(regs, pa.binary()), pa.array(maps, pa.binary())],
+                    ["doc_id", "n", "m1", "m2", "regs", "map"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, m1 long, m2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, m1 long, m2 long, regs binary, map binary")
 
 
 def _keyed(members: DataFrame) -> DataFrame:
@@ -156,13 +188,14 @@ def _estimated(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFr
                 continue
             a, b, n1, n2 = (batch.column(i).to_numpy() for i in range(4))
             r1, r2 = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-            most = np.minimum(estimate(r1, r2, n1, n2) + MARGIN, np.minimum(n1, n2) / np.maximum(n1, n2))
+            b1, b2 = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, BITMAP // 64) for i in (6, 7))
+            sure = most_similar(np.bitwise_count(b1 ^ b2).sum(1, dtype=np.int64), n1, n2)
+            most = np.minimum(np.minimum(sure, estimate(r1, r2, n1, n2) + MARGIN), np.minimum(n1, n2) / np.maximum(n1, n2))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(1.0 - np.minimum(most, 1.0)), pa.array(most >= threshold - 1e-9)], ["a", "b", "low", "open"])
 
-    slim = members.select("id", "n", "regs")
-    left = slim.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("regs").alias("r1"))
-    right = slim.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("r2"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long, low double, open boolean")
+    left = members.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("regs").alias("r1"), F.col("map").alias("b1"))
+    right = members.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("r2"), F.col("map").alias("b2"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "r1", "r2", "b1", "b2").mapInArrow(run, "a long, b long, low double, open boolean")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -204,6 +237,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int,
     return settle(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, low double, high double, linked boolean"))
 
 
+def _with_bits(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (id, ...) with n, used (registers), their low bits as longs s0, s1, ..., and the bitmap as longs t0, t1, ..."""
+    import pyarrow as pa
+
+    names = [*(f"s{i}" for i in range(LONGS)), *(f"t{i}" for i in range(BITMAP // 64))]
+
+    def run(it):
+        for batch in it:
+            if batch.num_rows:
+                regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                maps = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8").reshape(-1, BITMAP // 64)
+                longs = np.concatenate([low_bits(regs), maps], 1)
+                columns = [pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((regs > 0).sum(1).astype(np.int32)), *columns], ["id", "n", "used", *names])
+
+    wanted = members.select("id", "n", "regs", "map").join(rows.select("id").distinct(), "id", "left_semi")
+    return rows.join(wanted.mapInArrow(run, "id long, n long, used int, " + ", ".join(f"{x} long" for x in names)), "id")
+
+
+def _plausible(x: str, y: str, threshold: float):
+    """A join condition: whether sizes, bitmaps and low bits allow a link of two members.
+
+    Sizes and bitmaps are exact bounds. The low bits are beyond six standard errors.
+    """
+
+    def apart(letter: str, n: int):
+        counts = [F.bit_count(F.col(f"{x}.{letter}{i}").bitwiseXOR(F.col(f"{y}.{letter}{i}"))) for i in range(n)]
+        return sum(counts[1:], counts[0])
+
+    k = F.greatest(f"{x}.used", f"{y}.used") / F.lit(threshold)
+    p = (1 - threshold) / 2
+    sizes = F.least(f"{x}.n", f"{y}.n") >= F.greatest(f"{x}.n", f"{y}.n") * F.lit(threshold - 1e-9)
+    maps = apart("t", BITMAP // 64) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
+    return sizes & maps & (apart("s", LONGS) <= k * p + 6 * F.sqrt(k * p * (1 - p)) + 3)
+
+
 def _tested(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
     """(a, b, low, high, linked) of every given pair: bounds of its distance, and whether it is a link."""
     guess = settle(_estimated(pairs, members, threshold))
@@ -242,7 +311,7 @@ def _split_keys(rows: DataFrame) -> DataFrame:
 
 
 def find_components(docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(id, comp) of all members with a link; members: one row (id, n, m1, m2, regs) per distinct set."""
+    """(id, comp) of all members with a link; members: one row (id, n, m1, m2, regs, map) per distinct set."""
     bands = _keyed(members)
     groups = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     rows = settle(bands.join(groups.select("key", "pivot"), "key"))
@@ -267,14 +336,19 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, threshold:
         rest = rest.withColumns(
             {f"low{name}": F.when(same, 0.0).otherwise(F.coalesce(f"low{name}", F.lit(0.0))), f"high{name}": F.when(same, 0.0).otherwise(F.coalesce(f"high{name}", F.lit(1.0)))}
         )
-    rest = settle(rest.select("key", "id", "comp", "low1", "high1", "low2", "high2"))
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = rest.select("key", "id", "comp", "low1", "high1", "low2", "high2")
+    rest = settle(_with_bits(rest, members))
+    # under each key the largest component is met by all others, not by itself
+    main = rest.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    rest = rest.join(main, "key")
+    x, y = rest.where("comp <> main").alias("x"), rest.alias("y")
     reach = F.lit(1.0 - threshold + 1e-9)
-    near = F.lit(True)
+    near = _plausible("x", "y", threshold)
     for k in "12":
         near = near & (F.col(f"x.low{k}") - F.col(f"y.high{k}") <= reach) & (F.col(f"y.low{k}") - F.col(f"x.high{k}") <= reach)
-    last = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near)
-    last = last.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    last = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & near)
+    last = last.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     last = settle(last)
     if last.isEmpty():
         return comps
@@ -292,7 +366,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     sketches = settle(sketch(docs, words))
     named = sketches.where("n > 0 and doc_id is not null")
     key = ["m1", "m2", "n"]
-    groups = settle(named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last_id"), F.first("regs").alias("regs"), F.count(F.lit(1)).alias("size")))
+    groups = settle(named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last_id"), F.first("regs").alias("regs"), F.first("map").alias("map"), F.count(F.lit(1)).alias("size")))
     comps = find_components(docs, groups, words, threshold)
     # rows -> their set's smallest id -> its component; large groups of equal sets are few and broadcast
     total = sketches.count()
