@@ -25,7 +25,9 @@ from .common import table, text_or_empty
 
 #: Words are runs of [0-9A-Za-z] and non-ASCII characters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same as [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+; Java matches the positive form 20 times as fast.
+LETTER = r"[0-9A-Za-z\x80-\x{10FFFF}]"
+WORD = LETTER + "+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The base phrases, each ending in "license", and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -50,7 +52,8 @@ def vocabulary(templates: dict[str, str]) -> list[str]:
 
 def _any_word(words: list[str]) -> str:
     """A pattern that finds any of these lower-case words, standing alone, in either case."""
-    return f"(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])(?i:{'|'.join(map(re.escape, words))})(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
+    either = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+    return f"(?<!{LETTER})(?:{either})(?!{LETTER})"
 
 
 def _lower(col: Column) -> Column:
