@@ -1,4 +1,420 @@
-"""Registered queries of the sanitization operators and their SQL."""
+"""Registered queries of the sanitization operators and their SQL.
 
-QUERIES = {}
-ORACLES = {}
+The tables hold few natural hits, so most queries run over ``documents`` with a suffix made from
+doc_id, by one expression that both dialects read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrubline.functions import scalars as S
+from scrubline.operators import decide as D
+from scrubline.operators import gate as G
+from scrubline.operators import report as R
+from scrubline.operators import rewrite as W
+from scrubline.operators.catalog import DETECTORS
+from scrubline.operators.detect import blocking, findings, matches
+from scrubline.sources import archive, lint, vault
+from scrubline.streaming.sanitize import sanitize_stream
+
+TERMS = ("Example Foundry", "risk sk-a", "ba", "aa")
+
+_ID = "CAST(doc_id AS STRING)"
+AUGMENTED = f"""coalesce(text, '') || CASE CAST(doc_id % 9 AS INT)
+ WHEN 0 THEN ' 電郵a.b' || {_ID} || '@example.com請 10.2.3.' || CAST(doc_id % 256 AS STRING) || ' x' || {_ID} || '@mail.example.org'
+ WHEN 1 THEN ' tel 0912-345-' || right('00' || {_ID}, 3) || ' 1' || '0912345678 0987 654 321'
+ WHEN 2 THEN ' 身分A1' || right('0000000' || {_ID}, 8) || '號 B2' || right('0000000' || {_ID}, 8) || 'x C212345678'
+ WHEN 3 THEN ' host 192.168.' || CAST(doc_id % 256 AS STRING) || '.7.9 256.1.1.1 1.2.3.4.5'
+ WHEN 4 THEN ' Password : "synthetic-' || {_ID} || '-pass" api_key = sk-abcdefghijklmnopqrst' || {_ID}
+ WHEN 5 THEN ' sk-abcdefghijklmnop_' || right('0000000' || {_ID}, 7) || '-- Example Foundry baaa'
+ WHEN 6 THEN ' ghp_abcdefghijklmnop' || right('000000' || {_ID}, 6) || ' risk sk-abcdefghijklmnopqrstuv'
+ WHEN 7 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || {_ID} || chr(10) || '-----END EC PRIVATE KEY----- passwd:abcdefgh' || {_ID}
+ ELSE '' END"""
+_DUCK_AUGMENTED = AUGMENTED.replace(" AS STRING)", " AS VARCHAR)")
+
+
+def augmented(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("source_id"), F.expr(AUGMENTED).alias("text"), "lang", "source")
+
+
+def found(spark, d: str) -> DataFrame:
+    return findings(augmented(spark, d), "source_id", terms=TERMS)
+
+
+#: The action of each type; reasons and replacements come with it.
+_ACTION = """CASE WHEN {t} IN ('private-key', 'api-token', 'credential') THEN 'delete' WHEN {t} = 'ip-address' THEN 'keep'
+ WHEN {t} = 'phone' THEN 'generalize' ELSE 'tokenize' END"""
+
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """Two decisions for each finding, of which the later counts; sources divisible by 10 leave their high findings open."""
+    base = rows.where("NOT (source_id % 10 = 0 AND severity = 'high')").select("source_id", "finding_id", "type", "start")
+    first = base.select("source_id", "finding_id", F.lit(1).alias("seq"), F.lit("keep").alias("action"), F.lit(None).cast("string").alias("token_label"), F.lit(None).cast("string").alias("replacement"), F.lit("first").alias("reason"))
+    second = base.select(
+        "source_id",
+        "finding_id",
+        F.lit(2).alias("seq"),
+        F.expr(_ACTION.format(t="type")).alias("action"),
+        F.expr("CASE WHEN type = 'taiwan-id' THEN ' staff id! ' ELSE '' END").alias("token_label"),
+        F.expr("CASE WHEN type = 'phone' THEN '  a phone ' END").alias("replacement"),
+        F.expr("CASE WHEN type = 'ip-address' THEN 'internal' END").alias("reason"),
+    )
+    return first.unionByName(second)
+
+
+def decided(spark, d: str) -> DataFrame:
+    rows = found(spark, d)
+    return D.decide(rows, decisions(rows))
+
+
+def transformed(spark, d: str) -> DataFrame:
+    return W.transform(augmented(spark, d), decided(spark, d))
+
+
+# -- the SQL side --------------------------------------------------------------------------------
+_SPACE = r"\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_OCT = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_PEM = "(?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
+#: The detectors' patterns as DuckDB's RE2 takes them, whose \b is ASCII; the phone has its own scan.
+_RE2 = {
+    "private-key-block": rf"-----BEGIN {_PEM}(?s:.)*?-----END {_PEM}",
+    "openai-style-token": r"\bsk-[A-Za-z0-9_-]{20,}\b",
+    "github-token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    "credential-assignment": rf"(?i)\b(?:password|passwd|api[_-]?key|access[_-]?token|client[_-]?secret)[{_SPACE}]*[:=][{_SPACE}]*[\"'']?[^{_SPACE}\"'']{{8,}}",
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "taiwan-id": r"\b[A-Z][12][0-9]{8}\b",
+    "ipv4": rf"\b{_OCT}(?:\.{_OCT}){{3}}\b",
+}
+
+
+def _scan_sql(name: str, kind: str, severity: int, ord: int, table: str = "a") -> str:
+    """Rows (id, st, en, sev, ord, typ, det, v) of one detector over table(id, t)."""
+    label = f"{severity} AS sev, {ord} AS ord, '{kind}' AS typ, '{name}' AS det"
+    if name == "taiwan-mobile":
+        return f"""SELECT id, i - 1 AS st, i - 1 + length(v) AS en, {label}, v FROM (
+  SELECT id, i, t, regexp_extract(substr(t, i, 12), '^09[0-9]{{2}}[- ]?[0-9]{{3}}[- ]?[0-9]{{3}}') AS v FROM (
+    SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM {table} WHERE contains(t, '09')) WHERE substr(t, i, 2) = '09')
+ WHERE v <> '' AND NOT regexp_matches(substr(t, i + length(v), 1), '[0-9]') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[0-9]'))"""
+    p = _RE2[name]
+    return f"""SELECT id, st, st + length(v) AS en, {label}, v FROM (
+  SELECT id, m[i] AS v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS st
+  FROM (SELECT id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM {table})))"""
+
+
+def _term_sql(term: str, ord: int, table: str = "a") -> str:
+    return f"""SELECT id, st, st + {len(term)} AS en, 2 AS sev, {ord} AS ord, 'exact-data' AS typ, 'local-exact-data' AS det, '{term}' AS v FROM (
+  SELECT id, list_sum(list_transform(g[1:i], lambda x: length(x))) + {len(term)} * (i - 1) AS st
+  FROM (SELECT id, g, unnest(range(1, len(g))) AS i FROM (SELECT id, string_split(t, '{term}') AS g FROM {table})))"""
+
+
+_RANK = {"medium": 1, "high": 2, "critical": 3}
+
+
+def _resolved_ctes(source: str, table: str, out: str, terms=TERMS) -> str:
+    """CTEs: candidates of a table(id, t), and its resolved findings as ``out``."""
+    scans = [_scan_sql(x.name, x.kind, _RANK[x.severity], i, table) for i, x in enumerate(DETECTORS)]
+    scans += [_term_sql(t, len(DETECTORS) + i, table) for i, t in enumerate(terms)]
+    union = "\nUNION ALL\n".join(scans)
+    return f"""{table} AS ({source}), {table}_c AS (
+{union}
+), {table}_l AS (
+  SELECT id, list({{'last': en::BIGINT, 'o': [{{'st': st::BIGINT, 'en': en::BIGINT, 'sev': sev, 'typ': typ, 'det': det, 'v': v}}]}} ORDER BY st, sev DESC, en DESC, ord) AS l FROM {table}_c GROUP BY id
+), {table}_r AS (
+  SELECT id, list_reduce(l, lambda p, x: CASE WHEN x.o[1].st < p.last THEN p ELSE {{'last': x.last, 'o': list_concat(p.o, x.o)}} END).o AS o FROM {table}_l
+), {out} AS (
+  SELECT id, u.st AS st, u.en AS en, u.sev AS sev, u.typ AS typ, u.det AS det, u.v AS v,
+         CASE u.sev WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
+         substr(sha256(u.typ || chr(0) || u.st || chr(0) || u.v), 1, 16) AS fid,
+         CASE WHEN length(u.v) <= 4 THEN repeat('•', length(u.v)) ELSE left(u.v, 2) || repeat('•', least(8, length(u.v) - 4)) || right(u.v, 2) END AS masked
+  FROM (SELECT id, unnest(o) AS u FROM {table}_r)
+)"""
+
+
+_SOURCE = f"SELECT doc_id AS id, {_DUCK_AUGMENTED} AS t FROM documents"
+_FOUND = "WITH " + _resolved_ctes(_SOURCE, "a", "f")
+_DECIDED = (
+    _FOUND
+    + f""", d AS (
+  SELECT *, CASE WHEN id % 10 = 0 AND severity = 'high' THEN NULL ELSE {_ACTION.format(t='typ')} END AS action FROM f
+), s AS (
+  SELECT *, sum((action IS NULL)::INT) OVER (PARTITION BY id) AS n_open,
+         CASE WHEN action = 'tokenize' THEN CASE WHEN typ = 'taiwan-id' THEN 'STAFF-ID' ELSE upper(typ) END END AS label FROM d
+), t AS (
+  SELECT *, CASE WHEN label IS NOT NULL THEN '【' || label || '-' || printf('%02d', row_number() OVER (PARTITION BY id, label ORDER BY st)) || '】' END AS token FROM s
+), p AS (
+  SELECT *, CASE action WHEN 'delete' THEN '[REMOVED]' WHEN 'tokenize' THEN token WHEN 'generalize' THEN 'a phone' ELSE v END AS nv,
+         coalesce(lag(en) OVER (PARTITION BY id ORDER BY st), 0) AS pe FROM t WHERE n_open = 0
+), j AS (
+  SELECT p.id, string_agg(substr(a.t, pe + 1, st - pe) || nv, '' ORDER BY st) || substr(any_value(a.t), max(en) + 1) AS out,
+         count(*) FILTER (WHERE action = 'keep') AS kept, count(*) AS n, count(token) AS tokens FROM p JOIN a USING (id) GROUP BY p.id
+), o AS (
+  SELECT id, max(n_open) AS n_open FROM s GROUP BY id
+), x AS (
+  SELECT a.id AS source_id, CASE WHEN o.n_open > 0 THEN 'unresolved' ELSE 'ok' END AS status, coalesce(j.out, a.t) AS sanitized_text,
+         coalesce(kept, 0)::BIGINT AS residual_risk, coalesce(o.n_open, 0)::BIGINT AS n_unresolved, coalesce(n, 0)::BIGINT AS n_public, coalesce(tokens, 0)::BIGINT AS n_tokens
+  FROM a LEFT JOIN j USING (id) LEFT JOIN o USING (id)
+)"""
+)
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def _add(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+# one detector each, before resolution
+for _i, _det in enumerate(DETECTORS):
+
+    def _one(spark, d, det=_det, i=_i):
+        rows = augmented(spark, d).select("source_id", F.explode(matches(F.col("text"), det, i)).alias("m"))
+        return rows.select("source_id", F.col("m.start").cast("long").alias("start_at"), F.col("m.value").alias("value"))
+
+    _add("detect_" + _det.name.replace("-", "_"), _one, f"WITH a AS ({_SOURCE}) SELECT id AS source_id, st::BIGINT AS start_at, v AS value FROM ({_scan_sql(_det.name, _det.kind, _RANK[_det.severity], _i)})")
+
+
+def _dictionary(spark, d):
+    rows = found(spark, d).where("type = 'exact-data'")
+    return rows.select("source_id", F.col("start").cast("long").alias("start_at"), "value")
+
+
+_add("detect_dictionary", _dictionary, _FOUND + " SELECT id AS source_id, st AS start_at, v AS value FROM f WHERE typ = 'exact-data'")
+_add(
+    "resolve_overlaps",
+    lambda s, d: found(s, d).select("source_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "detector"),
+    _FOUND + " SELECT id AS source_id, st AS start_at, en AS end_at, det AS detector FROM f",
+)
+_add(
+    "finding_ids",
+    # the oracle's offsets are code points: rows before whose findings only BMP characters stand agree
+    lambda s, d: found(s, d).select("source_id", "finding_id", "masked_preview"),
+    _FOUND + " SELECT id AS source_id, fid AS finding_id, masked AS masked_preview FROM f",
+)
+_add(
+    "findings_by_type",
+    lambda s, d: findings(s.read.parquet(f"{d}/documents.parquet"), "doc_id").groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n")),
+    "WITH " + _resolved_ctes("SELECT doc_id AS id, coalesce(text, '') AS t FROM documents", "a", "f", ()) + " SELECT typ AS type, severity, count(*) AS n FROM f GROUP BY ALL",
+)
+_add(
+    "findings_by_lang_source",
+    lambda s, d: found(s, d).join(augmented(s, d).select("source_id", "lang", "source"), "source_id").groupBy("lang", "source", "type").agg(F.count(F.lit(1)).alias("n")),
+    _FOUND + " SELECT lang, source, typ AS type, count(*) AS n FROM f JOIN documents ON doc_id = id GROUP BY ALL",
+)
+_add(
+    "pages_scan",
+    lambda s, d: findings(s.read.parquet(f"{d}/pages.parquet"), "page_id", "html").select("source_id", "type", F.col("start").cast("long").alias("start_at"), "masked_preview"),
+    "WITH " + _resolved_ctes("SELECT page_id AS id, coalesce(html, '') AS t FROM pages", "a", "f", ()) + " SELECT id AS source_id, typ AS type, st AS start_at, masked AS masked_preview FROM f",
+)
+
+
+def _conversations(s, d):
+    rows = s.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" mail u"), F.col("conv_id").cast("string"), F.lit("@example.com")).alias("text"))
+    return findings(rows, "source_id").select("source_id", "type", "value")
+
+
+_add(
+    "conversations_scan",
+    _conversations,
+    "WITH " + _resolved_ctes("SELECT conv_id * 1000 + turn AS id, coalesce(text, '') || ' mail u' || conv_id || '@example.com' AS t FROM conversations", "a", "f", ()) + " SELECT id AS source_id, typ AS type, v AS value FROM f",
+)
+_add(
+    "decisions_last_wins",
+    lambda s, d: D.last_decisions(decisions(found(s, d))).select("source_id", "finding_id", "action", F.coalesce("token_label", F.lit("")).alias("token_label")),
+    _DECIDED + " SELECT id AS source_id, fid AS finding_id, action, CASE WHEN typ = 'taiwan-id' THEN ' staff id! ' ELSE '' END AS token_label FROM d WHERE action IS NOT NULL",
+)
+
+
+def _unresolved(s, d):
+    rows = found(s, d)
+    return D.unresolved(rows, decisions(rows)).select("source_id", "finding_id", "type")
+
+
+_add("unresolved", _unresolved, _DECIDED + " SELECT id AS source_id, fid AS finding_id, typ AS type FROM d WHERE action IS NULL")
+_add("all_or_nothing", lambda s, d: transformed(s, d).select("source_id", "status", "n_unresolved", "n_public"), _DECIDED + " SELECT source_id, status, n_unresolved, CASE WHEN status = 'ok' THEN n_public ELSE 0 END AS n_public FROM x")
+
+
+def _judged(action: str, reason: str | None, replacement: str | None):
+    def run(s, d):
+        rows = found(s, d).withColumns({"action": F.lit(action), "token_label": F.lit(None).cast("string"), "reason": F.lit(reason).cast("string"), "replacement": F.lit(replacement).cast("string")})
+        return D.validated(rows).select("source_id", "finding_id", F.coalesce("error", F.lit("none")).alias("error"), F.coalesce("first_error", F.lit("none")).alias("first_error"))
+
+    return run
+
+
+def _judged_sql(action: str, other: str) -> str:
+    error = f"CASE WHEN typ IN ('private-key', 'api-token', 'credential') AND '{action}' <> 'delete' THEN 'must_delete' ELSE '{other}' END"
+    return _FOUND + f", e AS (SELECT *, {error} AS error FROM f) SELECT id AS source_id, fid AS finding_id, error, coalesce(arg_min(error, st) FILTER (WHERE error <> 'none') OVER (PARTITION BY id), 'none') AS first_error FROM e"
+
+
+_add("validate_forced_delete", _judged("tokenize", None, None), _judged_sql("tokenize", "none"))
+_add("validate_keep_reason", _judged("keep", " 　 ", None), _judged_sql("keep", "keep_needs_reason"))
+_add("validate_generalize", _judged("generalize", None, "﻿ "), _judged_sql("generalize", "generalize_needs_replacement"))
+_add("validate_delete", _judged("delete", None, None), _judged_sql("delete", "none"))
+_add("validate_unknown_action", _judged("shred", None, None), _FOUND + " SELECT id AS source_id, fid AS finding_id, 'unknown_action' AS error, 'unknown_action' AS first_error FROM f")
+
+
+def _uniform(action: str, reason: str | None = None, replacement: str | None = None, types: str = "true"):
+    """Sanitized texts when every finding that needs no deletion gets one action."""
+
+    def run(s, d):
+        rows = found(s, d).withColumns(
+            {
+                "action": F.when(F.col("type").isin("private-key", "api-token", "credential"), "delete").otherwise(action),
+                "token_label": F.lit(None).cast("string"),
+                "reason": F.lit(reason).cast("string"),
+                "replacement": F.lit(replacement).cast("string"),
+            }
+        )
+        return W.transform(augmented(s, d), rows).select("source_id", "status", "residual_risk", R.sha256(F.col("sanitized_text")).alias("text_sha256"))
+
+    return run
+
+
+def _uniform_sql(value: str, kept: bool) -> str:
+    forced = "typ IN ('private-key', 'api-token', 'credential')"
+    return _FOUND + f""", t AS (
+  SELECT *, '【' || upper(typ) || '-' || printf('%02d', row_number() OVER (PARTITION BY id, typ ORDER BY st)) || '】' AS token, coalesce(lag(en) OVER (PARTITION BY id ORDER BY st), 0) AS pe FROM f
+), j AS (
+  SELECT t.id, string_agg(substr(a.t, pe + 1, st - pe) || CASE WHEN {forced} THEN '[REMOVED]' ELSE {value} END, '' ORDER BY st) || substr(any_value(a.t), max(en) + 1) AS out,
+         count(*) FILTER (WHERE NOT {forced}) AS kept FROM t JOIN a USING (id) GROUP BY t.id
+) SELECT a.id AS source_id, 'ok' AS status, {'coalesce(kept, 0)' if kept else '0'}::BIGINT AS residual_risk, sha256(coalesce(j.out, a.t)) AS text_sha256 FROM a LEFT JOIN j USING (id)"""
+
+
+_add("rewrite_delete", _uniform("delete"), _uniform_sql("'[REMOVED]'", False))
+_add("rewrite_tokenize", _uniform("tokenize"), _uniform_sql("token", False))
+_add("rewrite_generalize", _uniform("generalize", replacement=" 　someone\n"), _uniform_sql("'someone'", False))
+_add("rewrite_keep", _uniform("keep", reason="reviewed"), _uniform_sql("v", True))
+_add("rewrite_mixed", lambda s, d: transformed(s, d).select("source_id", "status", "sanitized_text"), _DECIDED + " SELECT source_id, status, sanitized_text FROM x")
+_add("residual_risk", lambda s, d: transformed(s, d).select("source_id", "residual_risk", "n_tokens"), _DECIDED + " SELECT source_id, residual_risk, n_tokens FROM x")
+_add("token_entries", lambda s, d: W.token_entries(decided(s, d)), _DECIDED + " SELECT id AS source_id, token, v AS original, typ AS finding_type FROM p WHERE token IS NOT NULL")
+
+
+def _many_tokens(s, d):
+    rows = s.read.parquet(f"{d}/documents.parquet").where("doc_id % 50 = 0").select(F.col("doc_id").alias("source_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.concat(F.lit("u"), i.cast("string"), F.lit("@example.com"))), " ").alias("text"))
+    f = findings(rows, "source_id").withColumns({"action": F.lit("tokenize"), "token_label": F.lit(None).cast("string"), "reason": F.lit(None).cast("string"), "replacement": F.lit(None).cast("string")})
+    return W.token_entries(f).select("source_id", "token", "original")
+
+
+_add(
+    "token_ordinals_over_100",
+    _many_tokens,
+    "SELECT doc_id AS source_id, '【EMAIL-' || printf('%02d', i) || '】' AS token, 'u' || i || '@example.com' AS original FROM documents, range(1, 121) r(i) WHERE doc_id % 50 = 0",
+)
+_add(
+    "public_findings",
+    lambda s, d: W.public_findings(decided(s, d)).select("source_id", "finding_id", "type", "severity", "masked_preview", "detector", "action", F.coalesce("token", F.lit("")).alias("token"), F.coalesce("reason", F.lit("")).alias("reason")),
+    _DECIDED + " SELECT id AS source_id, fid AS finding_id, typ AS type, severity, masked AS masked_preview, det AS detector, action, coalesce(token, '') AS token, CASE WHEN typ = 'ip-address' THEN 'internal' ELSE '' END AS reason FROM p",
+)
+_add("finding_counts", lambda s, d: R.finding_counts(W.public_findings(decided(s, d))), _DECIDED + " SELECT id AS source_id, severity, action, count(*) AS n FROM p GROUP BY ALL")
+_add(
+    "normalize_label",
+    lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", S.normalize_label(F.concat(F.lit("--"), "c_name", F.lit(" / acct!"))).alias("label"), S.normalize_label(F.lit(" ?! ")).alias("empty_label")),
+    "SELECT c_custkey, regexp_replace(regexp_replace(upper('--' || c_name || ' / acct!'), '[^A-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS label, 'SENSITIVE' AS empty_label FROM customer",
+)
+
+_CLASS = "CASE doc_id % 5 WHEN 0 THEN 'P0' WHEN 1 THEN 'P1' WHEN 2 THEN 'P2' WHEN 3 THEN 'P3' ELSE 'P1' END"
+_ROUTE = "CASE doc_id % 4 WHEN 0 THEN 'local-only' WHEN 1 THEN 'cloud-approved' WHEN 2 THEN 'cloud-sanitized' ELSE 'mail' END"
+
+
+def _policies(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("source_id"), F.expr(_CLASS).alias("classification"), F.expr(_ROUTE).alias("route"))
+
+
+_GATE = f"CASE WHEN {_ROUTE} = 'mail' THEN 'invalid' WHEN {_CLASS} = 'P3' OR {_ROUTE} = 'local-only' THEN 'blocked_route' ELSE 'ok' END"
+_add("route_gate", lambda s, d: _policies(s, d).select("source_id", G.route_status(F.col("classification"), F.col("route")).alias("gate")), f"SELECT doc_id AS source_id, {_GATE} AS gate FROM documents")
+_SECOND = _DECIDED + ", " + _resolved_ctes("SELECT source_id AS id, sanitized_text AS t FROM x", "a2", "f2", ()) + ", b AS (SELECT id, count(*) FILTER (WHERE sev >= 2) AS n FROM f2 GROUP BY id)"
+_add("second_scan", lambda s, d: transformed(s, d).select("source_id", blocking(F.col("sanitized_text")).cast("long").alias("n_blocking")), _SECOND + " SELECT source_id, coalesce(n, 0)::BIGINT AS n_blocking FROM x LEFT JOIN b ON b.id = source_id")
+
+
+def exports(s, d) -> DataFrame:
+    rows = transformed(s, d).join(_policies(s, d), "source_id")
+    return rows.withColumn("gate", G.export_status(F.col("classification"), F.col("route"), F.col("sanitized_text"), F.col("n_unresolved"), F.col("status")))
+
+
+_EXPORT_SQL = _SECOND + f", g AS (SELECT x.*, {_CLASS} AS classification, {_ROUTE} AS route, CASE WHEN {_GATE} <> 'ok' THEN {_GATE} WHEN n_unresolved > 0 THEN 'unresolved' WHEN n > 0 THEN 'blocked_scan' ELSE 'ok' END AS gate FROM x JOIN documents ON doc_id = source_id LEFT JOIN b ON b.id = source_id)"
+_add("export_status", lambda s, d: exports(s, d).select("source_id", "gate"), _EXPORT_SQL + " SELECT source_id, gate FROM g")
+_add("derivative_hash", lambda s, d: transformed(s, d).select("source_id", R.sha256(F.col("sanitized_text")).alias("sha256")), _DECIDED + " SELECT source_id, sha256(sanitized_text) AS sha256 FROM x")
+
+
+def cleared(s, d) -> DataFrame:
+    """(source_id, sanitized_text, manifest, report) of the documents that pass all gates."""
+    ok = exports(s, d).where("gate = 'ok'")
+    texts = augmented(s, d).select("source_id", R.sha256(F.col("text")).alias("source_sha256"))
+    public = W.public_findings(decided(s, d))
+    listed = public.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("finding_id", "type", "severity", "masked_preview", "detector", "action", "token", "reason"))).alias("findings"))
+    rows = ok.join(texts, "source_id").join(R.counts_map(public), "source_id", "left").join(listed, "source_id", "left")
+    source = F.col("source_id").cast("string")
+    return rows.select(
+        "source_id",
+        "sanitized_text",
+        "n_tokens",
+        R.manifest(F.lit("demo"), source, F.col("source_sha256"), F.col("sanitized_text"), F.col("classification"), F.col("route"), F.col("n_tokens") > 0).alias("m"),
+        R.report(F.lit("demo"), source, F.col("finding_counts"), F.col("findings"), F.col("residual_risk")).alias("r"),
+    )
+
+
+_add(
+    "manifest_fields",
+    lambda s, d: cleared(s, d).select("source_id", "m.package_id", F.col("m.source.sha256").alias("source_sha256"), F.col("m.derivative.sha256").alias("derivative_sha256"), "m.classification", "m.allowed_route", "m.token_map_created", "m.token_map_in_package"),
+    _EXPORT_SQL + " SELECT source_id, 'demo-' || source_id AS package_id, sha256(a.t) AS source_sha256, sha256(sanitized_text) AS derivative_sha256, classification, route AS allowed_route, n_tokens > 0 AS token_map_created, false AS token_map_in_package FROM g JOIN a ON a.id = source_id WHERE gate = 'ok'",
+)
+_add(
+    "report_fields",
+    lambda s, d: cleared(s, d).select("source_id", F.coalesce(F.size("r.findings"), F.lit(0)).cast("long").alias("n_findings"), F.col("r.residual_risk_count").alias("residual_risk"), F.coalesce(F.expr("r.finding_counts['critical:delete']"), F.lit(0)).cast("long").alias("critical_deletes")),
+    _EXPORT_SQL + ", k AS (SELECT id, count(*) AS n_all, count(*) FILTER (WHERE severity = 'critical' AND action = 'delete') AS cd FROM p GROUP BY id) SELECT source_id, coalesce(n_all, 0)::BIGINT AS n_findings, residual_risk, coalesce(cd, 0)::BIGINT AS critical_deletes FROM g LEFT JOIN k ON k.id = source_id WHERE gate = 'ok'",
+)
+_add(
+    "package_entries",
+    lambda s, d: cleared(s, d).select("source_id", F.posexplode("m.allowlist").alias("pos", "name")).select("source_id", F.col("pos").cast("long").alias("pos"), "name"),
+    _EXPORT_SQL + f" SELECT source_id, (i - 1)::BIGINT AS pos, (['{R.ENTRIES[0]}', '{R.ENTRIES[1]}', '{R.ENTRIES[2]}', '{R.ENTRIES[3]}'])[i] AS name FROM g, range(1, 5) r(i) WHERE gate = 'ok'",
+)
+_NAMES = "CASE doc_id % 6 WHEN 0 THEN 'SAFE_SOURCE/' || doc_id || '.md' WHEN 1 THEN '/abs' || doc_id WHEN 2 THEN 'a' || chr(92) || 'b' WHEN 3 THEN 'a/../b' WHEN 4 THEN '' ELSE 'a..b/c' END"
+_add(
+    "entry_name_guard",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_NAMES).alias("name")).select("doc_id", "name", S.safe_entry_name(F.col("name")).alias("safe")),
+    f"SELECT doc_id, {_NAMES} AS name, doc_id % 6 IN (0, 5) AS safe FROM documents",
+)
+
+
+def _crc(s, d):
+    return transformed(s, d).select("source_id", F.crc32(F.encode("sanitized_text", "UTF-8")).alias("crc32"))
+
+
+_add("crc32_entries", _crc)
+
+
+def _vault(passphrase: str):
+    def run(s, d):
+        entries = W.token_entries(decided(s, d))
+        opened = vault.decrypt_maps(vault.encrypt_maps(entries, "correct horse battery"), passphrase)
+        n = entries.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+        return opened.join(n, "source_id").select("source_id", "status", (F.coalesce(F.size("entries"), F.lit(-1)) == F.col("n")).alias("complete"))
+
+    return run
+
+
+_add("vault_roundtrip", _vault("correct horse battery"), _DECIDED + " SELECT DISTINCT id AS source_id, 'ok' AS status, true AS complete FROM p WHERE token IS NOT NULL")
+_add("vault_wrong_passphrase", _vault("wrong horse battery"), _DECIDED + " SELECT DISTINCT id AS source_id, 'denied' AS status, false AS complete FROM p WHERE token IS NOT NULL")
+
+
+def _zips(s, d):
+    rows = cleared(s, d).select("source_id", "sanitized_text", F.to_json("m").alias("manifest"), F.to_json("r").alias("report"))
+    return archive.packages(rows).select("source_id", "package_sha256", "zip_sha256", F.octet_length("zip").cast("long").alias("zip_bytes"))
+
+
+_add("zip_inspection", _zips)
+_add(
+    "policy_stream_form",
+    lambda s, d: sanitize_stream(augmented(s, d)).select("source_id", F.size("findings").cast("long").alias("n_findings"), "cleared"),
+    "WITH " + _resolved_ctes(_SOURCE, "a", "f", ()) + ", n AS (SELECT id, count(*) AS n FROM f GROUP BY id) SELECT a.id AS source_id, coalesce(n, 0)::BIGINT AS n_findings, true AS cleared FROM a LEFT JOIN n USING (id)",
+)
+_add(
+    "policy_lint",
+    lambda s, d: lint.violations(s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("text"))),
+    r"SELECT url AS path, rule FROM (SELECT url, unnest([CASE WHEN regexp_matches(html, '\bhttps?://') THEN 'url' END, CASE WHEN regexp_matches(html, '\bfetch\s*\(') THEN 'fetch' END, CASE WHEN regexp_matches(html, 'from\s+[""''](?:node:)?(?:http|https|net|tls|dgram)[""'']') THEN 'network_module' END, CASE WHEN regexp_matches(html, '(?i)\b(?:axios|telemetry|analytics|sentry)\b') THEN 'telemetry' END]) AS rule FROM pages) WHERE rule IS NOT NULL",
+)
