@@ -17,6 +17,7 @@ from scrubline.operators import rewrite as W
 from scrubline.operators.catalog import DETECTORS
 from scrubline.operators.detect import blocking, findings, matches
 from scrubline.sources import archive, lint, vault
+from scrubline.sources.readers import spread
 from scrubline.streaming.sanitize import sanitize_stream
 
 TERMS = ("Example Foundry", "risk sk-a", "ba", "aa")
@@ -36,7 +37,8 @@ _DUCK_AUGMENTED = AUGMENTED.replace(" AS STRING)", " AS VARCHAR)")
 
 
 def augmented(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("source_id"), F.expr(AUGMENTED).alias("text"), "lang", "source")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    return docs.select(F.col("doc_id").alias("source_id"), F.expr(AUGMENTED).alias("text"), "lang", "source")
 
 
 def found(spark, d: str) -> DataFrame:
@@ -197,7 +199,7 @@ _add(
 )
 _add(
     "findings_by_type",
-    lambda s, d: findings(s.read.parquet(f"{d}/documents.parquet"), "doc_id").groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: findings(spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "doc_id").groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n")),
     "WITH " + _resolved_ctes("SELECT doc_id AS id, coalesce(text, '') AS t FROM documents", "a", "f", ()) + " SELECT typ AS type, severity, count(*) AS n FROM f GROUP BY ALL",
 )
 _add(

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from scrubline.operators.report import sha256
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of a table whose files give fewer partitions than there are cores.
+
+    Scanning text is bound by CPU, so a small table of one row group would keep one core busy. Large
+    tables come in many partitions and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_documents(df: DataFrame, id_col: str | Column, text_col: str) -> DataFrame:
     ident = F.col(id_col) if isinstance(id_col, str) else id_col
     return df.select(ident.cast("string").alias("source_id"), F.col(text_col).alias("text"), sha256(F.col(text_col)).alias("source_sha256"))
