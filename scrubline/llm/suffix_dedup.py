@@ -447,7 +447,7 @@ def _with_spans(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, lis
     """All columns of the rows (names made unique for the join) with their span bodies."""
     columns = docs.columns
     plain = docs.select(
-        *[docs[c].alias(f"c{i}") for i, c in enumerate(columns)],
+        *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)],
         F.coalesce(docs["doc_id"].cast("long"), F.lit(int(_LAST))).alias("doc_id"),
         F.xxhash64(text_or_empty()).alias("mark"),
     )
