@@ -166,8 +166,10 @@ def _sender(window: int, gram: int, buckets: int):
         first = ids[doc][np.flatnonzero(new)[np.cumsum(new) - 1]]
         keep = ids[doc] == first
         rows = []
+        # found spans only pass through; dealt out by row, since copies have equal marks
+        through = mix(ids.view(np.uint64) + marks.view(np.uint64)) % np.uint64(buckets)
         for d, ranges in _per_doc(doc[~keep], np.maximum(place[~keep] - reach, 0), place[~keep] + window):
-            rows.append((int(np.uint64(marks[d]) % np.uint64(buckets)), 0, ids[d : d + 1].tobytes(), marks[d : d + 1].tobytes(), ranges.tobytes()))
+            rows.append((int(through[d]), 0, ids[d : d + 1].tobytes(), marks[d : d + 1].tobytes(), ranges.tobytes()))
         doc, place, g, around = doc[keep], place[keep], g[keep], around[keep]
         # anchors have small hashes, being minima; mixed again they spread evenly
         bucket = (mix(g & _LOW48) % np.uint64(buckets)).astype(np.int64)
