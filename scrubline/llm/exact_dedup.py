@@ -64,8 +64,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and each counts in group_size. An empty table gives no rows. Other columns are ignored.
     """
     runs = settle(digest_runs(docs, id_col, text_col))
-    total = runs.count()
-    groups = settle(tree_merge(runs, runs.rdd.getNumPartitions(), fan_in))
+    total, last_run = runs.agg(F.count(F.lit(1)), F.coalesce(F.max("run"), F.lit(0))).first()
+    groups = settle(tree_merge(runs, last_run + 1, fan_in))
     # The few groups that hold a large part of all rows are looked up from a broadcast of at most
     # 1/HOT_PART rows; all others are joined by digest, where no key is large.
     hot = groups.where(F.col("group_size") > F.lit(max(1.0, total * HOT_PART)))
