@@ -44,7 +44,7 @@ def normalize_label(value: Column) -> Column:
 
 
 def token(label: Column, ordinal: Column) -> Column:
-    return F.format_string("【%s-%02d】", label, ordinal.cast("int"))
+    return F.format_string("【%s-%02d】", label, ordinal.cast("long"))
 
 
 def safe_entry_name(name: Column) -> Column:

@@ -19,6 +19,8 @@ SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 ACTIONS = ("delete", "tokenize", "generalize", "keep")
 CLASSIFICATIONS = ("P0", "P1", "P2", "P3")
 ROUTES = ("cloud-approved", "cloud-sanitized", "local-only")
+#: The detector of dictionary terms.
+DICTIONARY, DICTIONARY_KIND = "local-exact-data", "exact-data"
 FORCED_DELETE = ("private-key", "api-token", "credential")
 
 _W = "[A-Za-z0-9_]"
@@ -66,4 +68,4 @@ def escape(term: str) -> str:
 
 def with_dictionary(terms: list[str] | tuple[str, ...] = ()) -> tuple[Detector, ...]:
     """The built-in detectors, then one for each term of two characters or more, in the caller's order."""
-    return DETECTORS + tuple(Detector("local-exact-data", "exact-data", "high", escape(t), t) for t in terms if len(t) >= 2)
+    return DETECTORS + tuple(Detector(DICTIONARY, DICTIONARY_KIND, "high", escape(t), t) for t in terms if len(t) >= 2)

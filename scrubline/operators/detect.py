@@ -7,12 +7,17 @@ sorted fold. Offsets are 0-based code points, half-open; ids hash the UTF-16 off
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
 
-from .catalog import SEVERITY, Detector, with_dictionary
+from .catalog import DETECTORS, DICTIONARY, DICTIONARY_KIND, SEVERITY, Detector, escape, with_dictionary
+
+#: Up to so many terms each get an expression of their own.
+MANY_TERMS = 64
 
 _CANDIDATE = "array<struct<start:int,neg_severity:int,neg_end:int,ord:int,type:string,severity:string,detector:string,value:string>>"
 FINDING = "array<struct<finding_id:string,type:string,severity:string,start:int,end:int,value:string,masked_preview:string,detector:string>>"
@@ -42,8 +47,45 @@ def matches(text: Column, d: Detector, ord: int) -> Column:
     return F.when(d.may_match(text), scan).otherwise(empty)
 
 
+def dictionary_matches(text: Column, terms: list[str] | tuple[str, ...], ord: int) -> Column:
+    """All matches of many terms, each scanned by itself, in an expression whose size does not grow with them.
+
+    The terms are one folded array; those that a text holds are scanned, term by term. ``ord`` is the
+    first term's.
+    """
+    listed = json.dumps([{"term": t, "pattern": escape(t), "ord": ord + i} for i, t in enumerate(terms)])
+    held = F.filter(F.from_json(F.lit(listed), "array<struct<term:string,pattern:string,ord:int>>"), lambda t: F.contains(text, t["term"]))
+
+    def scan(t: Column) -> Column:
+        gaps = F.split(text, t["pattern"], -1)
+
+        def step(acc: Column, gap: Column) -> Column:
+            start = acc["pos"] + F.length(gap)
+            end = start + F.length(t["term"])
+            one = F.struct(
+                start.alias("start"),
+                F.lit(-SEVERITY["high"]).alias("neg_severity"),
+                (-end).alias("neg_end"),
+                t["ord"].alias("ord"),
+                F.lit(DICTIONARY_KIND).alias("type"),
+                F.lit("high").alias("severity"),
+                F.lit(DICTIONARY).alias("detector"),
+                t["term"].alias("value"),
+            )
+            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one).cast(_CANDIDATE)).alias("out"))
+
+        # the last piece has no match after it
+        return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.lit(0).alias("pos"), F.array().cast(_CANDIDATE).alias("out")), step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(held, scan))
+
+
 def candidates(text: Column, terms: list[str] | tuple[str, ...] = ()) -> Column:
-    return F.concat(*[matches(text, d, i) for i, d in enumerate(with_dictionary(terms))])
+    detectors = with_dictionary(terms)
+    built_in, own = detectors[: len(DETECTORS)], detectors[len(DETECTORS) :]
+    if len(own) <= MANY_TERMS:
+        return F.concat(*[matches(text, d, i) for i, d in enumerate(detectors)])
+    return F.concat(*[matches(text, d, i) for i, d in enumerate(built_in)], dictionary_matches(text, [d.literal for d in own], len(DETECTORS)))
 
 
 def resolve(found: Column) -> Column:
@@ -80,6 +122,6 @@ def findings(docs: DataFrame, id_col: str, text_col: str = "text", terms: list[s
     return rows.select("source_id", "f.*")
 
 
-def blocking(text: Column) -> Column:
-    """How many critical or high findings a second scan, without dictionary, has."""
-    return F.size(F.filter(resolve(candidates(text)), lambda x: x["neg_severity"] <= -SEVERITY["high"]))
+def blocking(text: Column, terms: list[str] | tuple[str, ...] = ()) -> Column:
+    """How many critical or high findings a second scan has; it looks for no terms unless they are given."""
+    return F.size(F.filter(resolve(candidates(text, terms)), lambda x: x["neg_severity"] <= -SEVERITY["high"]))

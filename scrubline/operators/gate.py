@@ -15,12 +15,12 @@ def route_status(classification: Column, route: Column) -> Column:
     return F.when(~known, "invalid").when((classification == "P3") | (route == "local-only"), "blocked_route").otherwise("ok")
 
 
-def export_status(classification: Column, route: Column, text: Column, n_unresolved: Column | None = None, status: Column | None = None) -> Column:
-    """The first gate that holds a document back: route, then state of the rewrite, then the second scan."""
+def export_status(classification: Column, route: Column, text: Column, n_unresolved: Column | None = None, status: Column | None = None, terms: list[str] | tuple[str, ...] = ()) -> Column:
+    """The first gate that holds a document back: route, then state of the rewrite, then the second scan (with a dictionary if given)."""
     gate = route_status(classification, route)
     out = F.when(gate != "ok", gate)
     if status is not None:
         out = out.when(~status.isin("ok", "unresolved"), "not_transformed")
     if n_unresolved is not None:
         out = out.when(n_unresolved > 0, "unresolved")
-    return out.when(blocking(text) > 0, "blocked_scan").otherwise("ok")
+    return out.when(blocking(text, terms) > 0, "blocked_scan").otherwise("ok")

@@ -11,18 +11,33 @@ from .catalog import FORCED_DELETE
 from .decide import validated
 
 REMOVED = "[REMOVED]"
+#: Hex digits of a value's hash that name its bucket, so 4096 buckets a label.
+BUCKET_DIGITS = 3
 
 
 def label(token_label: Column, kind: Column) -> Column:
     return S.normalize_label(F.coalesce(F.when(token_label != "", token_label), kind))
 
 
+def project_ordinals(values: DataFrame) -> DataFrame:
+    """(label, value, ordinal) of distinct (label, value): from 1 within each label, by (hash bucket, value).
+
+    Buckets of a value hash are ranked by themselves and moved by the sizes of the buckets before, so
+    no task holds a whole label and a value's number does not depend on the partitioning.
+    """
+    named = values.withColumn("bucket", F.substring(F.sha2("value", 256), 1, BUCKET_DIGITS))
+    before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = named.groupBy("label", "bucket").count().select("label", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("value"))
+    ranked = named.withColumn("inside", inside).join(base, ["label", "bucket"])
+    return ranked.select("label", "value", (F.col("base") + F.col("inside")).alias("ordinal"))
+
+
 def replaced(decided: DataFrame, token_scope: str = "source") -> DataFrame:
     """Validated findings with ``token`` and ``new_value``; token_scope="project" gives equal values one number over all sources."""
     rows = validated(decided).withColumn("label", F.when(F.col("action") == "tokenize", label(F.col("token_label"), F.col("type"))))
     if token_scope == "project":
-        values = rows.where("label is not null").select("label", "value").distinct()
-        numbered = values.withColumn("ordinal", F.row_number().over(Window.partitionBy("label").orderBy("value")))
+        numbered = project_ordinals(rows.where("label is not null").select("label", "value").distinct())
         rows = rows.join(numbered, ["label", "value"], "left")
     else:
         rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("source_id", "label").orderBy("start")))

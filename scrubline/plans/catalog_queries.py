@@ -6,7 +6,7 @@ doc_id, by one expression that both dialects read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
@@ -186,6 +186,21 @@ def _dictionary(spark, d):
 
 
 _add("detect_dictionary", _dictionary, _FOUND + " SELECT id AS source_id, st AS start_at, v AS value FROM f WHERE typ = 'exact-data'")
+#: More terms than get an expression of their own; some are parts of others.
+MANY = tuple(f"C-{i}" for i in range(1, 101)) + ("ase", "case C-7")
+_CASES = f"coalesce(text, '') || ' case C-' || CAST(doc_id % 150 AS STRING) || ' case C-1 C-100' || {_ID}"
+
+
+def _large_dictionary(s, d):
+    rows = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").alias("source_id"), F.expr(_CASES).alias("text"))
+    return findings(rows, "source_id", terms=MANY).where("type = 'exact-data'").select("source_id", F.col("start").cast("long").alias("start_at"), "value")
+
+
+_add(
+    "detect_large_dictionary",
+    _large_dictionary,
+    "WITH " + _resolved_ctes(f"SELECT doc_id AS id, {_CASES.replace(' AS STRING)', ' AS VARCHAR)')} AS t FROM documents", "a", "f", MANY) + " SELECT id AS source_id, st AS start_at, v AS value FROM f WHERE typ = 'exact-data'",
+)
 _add(
     "resolve_overlaps",
     lambda s, d: found(s, d).select("source_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "detector"),
@@ -260,6 +275,26 @@ _add("validate_delete", _judged("delete", None, None), _judged_sql("delete", "no
 _add("validate_unknown_action", _judged("shred", None, None), _FOUND + " SELECT id AS source_id, fid AS finding_id, 'unknown_action' AS error, 'unknown_action' AS first_error FROM f")
 
 
+def _precedence(s, d):
+    action = F.expr(_WRONG.format(t="type"))
+    rows = found(s, d).withColumns(_bare(action))
+    return D.validated(rows).select("source_id", "status", F.coalesce("first_error", F.lit("none")).alias("first_error")).distinct()
+
+
+#: Decisions that are wrong in several ways; those of taiwan-id are open.
+_WRONG = "CASE WHEN {t} IN ('email', 'ip-address') THEN 'keep' WHEN {t} = 'phone' THEN 'generalize' WHEN {t} = 'exact-data' THEN 'delete' WHEN {t} <> 'taiwan-id' THEN 'tokenize' END"
+_add(
+    "error_precedence",
+    _precedence,
+    _FOUND
+    + """, e AS (
+  SELECT id, st, typ, CASE WHEN typ IN ('email', 'ip-address') THEN 'keep_needs_reason' WHEN typ = 'phone' THEN 'generalize_needs_replacement'
+         WHEN typ IN ('private-key', 'api-token', 'credential') THEN 'must_delete' END AS error FROM f
+) SELECT id AS source_id, CASE WHEN count(error) > 0 THEN 'error' WHEN bool_or(typ = 'taiwan-id') THEN 'unresolved' ELSE 'ok' END AS status,
+         coalesce(arg_min(error, st) FILTER (WHERE error IS NOT NULL), 'none') AS first_error FROM e GROUP BY id""",
+)
+
+
 def _uniform(action: str, reason: str | None = None, replacement: str | None = None, types: str = "true"):
     """Sanitized texts when every finding that needs no deletion gets one action."""
 
@@ -296,16 +331,51 @@ _add("residual_risk", lambda s, d: transformed(s, d).select("source_id", "residu
 _add("token_entries", lambda s, d: W.token_entries(decided(s, d)), _DECIDED + " SELECT id AS source_id, token, v AS original, typ AS finding_type FROM p WHERE token IS NOT NULL")
 
 
+_EMAILS = 104
+
+
+def _bare(action: Column) -> dict:
+    """The columns of decisions that have an action and nothing else."""
+    return {"action": action, **{c: F.lit(None).cast("string") for c in ("token_label", "reason", "replacement")}}
+
+
 def _many_tokens(s, d):
-    rows = s.read.parquet(f"{d}/documents.parquet").where("doc_id % 50 = 0").select(F.col("doc_id").alias("source_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.concat(F.lit("u"), i.cast("string"), F.lit("@example.com"))), " ").alias("text"))
-    f = findings(rows, "source_id").withColumns({"action": F.lit("tokenize"), "token_label": F.lit(None).cast("string"), "reason": F.lit(None).cast("string"), "replacement": F.lit(None).cast("string")})
-    return W.token_entries(f).select("source_id", "token", "original")
+    mails = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(_EMAILS)), lambda i: F.concat(F.lit("u"), i.cast("string"), F.lit("@example.com"))), " ")
+    rows = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").alias("source_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), mails).alias("text"))
+    f = findings(rows, "source_id").where("type = 'email'")
+    return W.token_entries(f.withColumns(_bare(F.lit("tokenize")))).select("source_id", "token", "original")
 
 
+_MAILS_SQL = f"SELECT doc_id AS id, coalesce(text, '') || ' ' || list_aggregate(list_transform(range(1, {_EMAILS + 1}), lambda i: 'u' || i || '@example.com'), 'string_agg', ' ') AS t FROM documents"
 _add(
     "token_ordinals_over_100",
     _many_tokens,
-    "SELECT doc_id AS source_id, '【EMAIL-' || printf('%02d', i) || '】' AS token, 'u' || i || '@example.com' AS original FROM documents, range(1, 121) r(i) WHERE doc_id % 50 = 0",
+    "WITH " + _resolved_ctes(_MAILS_SQL, "a", "f", ()) + " SELECT id AS source_id, '【EMAIL-' || printf('%02d', row_number() OVER (PARTITION BY id ORDER BY st)) || '】' AS token, v AS original FROM f WHERE typ = 'email'",
+)
+_add(
+    "token_project_scope",
+    lambda s, d: W.token_entries(decided(s, d), "project"),
+    _DECIDED
+    + f""", w AS (SELECT DISTINCT label, v FROM s WHERE label IS NOT NULL), o2 AS (
+  SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY substr(sha256(v), 1, {W.BUCKET_DIGITS}), v) AS k FROM w
+) SELECT id AS source_id, '【' || label || '-' || printf('%02d', k) || '】' AS token, v AS original, typ AS finding_type FROM p JOIN o2 USING (label, v)""",
+)
+
+
+def _rehydrated(s, d):
+    rows = decided(s, d)
+    entries = W.token_entries(rows).groupBy("source_id").agg(F.collect_list(F.struct("token", "original")).alias("entries"))
+    out = W.transform(augmented(s, d), rows).join(entries, "source_id", "left")
+    return out.select("source_id", F.coalesce(W.rehydrate(F.col("sanitized_text"), F.col("entries")), F.col("sanitized_text")).alias("text"))
+
+
+_add(
+    "rehydrate",
+    _rehydrated,
+    _DECIDED
+    + """, y AS (
+  SELECT p.id, string_agg(substr(a.t, pe + 1, st - pe) || CASE WHEN token IS NULL THEN nv ELSE v END, '' ORDER BY st) || substr(any_value(a.t), max(en) + 1) AS back FROM p JOIN a USING (id) GROUP BY p.id
+) SELECT a.id AS source_id, coalesce(back, a.t) AS text FROM a LEFT JOIN y USING (id)""",
 )
 _add(
     "public_findings",
@@ -333,6 +403,14 @@ _SECOND = _DECIDED + ", " + _resolved_ctes("SELECT source_id AS id, sanitized_te
 _add("second_scan", lambda s, d: transformed(s, d).select("source_id", blocking(F.col("sanitized_text")).cast("long").alias("n_blocking")), _SECOND + " SELECT source_id, coalesce(n, 0)::BIGINT AS n_blocking FROM x LEFT JOIN b ON b.id = source_id")
 
 
+_SECOND_TERMS = _DECIDED + ", " + _resolved_ctes("SELECT source_id AS id, sanitized_text AS t FROM x", "a2", "f2") + ", b AS (SELECT id, count(*) FILTER (WHERE sev >= 2) AS n FROM f2 GROUP BY id)"
+_add(
+    "second_scan_dictionary",
+    lambda s, d: transformed(s, d).select("source_id", blocking(F.col("sanitized_text"), TERMS).cast("long").alias("n_blocking")),
+    _SECOND_TERMS + " SELECT source_id, coalesce(n, 0)::BIGINT AS n_blocking FROM x LEFT JOIN b ON b.id = source_id",
+)
+
+
 def exports(s, d) -> DataFrame:
     rows = transformed(s, d).join(_policies(s, d), "source_id")
     return rows.withColumn("gate", G.export_status(F.col("classification"), F.col("route"), F.col("sanitized_text"), F.col("n_unresolved"), F.col("status")))
@@ -404,6 +482,17 @@ _add("vault_roundtrip", _vault("correct horse battery"), _DECIDED + " SELECT DIS
 _add("vault_wrong_passphrase", _vault("wrong horse battery"), _DECIDED + " SELECT DISTINCT id AS source_id, 'denied' AS status, false AS complete FROM p WHERE token IS NOT NULL")
 
 
+def _tampered(s, d):
+    sealed = vault.encrypt_maps(W.token_entries(decided(s, d)), "correct horse battery")
+    field = '"ciphertext":"'
+    other = F.when(F.contains("payload", F.lit(field + "A")), F.lit(field + "B")).otherwise(F.lit(field + "A"))
+    bad = sealed.select("source_id", F.regexp_replace("payload", F.lit(field + "."), other).alias("payload"))
+    return vault.decrypt_maps(bad, "correct horse battery").select("source_id", "status", F.col("entries").isNotNull().alias("opened"))
+
+
+_add("vault_tamper", _tampered, _DECIDED + " SELECT DISTINCT id AS source_id, 'denied' AS status, false AS opened FROM p WHERE token IS NOT NULL")
+
+
 def _zips(s, d):
     rows = cleared(s, d).select("source_id", "sanitized_text", F.to_json("m").alias("manifest"), F.to_json("r").alias("report"))
     return archive.packages(rows).select("source_id", "package_sha256", "zip_sha256", F.octet_length("zip").cast("long").alias("zip_bytes"))

@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import os
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame
@@ -70,12 +71,25 @@ def packages(cleared: DataFrame) -> DataFrame:
 
 
 def save_packages(built: DataFrame, folder: str) -> None:
-    """Writes each archive to a folder that driver and executors share; an existing file is an error."""
+    """Writes each archive to a folder that driver and executors share.
+
+    A file appears whole or not at all. An existing file with other bytes is an error; one with the
+    same bytes is what an earlier attempt of a lost or repeated task has left.
+    """
 
     def write(rows):
         for r in rows:
-            name = hashlib.sha256(r["source_id"].encode("utf-8")).hexdigest()[:32]
-            with open(os.path.join(folder, f"{name}.zip"), "xb") as f:
+            path = os.path.join(folder, hashlib.sha256(r["source_id"].encode("utf-8")).hexdigest()[:32] + ".zip")
+            part = f"{path}.{uuid.uuid4().hex}"
+            with open(part, "xb") as f:
                 f.write(r["zip"])
+            try:
+                os.link(part, path)
+            except FileExistsError:
+                with open(path, "rb") as f:
+                    if f.read() != r["zip"]:
+                        raise
+            finally:
+                os.unlink(part)
 
     built.foreachPartition(write)

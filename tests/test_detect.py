@@ -101,3 +101,12 @@ def test_same_as_python_re(spark, texts):
     for text, got in zip(texts, run(spark, texts, terms)):
         assert [(f["start"], f["end"]) for f in got] == oracle(text, terms)
         assert all(f["value"] == text[f["start"] : f["end"]] for f in got)
+
+
+def test_large_dictionary_scans_each_term_by_itself(spark):
+    terms = ("ba", "aa", "x") + tuple(f"t{i}.(" for i in range(70)) + ("t1.(t2", "漢", "漢😀")
+    texts = ["baaa", "t1.(t2.( t69.(", "😀漢😀 t1.(t1.(", "", "none", "password=t5.(t6.(t7.(", "a@b.co t3.("]
+    for text, got in zip(texts, run(spark, texts, terms)):
+        assert [(f["start"], f["end"]) for f in got] == oracle(text, terms)
+        assert all(f["value"] == text[f["start"] : f["end"]] for f in got)
+    assert run(spark, [None], terms) == [None]

@@ -66,6 +66,22 @@ def test_generalize_keep_and_project_tokens(spark):
     assert not {"value", "start", "end"} & set(public.columns)
 
 
+def test_project_ordinals_are_gapless_and_independent_of_partitions(spark):
+    values = spark.range(3000).selectExpr("IF(id % 3 = 0, 'A', 'B') AS label", "concat('v', id) AS value")
+    one, two = ({(r["label"], r["value"]): r["ordinal"] for r in W.project_ordinals(v).collect()} for v in (values.coalesce(1), values.repartition(7)))
+    assert one == two
+    for label, n in (("A", 1000), ("B", 2000)):
+        assert sorted(k for (x, _), k in one.items() if x == label) == list(range(1, n + 1))
+
+
+def test_rehydrate_and_second_scan_with_dictionary(spark):
+    row = spark.createDataFrame([("【A-01】 to 【A-10】", [("【A-01】", "x"), ("【A-10】", "y")])], "t string, e array<struct<token:string,original:string>>")
+    assert row.select(W.rehydrate(F.col("t"), F.col("e"))).first()[0] == "x to y"
+    d = docs(spark, "Example Foundry")
+    gates = d.select(*[G.export_status(F.lit("P0"), F.lit("cloud-approved"), F.col("text"), terms=t) for t in ((), ("Foundry",))]).first()
+    assert tuple(gates) == ("ok", "blocked_scan")
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         S.mask(F.lit("abcdefgh")).alias("a"),
@@ -108,6 +124,11 @@ def test_archive(spark, tmp_path):
         assert z.read("DLP-REPORT.json") == b'{\n  "r": [\n    1,\n    2\n  ]\n}\n'
     assert hashlib.sha256(r["zip"]).hexdigest() == r["zip_sha256"]
     archive.save_packages(built, str(tmp_path))
+    archive.save_packages(built, str(tmp_path))  # as a repeated task would
+    assert len(list(tmp_path.iterdir())) == 1
+    next(tmp_path.iterdir()).write_bytes(b"other")
+    with pytest.raises(Exception, match="FileExistsError"):
+        archive.save_packages(built, str(tmp_path))
     assert len(list(tmp_path.iterdir())) == 1
     with pytest.raises(ValueError):
         archive.build_zip([("../x", b"")])
