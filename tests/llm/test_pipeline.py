@@ -47,3 +47,50 @@ def test_null_ids_pass_the_stages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for stage in (P.exact_stage, P.near_stage, P.suffix_stage):
         assert stage(spark, docs, "").count() in (2, 3)
+
+
+CLASHING = ["id", "kept", "kept_id", "keep", "keep_id", "digest", "run", "n", "key", "comp", "quality_score", "score", "held_out", "piece", "length", "part", "count", "a", "b"]
+
+
+@pytest.fixture(scope="module")
+def labels_dir(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("labels"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def _odd_rows(spark):
+    """Null and empty texts, a very long one, ties, repeated rows, null ids; other columns have the stages' own names."""
+    long_text = " ".join(f"word{i * 7919 % 5003}" for i in range(60_000))
+    texts = {1: "plain words of one short text", 2: None, 3: "", 4: long_text, 5: long_text, 6: "plain words of one short text", 7: " \n\t", None: "no id at all"}
+    rows = [(i, t, None, None, None, *CLASHING) for i, t in texts.items()] + [(1, texts[1], None, None, None, *CLASHING)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+def test_stages_on_odd_rows(spark, labels_dir):
+    docs = _odd_rows(spark).cache()
+    got = {name: stage(spark, docs, labels_dir).toPandas() for name, stage in P.STAGES}
+    for name, rows in got.items():
+        if name != "packing":
+            assert list(rows.columns) == docs.columns, name
+            assert all((rows[c] == c).all() for c in CLASHING), name
+    ids = {name: sorted(-1 if i != i or i is None else int(i) for i in rows.doc_id) for name, rows in got.items()}
+    # of equal texts one id stays, with all its rows; null, empty and blank texts are equal
+    assert ids["exact dedup"] == [-1, 1, 1, 4, 7]
+    # texts without words link with nothing; equal sets do
+    assert ids["near dedup"] == [-1, 1, 1, 2, 3, 4, 7]
+    assert ids["suffix dedup"] == [-1, 1, 1, 2, 3, 4, 5, 6, 7]
+    left = dict(zip(got["suffix dedup"].doc_id, got["suffix dedup"].text))
+    assert left[5] == "" and left[4] == docs.where("doc_id = 4").first()["text"]
+    packed = got["packing"]
+    assert len(packed[packed.piece == 0]) == 9
+    for _, s in packed.sort_values("offset").groupby("sequence_id"):
+        assert list(s.offset) == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 1024
+
+
+def test_stages_on_empty_tables(spark, labels_dir):
+    docs = _odd_rows(spark).limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, labels_dir)
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == docs.columns, name
