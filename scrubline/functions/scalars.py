@@ -17,9 +17,9 @@ def mask(value: Column) -> Column:
     return F.when(n <= 4, F.repeat(F.lit(BULLET), n)).otherwise(F.concat(F.substring(value, 1, 2), middle, F.right(value, F.lit(2))))
 
 
-def utf16_offset(text: Column, start: Column) -> Column:
-    """A code-point offset as a UTF-16 offset."""
-    return (F.octet_length(F.encode(F.substr(text, F.lit(1), start), "UTF-16BE")) / 2).cast("int")
+def utf16_length(value: Column) -> Column:
+    """The length of a text in UTF-16 code units."""
+    return (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int")
 
 
 def finding_id(kind: Column, start: Column, value: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Each detector scans the whole text by itself (split for the gaps, extract for the matches, a fold for
 the positions), behind a cheap test that spares clean rows the scan. Overlaps are then resolved by one
-sorted fold. Offsets are 0-based code points, half-open; ids hash the UTF-16 offset.
+sorted fold. Offsets are 0-based code points, half-open; ids hash the UTF-16 offset,
+which is counted along in the same fold.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .catalog import DETECTORS, DICTIONARY, DICTIONARY_KIND, SEVERITY, Detector,
 #: Up to so many terms each get an expression of their own.
 MANY_TERMS = 64
 
-_CANDIDATE = "array<struct<start:int,neg_severity:int,neg_end:int,ord:int,type:string,severity:string,detector:string,value:string>>"
+_CANDIDATE = "array<struct<start:int,neg_severity:int,neg_end:int,ord:int,type:string,severity:string,detector:string,value:string,start16:int>>"
 FINDING = "array<struct<finding_id:string,type:string,severity:string,start:int,end:int,value:string,masked_preview:string,detector:string>>"
 
 
@@ -29,7 +30,7 @@ def matches(text: Column, d: Detector, ord: int) -> Column:
     empty = F.array().cast(_CANDIDATE)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
+        start, start16 = acc["pos"] + F.length(x["gap"]), acc["pos16"] + S.utf16_length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         one = F.struct(
             start.alias("start"),
@@ -40,10 +41,12 @@ def matches(text: Column, d: Detector, ord: int) -> Column:
             F.lit(d.severity).alias("severity"),
             F.lit(d.name).alias("detector"),
             x["hit"].alias("value"),
+            start16.alias("start16"),
         )
-        return F.struct(end.alias("pos"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one).cast(_CANDIDATE))).alias("out"))
+        end16 = start16 + F.coalesce(S.utf16_length(x["hit"]), F.lit(0))
+        return F.struct(end.alias("pos"), end16.alias("pos16"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one).cast(_CANDIDATE))).alias("out"))
 
-    scan = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    scan = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("pos16"), empty.alias("out")), step, lambda acc: acc["out"])
     return F.when(d.may_match(text), scan).otherwise(empty)
 
 
@@ -60,7 +63,7 @@ def dictionary_matches(text: Column, terms: list[str] | tuple[str, ...], ord: in
         gaps = F.split(text, t["pattern"], -1)
 
         def step(acc: Column, gap: Column) -> Column:
-            start = acc["pos"] + F.length(gap)
+            start, start16 = acc["pos"] + F.length(gap), acc["pos16"] + S.utf16_length(gap)
             end = start + F.length(t["term"])
             one = F.struct(
                 start.alias("start"),
@@ -71,11 +74,12 @@ def dictionary_matches(text: Column, terms: list[str] | tuple[str, ...], ord: in
                 F.lit("high").alias("severity"),
                 F.lit(DICTIONARY).alias("detector"),
                 t["term"].alias("value"),
+                start16.alias("start16"),
             )
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one).cast(_CANDIDATE)).alias("out"))
+            return F.struct(end.alias("pos"), (start16 + S.utf16_length(t["term"])).alias("pos16"), F.concat(acc["out"], F.array(one).cast(_CANDIDATE)).alias("out"))
 
         # the last piece has no match after it
-        return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.lit(0).alias("pos"), F.array().cast(_CANDIDATE).alias("out")), step, lambda acc: acc["out"])
+        return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.lit(0).alias("pos"), F.lit(0).alias("pos16"), F.array().cast(_CANDIDATE).alias("out")), step, lambda acc: acc["out"])
 
     return F.flatten(F.transform(held, scan))
 
@@ -103,7 +107,7 @@ def detect(text: Column, terms: list[str] | tuple[str, ...] = ()) -> Column:
     found = F.transform(
         resolve(candidates(text, terms)),
         lambda x: F.struct(
-            S.finding_id(x["type"], S.utf16_offset(text, x["start"]), x["value"]).alias("finding_id"),
+            S.finding_id(x["type"], x["start16"], x["value"]).alias("finding_id"),
             x["type"].alias("type"),
             x["severity"].alias("severity"),
             x["start"].alias("start"),

@@ -119,15 +119,16 @@ def apply_policy(text: Column, found: Column, actions: dict[str, str]) -> Column
     Types that the policy does not name are deleted; types that must be deleted always are. A token's
     number counts the earlier tokenized findings of its label in the row.
     """
-    forced = {k: "delete" for k in FORCED_DELETE}
-    policy = {**actions, **forced}
-    table = F.create_map(*[F.lit(x) for pair in policy.items() for x in pair])
-    tokenized = lambda x: F.coalesce(table[x["type"]], F.lit("delete")) == "tokenize"
-    named = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(tokenized(x), S.normalize_label(x["type"])).alias("label")))
-
-    def part(x: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(named, F.lit(1), i), lambda y: y["label"] == x["label"]))
-        new = F.when(x["label"].isNull(), REMOVED).otherwise(S.token(x["label"], earlier + 1))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), new.alias("new_value"))
-
-    return splice(text, F.transform(named, part))
+    policy = {**actions, **{k: "delete" for k in FORCED_DELETE}}
+    tokenized = sorted(k for k, action in policy.items() if action == "tokenize")
+    kinds = F.array(*[F.lit(k) for k in tokenized]).cast("array<string>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array_repeat(F.lit(0), len(tokenized)).alias("counts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        place = F.array_position(kinds, x["type"]).cast("int")  # 0 where it is no tokenized type
+        counts = F.transform(acc["counts"], lambda n, i: n + F.when(i + 1 == place, 1).otherwise(0))
+        token = S.token(S.normalize_label(x["type"]), F.get(acc["counts"], place - 1) + 1)
+        gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])
+        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.when(place > 0, token).otherwise(REMOVED)).alias("out"), counts.alias("counts"))
+
+    return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
