@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.scalars import SPACES
 
+#: Severities and their ranks, actions, classes, routes, the dictionary detector, types that must be deleted.
 SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 ACTIONS = ("delete", "tokenize", "generalize", "keep")
 CLASSIFICATIONS = ("P0", "P1", "P2", "P3")
 ROUTES = ("cloud-approved", "cloud-sanitized", "local-only")
-#: The detector of dictionary terms.
 DICTIONARY, DICTIONARY_KIND = "local-exact-data", "exact-data"
 FORCED_DELETE = ("private-key", "api-token", "credential")
 
 _W = "[A-Za-z0-9_]"
 _BEFORE, _AFTER = f"(?<!{_W})", f"(?!{_W})"
 _EITHER = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
+#: Parts of patterns.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _PEM = "(?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
 

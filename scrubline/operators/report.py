@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOOL, TOOL_VERSION, SCHEMA = "scrubline", "0.1.0", "1.0"
+TOOL, TOOL_VERSION = "scrubline", "0.1.0"
+#: Fixed values of the package format: schema version, entries in their order, coverage, disclaimer.
+SCHEMA = "1.0"
 SOURCE_ENTRY = "SAFE_SOURCE/source.md"
-#: The entries of a package in their order.
 ENTRIES = (SOURCE_ENTRY, "SAFE-MANIFEST.json", "DLP-REPORT.json", "README-SAFE-UPLOAD.md")
+COVERAGE = "plain-text-complete"
 DISCLAIMER = "Defense-in-depth only; absence of detection is not proof of safety."
 
 
@@ -38,7 +40,7 @@ def manifest(project: Column, source: Column, source_sha256: Column, sanitized:
         F.struct(F.lit(SOURCE_ENTRY).alias("path"), sha256(sanitized).alias("sha256")).alias("derivative"),
         classification.alias("classification"),
         route.alias("allowed_route"),
-        F.lit("plain-text-complete").alias("parser_coverage"),
+        F.lit(COVERAGE).alias("parser_coverage"),
         token_map_created.alias("token_map_created"),
         F.lit(False).alias("token_map_in_package"),
         F.array(*[F.lit(e) for e in ENTRIES]).alias("allowlist"),

@@ -10,6 +10,7 @@ from scrubline.functions import scalars as S
 from .catalog import FORCED_DELETE
 from .decide import validated
 
+#: Fixed value: what stands for a deleted finding.
 REMOVED = "[REMOVED]"
 #: Hex digits of a value's hash that name its bucket, so 4096 buckets a label.
 BUCKET_DIGITS = 3
