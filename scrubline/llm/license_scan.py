@@ -1,16 +1,18 @@
-"""License scans: an exact set-similarity join of text blocks with license templates.
+"""License scans: an exact set-similarity join of runs of words with license templates.
 
-A block is a stretch of text between line ends or sentence ends; block and template are sets of
-words. The words of the templates are ordered by their document frequency over the whole corpus,
-rarest first. A template of n words that a block must contain to the part t can only match if
+A run is a stretch of consecutive words, over line and sentence ends, of at most ``SPAN`` times the
+words of the template it is held against; run and template are sets of words. The words of the
+templates are ordered by their document frequency over the whole corpus, rarest first. A template
+of n words that a run must contain to the part t can only match in a document if
 
-* prefix: one of its first n - ceil(t*n) + 1 words is in the block,
-* length: the block has ceil(t*n) words of the vocabulary or more,
+* prefix: one of its first n - ceil(t*n) + 1 words is in the document,
+* length: the document has ceil(t*n) words of the vocabulary or more,
 * position: after the first shared word, enough words are left on both sides,
 
-and only blocks that pass all three are verified by intersecting the sets. The filters lose
-nothing. The template side has a fixed size (``TEMPLATES``) and is folded into the expressions, so
-the join is narrow: nothing is shuffled but the frequency counts, and no Python runs on rows.
+and only in documents that pass all three are the runs verified: one from each word of the
+template on, so that no match falls between. The filters lose nothing. The template side has a
+fixed size (``TEMPLATES``) and is folded into the expressions, so the join is narrow: nothing is
+shuffled but the frequency counts, and no Python runs on rows.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ TEMPLATES = {
     "Unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.8
-#: Ends of blocks: line ends, or sentence marks before a space.
-BLOCK_END = r"[.!?]+[ \t\r\n]+|[\r\n]+"
+#: A run has at most so many times the words of its template.
+SPAN = 4
 
 
 def vocabulary(templates: dict[str, str]) -> list[str]:
@@ -83,13 +85,21 @@ def _ints(values: list[int]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _contained(block: Column, ranks: list[int], least: int, prefix: int) -> Column:
-    """The part of the template in the block (its sorted ranks), or 0.0 below the threshold."""
-    shared = F.array_intersect(_ints(ranks), block)
-    first = F.element_at(F.array_intersect(_ints(ranks[:prefix]), block), 1)
-    left = F.least(F.lit(len(ranks)) - F.array_position(_ints(ranks), first), F.size(block) - F.array_position(block, first))
-    passes = (F.size(block) >= least) & F.arrays_overlap(_ints(ranks[:prefix]), block)
-    return F.when(passes, F.when((left + 1 >= least) & (F.size(shared) >= least), F.size(shared) / F.lit(len(ranks))).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
+def _possible(found: Column, ranks: list[int], least: int, prefix: int) -> Column:
+    """Whether a document with these sorted ranks can contain the template."""
+    shared = F.array_intersect(_ints(ranks), found)
+    first = F.element_at(F.array_intersect(_ints(ranks[:prefix]), found), 1)
+    left = F.least(F.lit(len(ranks)) - F.array_position(_ints(ranks), first), F.size(found) - F.array_position(found, first))
+    passes = (F.size(found) >= least) & F.arrays_overlap(_ints(ranks[:prefix]), found)
+    return F.when(passes, (left + 1 >= least) & (F.size(shared) >= least)).otherwise(F.lit(False))
+
+
+def _contained(lowered: Column, text: str, least: int) -> Column:
+    """The largest part of the template in a run of these words, or 0.0 below the threshold."""
+    words, longest = sorted(set(text.split())), SPAN * len(text.split())
+    starts = F.filter(F.transform(lowered, lambda w, i: F.when(w.isin(words), i + 1)), lambda i: i.isNotNull())
+    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.array(*map(F.lit, words)), F.slice(lowered, i, F.lit(longest))))))
+    return F.when(shared >= least, shared / F.lit(len(words))).otherwise(F.lit(0.0))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,7 +107,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and
     largest of their first words' numbers, null if there is none. labels has the base labels and the
-    SPDX identifiers of the templates that some block contains. score is the largest containment of
+    SPDX identifiers of the templates that some run of words contains, wherever lines and sentences end. score is the largest containment of
     a matched template, 1.0 if a base phrase was found, else 0. Null text counts as empty (no words,
     empty labels, score 0). Repeated rows give repeated rows; an empty table gives none; other
     columns are ignored.
@@ -129,22 +139,22 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     no_place = F.array().cast("array<struct<label:string,at:bigint>>")
     places = F.when(flagged & F.col("raw").rlike("(?i)" + phrases), place).otherwise(no_place)
 
-    # blocks: only of rows that hold a probe, a word of some template's prefix
-    def block_ranks(block: Column) -> Column:
-        tokens = F.transform(F.regexp_extract_all(block, F.lit(WORD), F.lit(0)), lambda w: ranked[_lower(w)])
-        return F.array_sort(F.array_distinct(F.filter(tokens, lambda r: r.isNotNull())))
-
-    blocks = F.filter(F.split("raw", BLOCK_END, -1), lambda b: b.rlike(probes))
-    block_sets = F.when(F.col("raw").rlike(probes), F.array_distinct(F.transform(blocks, block_ranks))).otherwise(F.array().cast("array<array<int>>"))
+    # templates that the filters leave, only of rows that hold a probe, a word of some template's prefix
+    known = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("raw", F.lit(_any_word(sorted(rank))), F.lit(0))), _lower))
+    found = F.when(F.col("raw").rlike(probes), F.array_sort(F.transform(known, lambda w: ranked[w]))).otherwise(F.array().cast("array<int>"))
     no_match = F.array().cast("array<struct<label:string,part:double>>")
-
-    def grown(acc: Column, block: Column) -> Column:
-        hits = F.array(*[F.struct(F.lit(label).alias("label"), _contained(block, ranks, least, prefix).alias("part")) for label, ranks, least, prefix in index])
-        return F.concat(acc, F.filter(hits, lambda h: h["part"] > 0))
-
-    matches = F.aggregate(F.col("block_sets"), no_match, grown)
-    step = raw.select("doc_id", F.regexp_count("raw", F.lit(WORD)).cast("long").alias("n_words"), places.alias("places"), block_sets.alias("block_sets"))
-    step = step.select("doc_id", "n_words", "places", F.when(F.size("block_sets") > 0, matches).otherwise(no_match).alias("matches"))
+    left = F.array(*[F.when(_possible(F.col("found"), ranks, least, prefix), F.lit(k)) for k, (_, ranks, least, prefix) in enumerate(index)])
+    left = F.when(F.size("found") > 0, F.filter(left, lambda k: k.isNotNull())).otherwise(F.array().cast("array<int>"))
+
+    def hits(lowered: Column) -> Column:
+        parts = [F.when(F.array_contains("left", F.lit(k)), _contained(lowered, templates[label], least)).otherwise(F.lit(0.0)) for k, (label, _, least, _) in enumerate(index)]
+        return F.filter(F.array(*[F.struct(F.lit(label).alias("label"), part.alias("part")) for (label, *_), part in zip(index, parts)]), lambda h: h["part"] > 0)
+
+    # an array of one, so that the words of a row are taken once
+    matches = F.element_at(F.transform(F.array(F.regexp_extract_all(_lower(F.col("raw")), F.lit(WORD), F.lit(0))), hits), 1)
+    step = raw.select("doc_id", "raw", F.regexp_count("raw", F.lit(WORD)).cast("long").alias("n_words"), places.alias("places"), found.alias("found"))
+    step = step.select("doc_id", "raw", "n_words", "places", left.alias("left"))
+    step = step.select("doc_id", "n_words", "places", F.when(F.size("left") > 0, matches).otherwise(no_match).alias("matches"))
     starts = F.transform("places", lambda p: p["at"])
     base = F.transform("places", lambda p: p["label"])
     found = F.transform("matches", lambda m: m["label"])

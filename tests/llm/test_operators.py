@@ -292,6 +292,45 @@ def test_license_scan(spark, nasty):
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (2, 1, 5)
 
 
+def test_license_scan_over_line_and_sentence_ends(spark):
+    texts = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy of the MPL\r\n */",
+        "x " * 500 + "\n# Licensed\n# under\n# CC BY-NC\n# 4.0\n" + "y " * 500,
+        # words of a template that stand far from each other are no notice
+        ("licensed under" + " x" * 50) * 2 + " cc by nc" + " x" * 50 + " 4 0",
+    ]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("BSD-3-Clause", 1.0), ("MPL-2.0", 1.0), ("CC-BY-NC-4.0", 1.0), ("", 0.0)]
+
+
+def test_license_runs_against_brute_force(spark):
+    rng = random.Random(5)
+    words = license_scan.vocabulary(license_scan.TEMPLATES)
+    texts = []
+    for _ in range(150):
+        t = rng.choice(list(license_scan.TEMPLATES.values())).split()
+        spaced = [x for w in t if rng.random() < 0.9 for x in [w.upper(), *rng.choices([*words, "x"], k=rng.choice([0, 0, 0, 1, 8]))]]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", ". ", "\n\n * "]) for w in spaced))
+
+    def brute(text):
+        ws, out = re.findall("[0-9a-z]+", text.lower()), {}
+        for label, t in license_scan.TEMPLATES.items():
+            n, span = set(t.split()), license_scan.SPAN * len(t.split())
+            best = max((len(n & set(ws[i : i + span])) for i in range(len(ws))), default=0)
+            if best >= license_scan.THRESHOLD * len(n) - 1e-9:
+                out[label] = best / len(n)
+        return out
+
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [brute(t) for t in texts]
+    assert 20 < sum(map(bool, want)) < 150
+    for r in got:
+        labels = set(r["labels"].split(",")) - {"", *license_scan.BASE.values()}
+        assert labels == set(want[r["doc_id"]])
+        assert r["score"] == (1.0 if r["n_base"] else max(want[r["doc_id"]].values(), default=0.0))
+
+
 def test_chat_pairs(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", "hi"), (2, 1, "assistant", "c"), (3, 0, "user", None), (None, 0, None, "x"), (None, 0, None, "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
