@@ -10,7 +10,8 @@ of n words that a run must contain to the part t can only match in a document if
 * position: after the first shared word, enough words are left on both sides,
 
 and only in documents that pass all three are the runs verified: one from each word of the
-template on, so that no match falls between. The filters lose nothing. The template side has a
+template on, so that no match falls between. A run must also hold what tells the license from its
+neighbours (``MARKS``: name and version), whatever other words are missing. The filters lose nothing. The template side has a
 fixed size (``TEMPLATES``) and is folded into the expressions, so the join is narrow: nothing is
 shuffled but the frequency counts, and no Python runs on rows.
 """
@@ -43,6 +44,21 @@ TEMPLATES = {
     "BSD-3-Clause": "redistribution and use in source and binary forms with or without modification are permitted",
     "Unlicense": "this is free and unencumbered software released into the public domain",
 }
+def _versions(names: list[str], number: int) -> tuple[str, ...]:
+    """Phrases in which this number, or a list of numbers that ends in it, follows one of the names."""
+    before = ["", "version ", "v ", "v", "either version ", "either v", *(f"{e}version {number - 1} or {v}" for e in ("", "either ") for v in ("", "version "))]
+    return tuple(f"{name} {x}{number}" for name in names for x in before)
+
+
+#: What tells a license from its neighbours: a run must hold one phrase of every line of its label.
+MARKS = {
+    "MIT": [("under the mit", "under mit", "terms of the mit", "mit license", "mit x11", "mit expat")],
+    "Apache-2.0": [_versions(["apache license", "apache software license", "apache public license"], 2)],
+    "GPL-3.0": [_versions(["gnu general public license", "gnu general public license gpl"], 3)],
+    "CC-BY-NC-4.0": [("by nc 4", "by nc version 4", "by nc v 4", "by nc v4", "by nc license 4", "by nc license version 4")],
+    "MPL-2.0": [_versions(["mozilla public license", "mozilla public license mpl"], 2)],
+    "Unlicense": [("unencumbered software",)],
+}
 THRESHOLD = 0.8
 #: A run has at most so many times the words of its template.
 SPAN = 4
@@ -94,11 +110,21 @@ def _possible(found: Column, ranks: list[int], least: int, prefix: int) -> Colum
     return F.when(passes, (left + 1 >= least) & (F.size(shared) >= least)).otherwise(F.lit(False))
 
 
-def _contained(lowered: Column, text: str, least: int) -> Column:
-    """The largest part of the template in a run of these words, or 0.0 below the threshold."""
+def _contained(lowered: Column, text: str, least: int, marks: list[tuple[str, ...]]) -> Column:
+    """The largest part of the template in a run of these words that holds its marks, or 0.0 below the threshold."""
     words, longest = sorted(set(text.split())), SPAN * len(text.split())
-    starts = F.filter(F.transform(lowered, lambda w, i: F.when(w.isin(words), i + 1)), lambda i: i.isNotNull())
-    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.array(*map(F.lit, words)), F.slice(lowered, i, F.lit(longest))))))
+    first = sorted({*words, *(p.split()[0] for phrases in marks for p in phrases)})
+    starts = F.filter(F.transform(lowered, lambda w, i: F.when(w.isin(first), i + 1)), lambda i: i.isNotNull())
+
+    def size(run: Column) -> Column:
+        shared = F.size(F.array_intersect(F.array(*map(F.lit, words)), run))
+        marked = shared >= least
+        for phrases in marks:
+            marked = marked & F.array_join(run, " ").rlike(f"(?<![^ ])(?:{'|'.join(phrases)})(?![^ ])")
+        return F.when(marked, shared)
+
+    # an array of one, so that a run is taken once
+    shared = F.array_max(F.transform(starts, lambda i: F.element_at(F.transform(F.array(F.slice(lowered, i, F.lit(longest))), size), 1)))
     return F.when(shared >= least, shared / F.lit(len(words))).otherwise(F.lit(0.0))
 
 
@@ -107,7 +133,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and
     largest of their first words' numbers, null if there is none. labels has the base labels and the
-    SPDX identifiers of the templates that some run of words contains, wherever lines and sentences end. score is the largest containment of
+    SPDX identifiers of the templates that some run of words contains, wherever lines and sentences end, along with their
+    marks; templates of the caller's own have no marks. score is the largest containment of
     a matched template, 1.0 if a base phrase was found, else 0. Null text counts as empty (no words,
     empty labels, score 0). Repeated rows give repeated rows; an empty table gives none; other
     columns are ignored.
@@ -147,7 +174,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     left = F.when(F.size("found") > 0, F.filter(left, lambda k: k.isNotNull())).otherwise(F.array().cast("array<int>"))
 
     def hits(lowered: Column) -> Column:
-        parts = [F.when(F.array_contains("left", F.lit(k)), _contained(lowered, templates[label], least)).otherwise(F.lit(0.0)) for k, (label, _, least, _) in enumerate(index)]
+        parts = [F.when(F.array_contains("left", F.lit(k)), _contained(lowered, templates[label], least, MARKS.get(label, []) if templates is TEMPLATES else [])).otherwise(F.lit(0.0)) for k, (label, _, least, _) in enumerate(index)]
         return F.filter(F.array(*[F.struct(F.lit(label).alias("label"), part.alias("part")) for (label, *_), part in zip(index, parts)]), lambda h: h["part"] > 0)
 
     # an array of one, so that the words of a row are taken once

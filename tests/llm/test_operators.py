@@ -304,6 +304,28 @@ def test_license_scan_over_line_and_sentence_ends(spark):
     assert [(r["labels"], r["score"]) for r in got] == [("BSD-3-Clause", 1.0), ("MPL-2.0", 1.0), ("CC-BY-NC-4.0", 1.0), ("", 0.0)]
 
 
+def test_license_scan_on_near_misses(spark):
+    cases = {
+        "released under the Apache License": "apache",
+        "licensed under CC BY 4.0": "",
+        "licensed under CC BY-NC 3.0": "",
+        "licensed under CC BY-NC-SA 4.0": "",
+        "licensed under the MIT License version 2.0": "MIT,mit",
+        "released under the MIT (Expat) License": "MIT",
+        "this work is licensed under the GNU General Public License version 2": "gpl",
+        "this work is licensed under the GNU General Public License version 2. See section 3": "gpl",
+        "this work is licensed under the GNU Lesser General Public License version 3": "gpl",
+        "this work is licensed under the GNU General Public License v3": "GPL-3.0,gpl",
+        "Licensed under the Apache License, Version 1.1, for 2 years": "apache",
+        "Licensed under the Apache License, Version 1.1, or the GPL, version 2": "apache",
+        "this work is licensed under the GNU General Public License, either version 2 or version 3": "GPL-3.0,gpl",
+        "Licensed under the Apache License 2.0": "Apache-2.0,apache",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1, clause 2.0": "",
+    }
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert dict(zip(cases, (r["labels"] for r in got))) == cases
+
+
 def test_license_runs_against_brute_force(spark):
     rng = random.Random(5)
     words = license_scan.vocabulary(license_scan.TEMPLATES)
@@ -317,7 +339,9 @@ def test_license_runs_against_brute_force(spark):
         ws, out = re.findall("[0-9a-z]+", text.lower()), {}
         for label, t in license_scan.TEMPLATES.items():
             n, span = set(t.split()), license_scan.SPAN * len(t.split())
-            best = max((len(n & set(ws[i : i + span])) for i in range(len(ws))), default=0)
+            runs = [ws[i : i + span] for i in range(len(ws))]
+            marked = [r for r in runs if all(any(f" {p} " in f" {' '.join(r)} " for p in ps) for ps in license_scan.MARKS.get(label, []))]
+            best = max((len(n & set(r)) for r in marked), default=0)
             if best >= license_scan.THRESHOLD * len(n) - 1e-9:
                 out[label] = best / len(n)
         return out
