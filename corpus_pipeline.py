@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup
-from scrubline.llm.common import scratch_folder, table
+from scrubline.llm.common import scratch_folder, table, text_or_empty
 
 
 def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -29,8 +29,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_dedup(docs))
+    """Keeps one document of each group of equal texts.
+
+    The verdict holds for an id along with its text: rows of one id with different texts are judged
+    each by its own. Repeated rows with one id share their outcome; of rows without an id that are
+    kept for one text the longest stays, alone.
+    """
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct()
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (exact_dedup.text_sha256(rows["text"]) == kept["kept_text"]), "left_semi")
+
+    # combined before the exchange, so that no task holds all rows of a text
+    nameless = judged(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    raw = text_or_empty()
+    one = nameless.groupBy(exact_dedup.text_sha256(F.col("text")).alias("t")).agg(F.max_by(row, F.struct(F.char_length(raw), raw)).alias("r")).select("r.*")
+    return judged(docs.where("doc_id is not null")).unionByName(one)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ the normalised text, all three part of the merge key at every level.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, table, text_or_empty
@@ -40,6 +40,11 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def text_sha256(text: Column) -> Column:
+    """The digest of a text as the verdict names it."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), SPACES, ""), 256)
+
+
 def tree_merge(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """(digest, check, width, keep, group_size), one row per distinct text."""
     # null ids come after all others

@@ -49,6 +49,15 @@ def test_null_ids_pass_the_stages(spark):
         assert stage(spark, docs, "").count() in (2, 3)
 
 
+def test_exact_stage_judges_rows_of_null_and_repeated_ids(spark):
+    rows = [(None, "own text"), (None, "a text"), (None, "lone copy"), (None, "lone  copy"), (None, None), (None, ""), (1, "a text"), (2, "b text"), (3, "b text"), (3, "c text")]
+    docs = spark.createDataFrame([(*r, "en", "s", 8) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.exact_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(None, "own text"), (None, "lone  copy"), (None, ""), (1, "a text"), (2, "b text"), (3, "c text")], key=repr)
+
+
 CLASHING = ["id", "kept", "kept_id", "keep", "keep_id", "digest", "run", "n", "key", "comp", "quality_score", "score", "held_out", "piece", "length", "part", "count", "a", "b"]
 
 
