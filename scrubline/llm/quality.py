@@ -88,6 +88,11 @@ class Trees:
     base: float
     depth: int
 
+    @property
+    def learned(self) -> bool:
+        """Whether any node splits."""
+        return bool(np.isfinite(self.cut).any())
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros((len(self.feature), len(x)), np.int64)
         tree = np.arange(len(self.feature))[:, None]
@@ -196,7 +201,13 @@ def _scored(docs: DataFrame, trees: Trees, name: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns as they are, whose score reaches the threshold."""
+    """The documents, all columns as they are, whose score reaches the threshold.
+
+    Where the trees could not learn both labels (no labels, one label only, or too few for a single
+    split) every score is the same and tells nothing: all documents are kept.
+    """
+    if not trees.learned:
+        return docs
     name = "quality_score"
     while name in docs.columns:
         name += "_"

@@ -97,6 +97,13 @@ def test_stages_on_odd_rows(spark, labels_dir):
         assert list(s.offset) == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 1024
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(i, i % 2, 0) for i in range(6)], [(i, 0, 0) for i in range(40)]])
+def test_quality_stage_keeps_all_where_nothing_was_learned(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"plain words of text {i}") for i in range(40)], "doc_id long, text string")
+    assert P.quality_stage(spark, docs, str(tmp_path)).count() == 40
+
+
 def test_stages_on_empty_tables(spark, labels_dir):
     docs = _odd_rows(spark).limit(0)
     for name, stage in P.STAGES:
