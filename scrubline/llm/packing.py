@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, _byte_letters, default_vocabulary
+from .bpe import PATTERN, Codec, _byte_letters, default_vocabulary
 from .common import settle, ship, table
 
 CAPACITY = 1024
@@ -33,18 +33,35 @@ _ENCODERS: dict[str, tuple] = {}
 _LOCK = threading.Lock()
 
 
+def follows_ids(spec: dict) -> bool:
+    """Whether a vocabulary's merges make ids in rising order, after all bytes: then the id is the rank."""
+    vocab = spec["model"]["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    first = max(vocab[c] for c in _byte_letters())
+    return all(a < b for a, b in zip([first, *made], made))
+
+
 def encoder(path: str):
-    """A function from text to ids, with the vocabulary file's default treatment of added tokens."""
+    """A function from text to ids, with the vocabulary file's default treatment of added tokens.
+
+    The tiktoken library merges by id; a vocabulary whose ids do not follow its merges goes through
+    the numpy codec instead.
+    """
     import tiktoken
 
     with _LOCK:
         if path not in _ENCODERS:
             spec = json.load(open(path, encoding="utf-8"))
-            value = {c: b for b, c in enumerate(_byte_letters())}
-            special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(value[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-            _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
+            if follows_ids(spec):
+                value = {c: b for b, c in enumerate(_byte_letters())}
+                special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+                ranks = {bytes(value[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
+                _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
+            else:
+                _ENCODERS[path] = Codec(path), ()
     coder, special = _ENCODERS[path]
+    if isinstance(coder, Codec):
+        return lambda text: coder.encode_batch([text])[0].tolist()
     allowed = set(special)
     return lambda text: coder.encode(text, allowed_special=allowed) if any(s in text for s in special) else coder.encode_ordinary(text)
 
@@ -56,10 +73,14 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 class _Index:
-    """Which available lengths, and pairs of them, have a given sum."""
+    """Which available lengths, pairs and triples of them have a given sum.
+
+    Pair sums list their pairs. Triple sums list the largest members (descending) of their triples;
+    the other two members stand under the rest of the sum in the index of pairs.
+    """
 
     def __init__(self, have: np.ndarray, capacity: int):
-        self.have, self.capacity = have, capacity
+        self.have = have
         lengths = np.flatnonzero(have)
         self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, b in enumerate(lengths.tolist()):
@@ -70,6 +91,12 @@ class _Index:
         # longest first, so that short lengths stay for later gaps
         for found in self.pairs.values():
             found.sort(reverse=True)
+        sums = np.array(sorted(self.pairs), np.int64)
+        least = np.array([self.pairs[s][-1][0] for s in sums.tolist()], np.int64)  # the smallest larger member
+        self.largest: dict[int, list[int]] = defaultdict(list)
+        for a in lengths[::-1].tolist():
+            for s in sums[(least <= a) & (sums + a <= capacity)].tolist():
+                self.largest[a + s].append(a)
 
     def times(self, combo: tuple[int, ...]) -> int:
         """How often a combination can be taken."""
@@ -85,9 +112,9 @@ class _Index:
                 yield a, b
 
     def triples(self, gap: int):
-        for a in range(min(gap - 2, self.capacity), 0, -1):
+        for a in self.largest.get(gap, ()):
             if self.have[a]:
-                for b, c in self.pairs.get(gap - a, ()):
+                for b, c in self.pairs[gap - a]:
                     if b <= a and self.have[b] and self.have[c]:
                         yield a, b, c
 
@@ -207,7 +234,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     Null and empty texts are the end id alone. Repeated rows and null ids are packed as documents of
-    their own. An empty table gives no rows; other columns are ignored.
+    their own; pieces that tie in length take any of that length's places. A text of any length is
+    encoded whole and cut. An empty table gives no rows; other columns are ignored.
     """
     import pyarrow as pa
 
