@@ -1,9 +1,12 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
 The symbols of many words lie in one flat array. In each round every adjacent pair inside a word
-is looked up by binary search in the sorted pair keys; every word merges all places of its
-lowest-ranked pair, left to right and not overlapping; the array is compacted and words without a
-pair leave. Words recur, so each worker keeps the ids of words it has met in a bounded cache.
+is looked up by binary search in the sorted pair keys. A word's lowest-ranked pairs merge, not the
+very lowest alone: a merge makes a known symbol, and no pair with that symbol ranks below the
+symbol's own limit, so all pairs that rank below the least limit of the word's pairs are settled
+among themselves, lower rank and then left place first. The array is compacted and words without a
+pair leave. So a word of any length takes some hundred rounds. Words recur, so each worker keeps the
+ids of words it has met in a cache of bounded size.
 
 The vocabulary file is a parameter; its ``added_tokens`` are cut out of the text first, as the
 tokenizers library does with its default settings.
@@ -26,7 +29,7 @@ from .common import ship, table
 
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_CHARS = 400_000, 16_000_000
 _PAIR = np.uint64(32)
 _NONE = np.iinfo(np.int64).max
 
@@ -64,6 +67,11 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        # the least rank of a pair that holds the symbol which a merge makes
+        lowest = np.full(max(vocab.values()) + 1, _NONE)
+        np.minimum.at(lowest, (keys >> _PAIR).astype(np.int64), np.arange(len(keys)))
+        np.minimum.at(lowest, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), np.arange(len(keys)))
+        self.limit = lowest[self.merged]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -81,6 +89,7 @@ class Codec:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.empty(1 << 16, np.int32)
         self.offsets = [0]
 
@@ -94,7 +103,7 @@ class Codec:
         out_sym, out_word = [], []
         while len(sym):
             n = len(sym)
-            rank = np.full(n, _NONE)
+            rank, limit = np.full(n, _NONE), np.full(n, _NONE)
             slot = np.zeros(n, np.int64)
             if n > 1:
                 inside = np.flatnonzero(word[1:] == word[:-1])
@@ -102,6 +111,7 @@ class Codec:
                 found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 hit = self.keys[found] == key
                 rank[inside[hit]] = self.rank[found[hit]]
+                limit[inside[hit]] = self.limit[found[hit]]
                 slot[inside[hit]] = found[hit]
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             sizes = np.diff(np.concatenate([first, [n]]))
@@ -110,12 +120,10 @@ class Codec:
             if not alive.all():
                 out_sym.append(sym[~alive])
                 out_word.append(word[~alive])
-            at = np.flatnonzero(alive & (rank == np.repeat(lowest, sizes)))
+            # never below the lowest rank itself, whatever the vocabulary
+            below = np.maximum(np.minimum.reduceat(limit, first), np.minimum(lowest, _NONE - 1) + 1)
+            at = self._settled(np.flatnonzero(rank < np.repeat(below, sizes)), rank)
             if len(at):
-                # of a run of adjacent places (a pair of equal symbols) every second one merges
-                begin = np.concatenate([[True], np.diff(at) != 1])
-                nth = np.arange(len(at)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
-                at = at[nth % 2 == 0]
                 sym = sym.copy()
                 sym[at] = self.merged[slot[at]]
                 alive[at + 1] = False
@@ -126,6 +134,35 @@ class Codec:
         order = np.argsort(all_word, kind="stable")
         return all_sym[order].astype(np.int32), np.bincount(all_word, minlength=len(raw))
 
+    @staticmethod
+    def _settled(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Which of the pairs at these places merge: lower rank first, then left to right, none overlapping."""
+        chosen = []
+        while len(at):
+            r = rank[at]
+            joined = np.diff(at) == 1
+            # a run of one rank (a pair of equal symbols, repeated) merges every second place
+            begin = np.flatnonzero(np.concatenate([[True], ~joined | (r[1:] != r[:-1])]))
+            size = np.diff(np.concatenate([begin, [len(at)]]))
+            end = begin + size - 1
+            value = r[begin]
+            touch = joined[begin[1:] - 1]
+            lower = np.concatenate([[True], ~touch | (value[1:] < value[:-1])]) & np.concatenate([~touch | (value[:-1] < value[1:]), [True]])
+            ready = np.repeat(lower, size)
+            nth = np.arange(len(at)) - np.repeat(begin, size)
+            take = ready & (nth % 2 == 0)
+            chosen.append(at[take])
+            gone = ready.copy()
+            # a taken pair at the edge of its run leaves nothing to the pair beside it
+            left = begin[lower]
+            beside = left[left > 0] - 1
+            gone[beside[joined[beside]]] = True
+            right = end[lower & ((size - 1) % 2 == 0)]
+            beside = right[right < len(at) - 1]
+            gone[beside[joined[beside]] + 1] = True
+            at = at[~gone]
+        return np.sort(np.concatenate(chosen)) if chosen else at
+
     def _learn(self, words: list[str]) -> None:
         ids, counts = self.merge_words(words)
         base = self.offsets[-1]
@@ -139,7 +176,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        if len(self.at) > self.cache_words:
+        if len(self.at) > self.cache_words or self.chars > CACHE_CHARS:
             self._reset()
         split = []
         for text in texts:
@@ -153,6 +190,7 @@ class Codec:
         new = list({w: None for words in split for w in words if w not in self.at})
         for w in [w for w in new if w in self.special]:
             self._learn_special(w)
+        self.chars += sum(map(len, new))
         self._learn([w for w in new if w not in self.special])
         offsets, at, out = np.array(self.offsets), self.at, []
         for words in split:
