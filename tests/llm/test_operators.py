@@ -424,3 +424,85 @@ def test_trees_and_quality_edges(spark, nasty):
 def test_empty_tables(none):
     for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, suffix_dedup.dedup_report, suffix_dedup.remove_repeats, bpe.bpe_digests, bpe.encode_decode, packing.pack, license_scan.license_scan, media_ts.media_digests, media_ts.store_streams):
         assert f(none).count() == 0
+
+
+# -- methods ---------------------------------------------------------------------------------------
+def test_exact_dedup_over_many_runs(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["same text", f"text {rnd.randrange(40)}", f"own {i}"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    for fan_in in (None, 2, 4):
+        assert collect(exact_dedup.exact_dedup(df, fan_in=fan_in)) == brute_exact(rows)
+
+
+def test_bpe_of_one_very_long_word():
+    rnd = random.Random(6)
+    t, c = library(), bpe.Codec(bpe.default_vocabulary())
+    words = ["".join(rnd.choice(letters) for _ in range(200_000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "aé漢")] + ["the" * 50_000]
+    for word, ids in zip(words, c.encode_batch(words)):
+        assert ids.tolist() == t.encode(word, add_special_tokens=False).ids
+        assert c.decode(ids) == word
+
+
+def test_bpe_of_words_of_every_length():
+    rnd = random.Random(7)
+    t, c = library(), bpe.Codec(bpe.default_vocabulary())
+    words = ["".join(rnd.choice("abenrsthio") for _ in range(n)) for n in range(1, 120) for _ in range(5)]
+    for word, ids in zip(words, c.encode_batch(words)):
+        assert ids.tolist() == t.encode(word, add_special_tokens=False).ids
+
+
+def fewest_bins(pieces, cap):
+    """The fewest sequences by trying all subsets."""
+    n = len(pieces)
+    best = [(n + 1, 0)] * (1 << n)
+    best[0] = (0, cap)  # sequences in use, and how full the last one is
+    for mask in range(1 << n):
+        used, full = best[mask]
+        for i in range(n):
+            if not mask >> i & 1:
+                step = (used, full + pieces[i]) if full + pieces[i] <= cap else (used + 1, pieces[i])
+                best[mask | 1 << i] = min(best[mask | 1 << i], step)
+    return best[-1][0]
+
+
+def test_plan_against_all_packings():
+    rnd = random.Random(3)
+    over = 0
+    for _ in range(150):
+        cap = rnd.randrange(4, 30)
+        pieces = [rnd.randrange(1, cap + 1) for _ in range(rnd.randrange(1, 10))]
+        got, least = sum(n for _, n in packing.plan(Counter(pieces), cap)), fewest_bins(pieces, cap)
+        assert least <= got <= least + 1
+        over += got - least
+    assert over <= 3
+
+
+def test_triple_sums_are_indexed():
+    rnd = random.Random(4)
+    for cap in (7, 20, 60):
+        have = np.array([0] + [rnd.randrange(0, 3) for _ in range(cap)])
+        index = packing._Index(have, cap)
+        lengths = np.flatnonzero(have).tolist()
+        for gap in range(1, cap):
+            want = {(a, b, c) for a in lengths for b in lengths for c in lengths if a >= b >= c and a + b + c == gap}
+            assert set(index.triples(gap)) == want
+
+
+def test_encoder_asks_whether_ids_follow_the_merges(tmp_path):
+    import json
+
+    spec = json.load(open(bpe.default_vocabulary(), encoding="utf-8"))
+    assert packing.follows_ids(spec)
+    vocab = spec["model"]["vocab"]
+    swap = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"][:2]]
+    a, b = ("".join(m.split(" ")) for m in swap)
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    assert not packing.follows_ids(spec)
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    for text in ["the man in the hat, and another one", ""]:
+        assert packing.encoder(path)(text) == t.encode(text, add_special_tokens=False).ids
