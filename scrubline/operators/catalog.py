@@ -7,7 +7,7 @@ where the neighbour may be either, both sides are spelled.
 
 from __future__ import annotations
 
-import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -39,16 +39,21 @@ class Detector:
     pattern: str
     #: A literal that every match holds, or None where the pattern itself is the cheap test.
     literal: str | None = None
+    #: A short pattern that every match holds, asked where a common literal is found.
+    probe: str | None = None
 
     def may_match(self, text: Column) -> Column:
-        return F.contains(text, F.lit(self.literal)) if self.literal else text.rlike(self.pattern)
+        if self.literal is None:
+            return text.rlike(self.pattern)
+        held = F.contains(text, F.lit(self.literal))
+        return held & text.rlike(self.probe) if self.probe else held
 
 
 #: The built-in detectors in their order.
 DETECTORS = (
     Detector("private-key-block", "private-key", "critical", rf"-----BEGIN {_PEM}[\s\S]*?-----END {_PEM}", "-----BEGIN "),
     Detector("openai-style-token", "api-token", "critical", f"{_BEFORE}sk-[A-Za-z0-9_-]{{20,}}{_EITHER}", "sk-"),
-    Detector("github-token", "api-token", "critical", f"{_BEFORE}gh[pousr]_[A-Za-z0-9]{{20,}}{_AFTER}", "gh"),
+    Detector("github-token", "api-token", "critical", f"{_BEFORE}gh[pousr]_[A-Za-z0-9]{{20,}}{_AFTER}", "gh", "gh[pousr]_"),
     Detector(
         "credential-assignment",
         "credential",
@@ -63,8 +68,8 @@ DETECTORS = (
 
 
 def escape(term: str) -> str:
-    """A term as a literal Java pattern."""
-    return re.sub(r"[.*+?^${}()|\[\]\\]", r"\\\g<0>", term)
+    """A term as a literal Java pattern: every ASCII punctuation mark gets a backslash."""
+    return "".join("\\" + c if c in string.punctuation else c for c in term)
 
 
 def with_dictionary(terms: list[str] | tuple[str, ...] = ()) -> tuple[Detector, ...]:

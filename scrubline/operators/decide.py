@@ -1,30 +1,52 @@
-"""Decisions: the last one for each finding, joined by (source, finding), and their validation."""
+"""Decisions: the last one for each finding, looked up by (source, finding), and their validation.
+
+Decisions meet documents once, as a map from finding to decision in the row of their source. What
+follows (detection, lookup, validation, rewriting) is a projection of that row, so a decision can
+never be applied to another text, whatever the source ids are: a row without an id has no decisions
+and is in error, and so are all rows of an id that more than one row has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
 
 from .catalog import ACTIONS, FORCED_DELETE
+from .detect import detect
 
 KEY = ["source_id", "finding_id"]
+FIELDS = ["action", "token_label", "replacement", "reason"]
+DECISION = "struct<action:string,token_label:string,replacement:string,reason:string>"
+_FOUND = ["finding_id", "type", "severity", "start", "end", "value", "masked_preview", "detector"]
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
-    """Of several decisions for a finding the one with the largest ``seq`` counts."""
-    fields = F.struct("seq", "action", "token_label", "replacement", "reason")
-    return decisions.groupBy(*KEY).agg(F.max_by(fields, F.col("seq")).alias("d")).select(*KEY, "d.action", "d.token_label", "d.replacement", "d.reason")
+    """Of several decisions for a finding the one with the largest ``seq`` counts.
 
+    Of equal ``seq`` (null comes first) the one with the largest action, label, replacement and
+    reason, in this order. Decisions without a source or a finding count for nothing.
+    """
+    known = decisions.where(F.col("source_id").isNotNull() & F.col("finding_id").isNotNull())
+    one = F.struct(*FIELDS)
+    return known.groupBy(*KEY).agg(F.max_by(one, F.struct("seq", *FIELDS)).alias("d")).select(*KEY, *[f"d.{c}" for c in FIELDS])
 
-def decide(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Findings with their decision's columns, null where there is none; decisions for nothing are ignored."""
-    return findings.join(last_decisions(decisions), KEY, "left")
 
+def with_decisions(docs: DataFrame, decisions: DataFrame, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(source_id, text, carry, decisions, repeated): documents with the map of their decisions, by one join.
 
-def unresolved(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    return findings.join(decisions.select(*KEY), KEY, "left_anti")
+    Before the join the decisions are combined by finding, and of the documents only the ids are
+    counted. ``carry`` is a struct of further columns of the documents.
+    """
+    last = last_decisions(decisions).select("source_id", F.struct(F.col("finding_id").alias("key"), F.struct(*FIELDS).cast(DECISION).alias("value")).alias("d"))
+    ids = docs.where(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    side = last.withColumn("again", F.lit(False)).unionByName(ids.select("source_id", F.lit(True).alias("again")), allowMissingColumns=True)
+    side = side.groupBy("source_id").agg(F.map_from_entries(F.collect_list("d")).alias("decisions"), F.bool_or("again").alias("again"))
+    rows = docs.select("source_id", "text", F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry"))
+    return rows.join(side, "source_id", "left").select("source_id", "text", "carry", "decisions", F.coalesce("again", F.lit(False)).alias("repeated"))
 
 
 def error(kind: Column, severity: Column, action: Column, reason: Column, replacement: Column) -> Column:
@@ -38,21 +60,72 @@ def error(kind: Column, severity: Column, action: Column, reason: Column, replac
     )
 
 
-def validated(decided: DataFrame) -> DataFrame:
-    """Decided findings with ``error`` and, per source, ``status``: the first error, else unresolved, else ok."""
-    whole = Window.partitionBy("source_id")
-    rows = decided.withColumn("error", error(*[F.col(c) for c in ("type", "severity", "action", "reason", "replacement")]))
-    first = F.min(F.when(F.col("error").isNotNull(), F.struct("start", "error"))).over(whole)["error"]
-    n_open = F.sum(F.col("action").isNull().cast("int")).over(whole)
-    return rows.withColumns({"first_error": first, "status": F.when(first.isNotNull(), "error").when(n_open > 0, "unresolved").otherwise("ok")})
+def by_policy(actions: dict[str, str]) -> Callable[[Column], Column]:
+    """Decisions by a rule from type to action; types that it does not name, and those that must be, are deleted."""
+    none = F.lit(None).cast("string")
+
+    def choose(finding: Column) -> Column:
+        action = F.lit("delete")
+        for kind, wanted in sorted(actions.items()):
+            if kind not in FORCED_DELETE:
+                action = F.when(finding["type"] == kind, wanted).otherwise(action)
+        return F.struct(action.alias("action"), none.alias("token_label"), none.alias("replacement"), none.alias("reason"))
+
+    return choose
+
+
+def review(rows: DataFrame, terms: list[str] | tuple[str, ...] = (), choose: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The rows with ``judged`` (findings with their decision and its error), ``first_error`` and ``status``.
+
+    rows: ``text`` and, unless ``choose`` makes a decision from a finding, ``decisions``, a map from
+    finding id to decision; a column ``found`` with the findings is taken as it is. Narrow, so batch or
+    stream. The status is the first that holds: no_source_id (``source_id`` is a column and null),
+    duplicate_source (``repeated`` is a column and true), no_text, error, unresolved, ok.
+    """
+    if choose is None:
+        choose = lambda finding: F.col("decisions")[finding["finding_id"]]
+    if "found" not in rows.columns:
+        rows = rows.withColumn("found", detect(F.col("text"), terms))
+    # one projection each, so that what is used several times is computed once
+    rows = rows.withColumn("met", F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in _FOUND], choose(f).alias("d"))))
+    judged = F.transform(
+        "met",
+        lambda x: F.struct(
+            *[x[c].alias(c) for c in _FOUND],
+            *[x["d"][c].alias(c) for c in FIELDS],
+            error(x["type"], x["severity"], x["d"]["action"], x["d"]["reason"], x["d"]["replacement"]).alias("error"),
+        ),
+    )
+    rows = rows.withColumn("judged", judged)
+    rows = rows.withColumns(
+        {
+            "first_error": F.get(F.filter("judged", lambda x: x["error"].isNotNull()), F.lit(0))["error"],
+            "n_open": F.size(F.filter("judged", lambda x: x["action"].isNull())),
+        }
+    )
+    never = F.lit(False)
+    status = F.when(F.col("source_id").isNull() if "source_id" in rows.columns else never, "no_source_id")
+    status = status.when(F.col("repeated") if "repeated" in rows.columns else never, "duplicate_source").when(F.col("text").isNull(), "no_text")
+    return rows.withColumn("status", status.when(F.col("first_error").isNotNull(), "error").when(F.col("n_open") > 0, "unresolved").otherwise("ok")).drop("found", "met")
+
+
+def validated(reviewed: DataFrame) -> DataFrame:
+    """One row per finding with its decision, ``error``, and the ``status`` and ``first_error`` of its source."""
+    rows = reviewed.select("source_id", "status", "first_error", F.explode(F.filter("judged", lambda x: x["finding_id"].isNotNull())).alias("x"))
+    return rows.select("source_id", "status", "first_error", "x.*")
+
+
+def unresolved(reviewed: DataFrame) -> DataFrame:
+    """The findings without a decision."""
+    return reviewed.select("source_id", F.explode(F.filter("judged", lambda x: x["action"].isNull())).alias("x")).select("source_id", "x.finding_id", "x.type")
 
 
 class SanitizeError(ValueError):
     """Raised in strict mode for the first violation found."""
 
 
-def require_valid(decided: DataFrame) -> None:
-    """Strict mode: raises if any decision is in error; one row comes to the driver."""
-    bad = validated(decided).where("first_error is not null").select("source_id", "first_error").limit(1).collect()
+def require_valid(reviewed: DataFrame) -> None:
+    """Strict mode: raises if any decision is in error or any row cannot be told from others; one row comes to the driver."""
+    bad = reviewed.select("source_id", "status", "first_error").where("status in ('error', 'no_source_id', 'duplicate_source')").limit(1).collect()
     if bad:
-        raise SanitizeError(f"source {bad[0]['source_id']}: {bad[0]['first_error']}")
+        raise SanitizeError(f"source {bad[0]['source_id']}: {bad[0]['first_error'] or bad[0]['status']}")

@@ -8,8 +8,6 @@ which is counted along in the same fold.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from scrubline.functions import scalars as S
 
 from .catalog import DETECTORS, DICTIONARY, DICTIONARY_KIND, SEVERITY, Detector, escape, with_dictionary
 
-#: Up to so many terms each get an expression of their own.
+#: Up to so many terms each get an expression of their own; more are looked for together.
 MANY_TERMS = 64
 
 _CANDIDATE = "array<struct<start:int,neg_severity:int,neg_end:int,ord:int,type:string,severity:string,detector:string,value:string,start16:int>>"
@@ -25,7 +23,7 @@ FINDING = "array<struct<finding_id:string,type:string,severity:string,start:int,
 
 
 def matches(text: Column, d: Detector, ord: int) -> Column:
-    """All matches of one detector, left to right, not overlapping."""
+    """All matches of one detector, left to right, not overlapping; empty ones count for nothing."""
     steps = F.arrays_zip(F.split(text, d.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)).alias("hit"))
     empty = F.array().cast(_CANDIDATE)
 
@@ -44,20 +42,47 @@ def matches(text: Column, d: Detector, ord: int) -> Column:
             start16.alias("start16"),
         )
         end16 = start16 + F.coalesce(S.utf16_length(x["hit"]), F.lit(0))
-        return F.struct(end.alias("pos"), end16.alias("pos16"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one).cast(_CANDIDATE))).alias("out"))
+        return F.struct(end.alias("pos"), end16.alias("pos16"), F.when(F.coalesce(x["hit"], F.lit("")) == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(one).cast(_CANDIDATE))).alias("out"))
 
     scan = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("pos16"), empty.alias("out")), step, lambda acc: acc["out"])
     return F.when(d.may_match(text), scan).otherwise(empty)
 
 
+def held_terms(terms: list[str] | tuple[str, ...], ord: int):
+    """A function from text to the terms it holds, as array of (term, pattern, ord): one pass of a keyword automaton.
+
+    Its work is that of the text, not of text and terms; each Python worker builds the automaton once.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    listed = [{"term": t, "pattern": escape(t), "ord": ord + i} for i, t in enumerate(terms)]
+    built: list = []
+
+    def held(texts):
+        import ahocorasick
+        import pandas as pd
+
+        if not built:
+            places: dict[str, list[int]] = {}
+            for i, row in enumerate(listed):
+                places.setdefault(row["term"], []).append(i)
+            automaton = ahocorasick.Automaton()
+            for term, rows in places.items():
+                automaton.add_word(term, rows)
+            automaton.make_automaton()
+            built.append(automaton)
+        found = [sorted({i for _, rows in built[0].iter(t) for i in rows}) if t else [] for t in texts]
+        return pd.Series([[listed[i] for i in f] for f in found])
+
+    return pandas_udf(held, "array<struct<term:string,pattern:string,ord:int>>")
+
+
 def dictionary_matches(text: Column, terms: list[str] | tuple[str, ...], ord: int) -> Column:
     """All matches of many terms, each scanned by itself, in an expression whose size does not grow with them.
 
-    The terms are one folded array; those that a text holds are scanned, term by term. ``ord`` is the
-    first term's.
+    Only the terms that a text holds are scanned, term by term. ``ord`` is the first term's.
     """
-    listed = json.dumps([{"term": t, "pattern": escape(t), "ord": ord + i} for i, t in enumerate(terms)])
-    held = F.filter(F.from_json(F.lit(listed), "array<struct<term:string,pattern:string,ord:int>>"), lambda t: F.contains(text, t["term"]))
+    held = held_terms(terms, ord)(text)
 
     def scan(t: Column) -> Column:
         gaps = F.split(text, t["pattern"], -1)

@@ -23,13 +23,13 @@ def finding_counts(public: DataFrame) -> DataFrame:
     return public.groupBy("source_id", "severity", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def counts_map(public: DataFrame) -> DataFrame:
-    """(source_id, finding_counts map of severity:action to count)."""
-    pairs = finding_counts(public).select("source_id", F.struct(F.concat_ws(":", "severity", "action").alias("key"), F.col("n").alias("value")).alias("e"))
-    return pairs.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("finding_counts"))
+def counts_map(public: Column) -> Column:
+    """Counts by severity:action, in this order, of an array of public findings."""
+    keys = F.array_sort(F.transform(public, lambda x: F.concat_ws(":", x["severity"], x["action"])))
+    return F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.size(F.filter(keys, lambda other: other == k)).cast("long").alias("value"))))
 
 
-def manifest(project: Column, source: Column, source_sha256: Column, sanitized: Column, classification: Column, route: Column, token_map_created: Column) -> Column:
+def manifest(project: Column, source: Column, source_sha256: Column, sanitized: Column, classification: Column, route: Column, token_map_created: Column, coverage: Column | None = None) -> Column:
     return F.struct(
         F.lit(SCHEMA).alias("schema_version"),
         F.lit(TOOL).alias("tool"),
@@ -40,7 +40,7 @@ def manifest(project: Column, source: Column, source_sha256: Column, sanitized:
         F.struct(F.lit(SOURCE_ENTRY).alias("path"), sha256(sanitized).alias("sha256")).alias("derivative"),
         classification.alias("classification"),
         route.alias("allowed_route"),
-        F.lit(COVERAGE).alias("parser_coverage"),
+        (F.lit(COVERAGE) if coverage is None else coverage).alias("parser_coverage"),
         token_map_created.alias("token_map_created"),
         F.lit(False).alias("token_map_in_package"),
         F.array(*[F.lit(e) for e in ENTRIES]).alias("allowlist"),
@@ -48,7 +48,7 @@ def manifest(project: Column, source: Column, source_sha256: Column, sanitized:
 
 
 def report(project: Column, source: Column, counts: Column, public: Column, residual: Column) -> Column:
-    """public: array of public findings; counts: map."""
+    """public: array of public findings; counts: map. Only cleared documents have a report, so the second scan has passed."""
     return F.struct(
         F.lit(SCHEMA).alias("schema_version"),
         project.alias("project_id"),

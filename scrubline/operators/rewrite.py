@@ -1,4 +1,4 @@
-"""Rewriting: decided findings back into text, relationally or inside one row (for streams)."""
+"""Rewriting: judged findings back into text, inside one row."""
 
 from __future__ import annotations
 
@@ -6,20 +6,90 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
+from scrubline.sources.scratch import settle
 
-from .catalog import FORCED_DELETE
-from .decide import validated
+from .decide import review, with_decisions
+from .report import sha256
 
 #: Fixed value: what stands for a deleted finding.
 REMOVED = "[REMOVED]"
 #: Hex digits of a value's hash that name its bucket, so 4096 buckets a label.
 BUCKET_DIGITS = 3
+#: A value is hot if it stands in more than this part of all places, so at most 1/HOT_PART are hot.
+HOT_PART = 1 / 256
 
 
 def label(token_label: Column, kind: Column) -> Column:
     return S.normalize_label(F.coalesce(F.when(token_label != "", token_label), kind))
 
 
+def splice(text: Column, parts: Column) -> Column:
+    """A text with sorted disjoint parts (start, end, new_value) put in."""
+    before = lambda i: F.coalesce(F.get(parts, i - 1)["end"], F.lit(0))
+    pieces = F.transform(parts, lambda x, i: F.concat(F.substr(text, before(i) + 1, x["start"] - before(i)), x["new_value"]))
+    return F.concat(F.array_join(pieces, ""), F.substr(text, before(F.size(parts)) + 1, F.length(text)))
+
+
+def rewritten(reviewed: DataFrame, keep: list[str] | tuple[str, ...] = (), ordinals: str | None = None) -> DataFrame:
+    """The columns ``keep`` and status, first_error, source_sha256, sanitized_text, residual_risk, n_unresolved, n_public, n_tokens, public, tokens.
+
+    All or nothing: unless the status is ok the text stays as it is and nothing counts. ``public``
+    may leave (no value, no offsets); ``tokens`` is SENSITIVE (tokens and what they stand for).
+    A token's number counts the findings of its label in the row, or comes from ``ordinals``, a map
+    from (label, value).
+    """
+    rows = reviewed.withColumn("named", F.transform("judged", lambda x: F.when(x["action"] == "tokenize", label(x["token_label"], x["type"]))))
+    places = F.filter(F.zip_with("named", "judged", lambda name, x: F.struct(name.alias("label"), x["start"].alias("start"))), lambda p: p["label"].isNotNull())
+    rows = rows.withColumn("places", F.array_sort(places))
+    rows = rows.withColumn("labels", F.transform("places", lambda p: p["label"]))
+
+    def number(x: Column, name: Column) -> Column:
+        if ordinals is not None:
+            return F.col(ordinals)[F.struct(name.alias("label"), x["value"].alias("value"))]
+        return F.array_position("places", F.struct(name.alias("label"), x["start"].alias("start"))) - F.array_position("labels", name) + 1
+
+    rows = rows.withColumn("token_of", F.zip_with("judged", "named", lambda x, name: F.when(name.isNotNull(), S.token(name, number(x, name)))))
+
+    def new_value(x: Column, token: Column) -> Column:
+        return F.when(x["action"] == "delete", REMOVED).when(x["action"] == "tokenize", token).when(x["action"] == "generalize", S.trim(x["replacement"])).otherwise(x["value"])
+
+    ok = F.col("status") == "ok"
+    parts = F.zip_with("judged", "token_of", lambda x, token: F.struct(x["start"].alias("start"), x["end"].alias("end"), new_value(x, token).alias("new_value")))
+    rows = rows.withColumn("parts", F.when(ok, parts))
+    public = F.zip_with(
+        "judged",
+        "token_of",
+        lambda x, token: F.struct(*[x[c].alias(c) for c in ("finding_id", "type", "severity", "masked_preview", "detector", "action")], token.alias("token"), F.when(x["reason"] != "", x["reason"]).alias("reason")),
+    )
+    entries = F.filter(F.zip_with("judged", "token_of", lambda x, token: F.struct(token.alias("token"), x["value"].alias("original"), x["type"].alias("finding_type"))), lambda e: e["token"].isNotNull())
+    none = lambda c: F.filter(c, lambda _: F.lit(False))
+    count = lambda c: F.when(ok, F.size(c)).otherwise(F.lit(0)).cast("long")
+    return rows.select(
+        *keep,
+        "status",
+        "first_error",
+        sha256(F.col("text")).alias("source_sha256"),
+        F.when(F.size("parts") > 0, splice(F.col("text"), F.col("parts"))).otherwise(F.col("text")).alias("sanitized_text"),
+        count(F.filter("judged", lambda x: x["action"] == "keep")).alias("residual_risk"),
+        F.when(F.col("status") == "unresolved", F.col("n_open")).otherwise(F.lit(0)).cast("long").alias("n_unresolved"),
+        count("judged").alias("n_public"),
+        count("places").alias("n_tokens"),
+        F.when(ok, public).otherwise(none(public)).alias("public"),
+        F.when(ok, entries).otherwise(none(entries)).alias("tokens"),
+    )
+
+
+def sanitize(docs: DataFrame, decisions: DataFrame, terms: list[str] | tuple[str, ...] = (), token_scope: str = "source", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(source_id, carry, status, first_error, ...) of ``rewritten``, one row per row of docs (source_id, text).
+
+    token_scope="project" gives equal values one number over all sources.
+    """
+    reviewed = review(with_decisions(docs, decisions, carry), terms)
+    if token_scope == "project":
+        return rewritten(with_project_ordinals(reviewed), ["source_id", "carry"], "ordinals")
+    return rewritten(reviewed, ["source_id", "carry"])
+
+
 def project_ordinals(values: DataFrame) -> DataFrame:
     """(label, value, ordinal) of distinct (label, value): from 1 within each label, by (hash bucket, value).
 
@@ -34,102 +104,48 @@ def project_ordinals(values: DataFrame) -> DataFrame:
     return ranked.select("label", "value", (F.col("base") + F.col("inside")).alias("ordinal"))
 
 
-def replaced(decided: DataFrame, token_scope: str = "source") -> DataFrame:
-    """Validated findings with ``token`` and ``new_value``; token_scope="project" gives equal values one number over all sources."""
-    rows = validated(decided).withColumn("label", F.when(F.col("action") == "tokenize", label(F.col("token_label"), F.col("type"))))
-    if token_scope == "project":
-        numbered = project_ordinals(rows.where("label is not null").select("label", "value").distinct())
-        rows = rows.join(numbered, ["label", "value"], "left")
-    else:
-        rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("source_id", "label").orderBy("start")))
-    token = F.when(F.col("label").isNotNull(), S.token(F.col("label"), F.col("ordinal")))
-    new = (
-        F.when(F.col("action") == "delete", REMOVED)
-        .when(F.col("action") == "tokenize", token)
-        .when(F.col("action") == "generalize", S.trim(F.col("replacement")))
-        .otherwise(F.col("value"))
-    )
-    return rows.withColumns({"token": token, "new_value": new})
-
-
-def splice(text: Column, parts: Column) -> Column:
-    """A text with sorted disjoint parts (start, end, new_value) put in."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, x["new_value"]).alias("out"))
-
-    return F.aggregate(parts, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-
+def with_project_ordinals(reviewed: DataFrame) -> DataFrame:
+    """Reviewed rows with ``ordinals``, a map from (label, value) to its number over all sources.
 
-def transform(docs: DataFrame, decided: DataFrame, token_scope: str = "source") -> DataFrame:
-    """(source_id, status, first_error, sanitized_text, residual_risk, n_unresolved, n_public, n_tokens) per document.
-
-    All or nothing: with an error or an unresolved finding the text stays as it is and nothing counts.
-    A null text has status no_text.
+    Values of rows in error and of unresolved rows are numbered as well. The few values that stand in a
+    large part of all places are looked up from a broadcast of at most 1/HOT_PART rows; all others are
+    joined by value, where no key is large. The places, which are SENSITIVE, are written to the session's
+    checkpoint folder; the rows are detected again where the numbers are joined.
     """
-    parts = replaced(decided, token_scope).groupBy("source_id").agg(
-        F.first("status").alias("found_status"),
-        F.first("first_error").alias("first_error"),
-        F.array_sort(F.collect_list(F.struct("start", "end", "new_value"))).alias("parts"),
-        F.count_if(F.col("action") == "keep").alias("kept"),
-        F.count_if(F.col("action").isNull()).alias("open"),
-        F.count(F.lit(1)).alias("n"),
-        F.count("token").alias("tokens"),
-    )
-    joined = docs.select("source_id", "text").join(parts, "source_id", "left")
-    status = F.when(F.col("text").isNull(), "no_text").otherwise(F.coalesce("found_status", F.lit("ok")))
-    ok = status == "ok"
-    count = lambda c: F.when(ok, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return joined.select(
-        "source_id",
-        status.alias("status"),
-        "first_error",
-        F.when(ok & F.col("parts").isNotNull(), splice(F.col("text"), F.col("parts"))).otherwise(F.col("text")).alias("sanitized_text"),
-        count("kept").alias("residual_risk"),
-        F.when(status == "unresolved", F.col("open")).otherwise(F.lit(0)).cast("long").alias("n_unresolved"),
-        count("n").alias("n_public"),
-        count("tokens").alias("n_tokens"),
-    )
+    used = F.filter("judged", lambda x: x["action"] == "tokenize")
+    pairs = F.array_distinct(F.transform(used, lambda x: F.struct(label(x["token_label"], x["type"]).alias("label"), x["value"].alias("value"))))
+    places = reviewed.where(F.col("source_id").isNotNull()).select("source_id", F.explode(F.filter(pairs, lambda p: p["label"].isNotNull())).alias("p")).select("source_id", "p.label", "p.value")
+    places = settle(places.distinct())
+    counted = places.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+    numbered = project_ordinals(counted.select("label", "value")).join(counted, ["label", "value"])
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = numbered.where(F.col("n") > max(1.0, total * HOT_PART)).select("label", "value", "ordinal")
+    marked = places.join(F.broadcast(hot), ["label", "value"], "left")
+    rest = marked.where("ordinal is null").drop("ordinal").join(numbered.select("label", "value", "ordinal"), ["label", "value"])
+    entry = F.struct(F.struct("label", "value").alias("key"), F.col("ordinal").alias("value"))
+    maps = marked.where("ordinal is not null").unionByName(rest).groupBy("source_id").agg(F.map_from_entries(F.collect_list(entry)).alias("ordinals"))
+    return reviewed.join(maps, "source_id", "left")
 
 
-def _resolved_only(decided: DataFrame, token_scope: str) -> DataFrame:
-    return replaced(decided, token_scope).where("status = 'ok'")
+def public_findings(result: DataFrame) -> DataFrame:
+    """What may leave, one row per finding: no value, no offsets."""
+    fields = ("finding_id", "type", "severity", "masked_preview", "detector", "action", "token", "reason")
+    return result.select("source_id", F.explode(F.transform("public", lambda x: F.struct(*[x[c].alias(c) for c in fields]))).alias("x")).select("source_id", *[f"x.{c}" for c in fields])
 
 
-def public_findings(decided: DataFrame, token_scope: str = "source") -> DataFrame:
-    """What may leave: no value, no offsets."""
-    return _resolved_only(decided, token_scope).select("source_id", "finding_id", "type", "severity", "masked_preview", "detector", "action", "token", F.when(F.col("reason") != "", F.col("reason")).alias("reason"))
-
-
-def token_entries(decided: DataFrame, token_scope: str = "source") -> DataFrame:
-    """SENSITIVE: tokens and what they stand for; never joined into exports."""
-    rows = _resolved_only(decided, token_scope).where("token is not null")
-    return rows.select("source_id", "token", F.col("value").alias("original"), F.col("type").alias("finding_type"))
+def token_entries(result: DataFrame) -> DataFrame:
+    """SENSITIVE: tokens and what they stand for, one row each; never joined into exports."""
+    fields = ("token", "original", "finding_type")
+    return result.select("source_id", F.explode(F.transform("tokens", lambda x: F.struct(*[x[c].alias(c) for c in fields]))).alias("x")).select("source_id", *[f"x.{c}" for c in fields])
 
 
 def rehydrate(text: Column, entries: Column) -> Column:
-    """Puts originals (array of token, original) back in place of their tokens."""
-    return F.aggregate(entries, text, lambda acc, e: F.replace(acc, e["token"], e["original"]))
-
-
-def apply_policy(text: Column, found: Column, actions: dict[str, str]) -> Column:
-    """Rewrites inside one row by a policy from type to delete or tokenize, so it also works on streams.
+    """Puts originals (array of token, original) back in place of their tokens.
 
-    Types that the policy does not name are deleted; types that must be deleted always are. A token's
-    number counts the earlier tokenized findings of its label in the row.
+    The text is cut at its tokens once, and each token looked up, so an original that looks like a
+    token is not replaced again; tokens without an entry stay.
     """
-    policy = {**actions, **{k: "delete" for k in FORCED_DELETE}}
-    tokenized = sorted(k for k, action in policy.items() if action == "tokenize")
-    kinds = F.array(*[F.lit(k) for k in tokenized]).cast("array<string>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array_repeat(F.lit(0), len(tokenized)).alias("counts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        place = F.array_position(kinds, x["type"]).cast("int")  # 0 where it is no tokenized type
-        counts = F.transform(acc["counts"], lambda n, i: n + F.when(i + 1 == place, 1).otherwise(0))
-        token = S.token(S.normalize_label(x["type"]), F.get(acc["counts"], place - 1) + 1)
-        gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.when(place > 0, token).otherwise(REMOVED)).alias("out"), counts.alias("counts"))
-
-    return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    pattern = "【[^【】]*-[0-9]+】"
+    back = F.map_from_entries(F.array_distinct(F.transform(entries, lambda e: F.struct(e["token"].alias("key"), e["original"].alias("value")))))
+    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"))
+    return F.array_join(F.transform(steps, lambda s: F.concat(s["gap"], F.coalesce(back[s["token"]], s["token"], F.lit("")))), "")

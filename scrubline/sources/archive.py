@@ -8,13 +8,14 @@ import json
 import os
 import uuid
 import zipfile
+import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.operators.report import ENTRIES
 
-README = "# Safe package\n\nUpload only to an approved environment. Keep originals and token maps local. A passed scan is no guarantee of confidentiality.\n"
+README = "# About this archive\n\nIt holds one rewritten text, a manifest and a report on what was found. Send it only where its route allows. The scan behind it knows a fixed set of patterns: other secrets may be left.\n"
 
 
 def check_name(name: str) -> None:
@@ -36,15 +37,20 @@ def build_zip(entries: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def inspect_zip(data: bytes) -> list[str]:
-    """The entry names of an archive whose checksums hold; raises if it holds anything else than it may."""
+def read_zip(data: bytes) -> list[tuple[str, bytes]]:
+    """The entries of an archive whose checksums hold; raises if it holds anything else than it may."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if z.testzip() or any(i.compress_type != zipfile.ZIP_STORED for i in z.infolist()):
             raise ValueError("damaged or compressed archive")
-        names = z.namelist()
-    if names != list(ENTRIES):
-        raise ValueError(f"unexpected entries: {names}")
-    return names
+        entries = [(name, z.read(name)) for name in z.namelist()]
+    if [name for name, _ in entries] != list(ENTRIES):
+        raise ValueError(f"unexpected entries: {[name for name, _ in entries]}")
+    return entries
+
+
+def inspect_zip(data: bytes) -> list[str]:
+    """The entry names of an archive that may leave."""
+    return [name for name, _ in read_zip(data)]
 
 
 def package_hash(entries: list[tuple[str, bytes]]) -> str:
@@ -70,26 +76,82 @@ def packages(cleared: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "source_id string, package_sha256 string, zip_sha256 string, zip binary")
 
 
+def opened(built: DataFrame) -> DataFrame:
+    """(source_id, pos, name, n_bytes, crc32, sha256) of every entry, read back from the archives."""
+    import pyarrow as pa
+
+    names, types = ["source_id", "pos", "name", "n_bytes", "crc32", "sha256"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(it):
+        for batch in it:
+            rows = []
+            for source, data in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(source, k, name, len(x), zlib.crc32(x), hashlib.sha256(x).hexdigest()) for k, (name, x) in enumerate(read_zip(data))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return built.select("source_id", "zip").mapInArrow(run, "source_id string, pos long, name string, n_bytes long, crc32 long, sha256 string")
+
+
+def _save_local(path: str, data: bytes) -> None:
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "xb") as f:
+        f.write(data)
+    try:
+        os.link(part, path)
+    except FileExistsError:
+        with open(path, "rb") as f:
+            if f.read() != data:
+                raise
+    finally:
+        os.unlink(part)
+
+
+def _save_remote(store, path: str, data: bytes) -> None:
+    """Objects appear whole when their stream is closed; on file systems a finished part is moved."""
+    from pyarrow.fs import FileType
+
+    if store.get_file_info(path).type != FileType.NotFound:
+        with store.open_input_stream(path) as f:
+            if f.read() != data:
+                raise FileExistsError(path)
+        return
+    store.create_dir(os.path.dirname(path))
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, path)
+
+
 def save_packages(built: DataFrame, folder: str) -> None:
-    """Writes each archive to a folder that driver and executors share.
+    """Writes each archive to a folder that driver and executors share: a path, or the URI of a store.
 
     A file appears whole or not at all. An existing file with other bytes is an error; one with the
     same bytes is what an earlier attempt of a lost or repeated task has left.
     """
 
     def write(rows):
+        store, base = None, folder
+        if "://" in folder:
+            from pyarrow.fs import FileSystem
+
+            store, base = FileSystem.from_uri(folder)
         for r in rows:
-            path = os.path.join(folder, hashlib.sha256(r["source_id"].encode("utf-8")).hexdigest()[:32] + ".zip")
-            part = f"{path}.{uuid.uuid4().hex}"
-            with open(part, "xb") as f:
-                f.write(r["zip"])
-            try:
-                os.link(part, path)
-            except FileExistsError:
-                with open(path, "rb") as f:
-                    if f.read() != r["zip"]:
-                        raise
-            finally:
-                os.unlink(part)
-
-    built.foreachPartition(write)
+            path = f"{base.rstrip('/')}/" + hashlib.sha256(r["source_id"].encode("utf-8")).hexdigest()[:32] + ".zip"
+            _save_local(path, r["zip"]) if store is None else _save_remote(store, path, r["zip"])
+
+    built.select("source_id", "zip").foreachPartition(write)
+
+
+def read_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_id, zip) of the archives in a folder; the source is the one that the manifest names."""
+    import pyarrow as pa
+
+    def run(it):
+        for batch in it:
+            data = batch.column(0).to_pylist()
+            sources = [json.loads(dict(read_zip(z))[ENTRIES[1]])["source"]["source_id"] for z in data]
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(data, pa.binary())], ["source_id", "zip"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("content").mapInArrow(run, "source_id string, zip binary")

@@ -1,11 +1,13 @@
-"""Sources of documents: (source_id, text, source_sha256) from Parquet, CSV columns and whole text files."""
+"""Sources of documents: (source_id, text, source_sha256, coverage) from Parquet, CSV columns and whole text files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.operators.report import sha256
+from scrubline.operators.report import COVERAGE, sha256
+
+PARTIAL = "plain-text-partial"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -19,8 +21,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def as_documents(df: DataFrame, id_col: str | Column, text_col: str) -> DataFrame:
+    """``coverage`` tells whether all of a text was understood: null text and bytes that are no UTF-8 are not, and hold an export back."""
     ident = F.col(id_col) if isinstance(id_col, str) else id_col
-    return df.select(ident.cast("string").alias("source_id"), F.col(text_col).alias("text"), sha256(F.col(text_col)).alias("source_sha256"))
+    text = F.col(text_col)
+    coverage = F.when(F.coalesce(F.is_valid_utf8(text), F.lit(False)), COVERAGE).otherwise(PARTIAL)
+    return df.select(ident.cast("string").alias("source_id"), text.alias("text"), sha256(text).alias("source_sha256"), coverage.alias("coverage"))
 
 
 def read_parquet(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""The vault: token maps under AES-256-GCM, with a key that scrypt derives on the driver.
+"""The vault: token maps under AES-256-GCM, with keys that scrypt derives.
 
-One salt and key per call; every map has a nonce of its own. Keys reach executors as literals of the
-plan, so run this with redaction on, and vault small maps in a local session. Buffers of the JVM and
-of Python cannot be wiped for sure.
+One salt per call that seals; every map has a nonce of its own. Keys are derived in Python workers,
+one derivation for each salt a worker meets, so no key stands in a plan and no salts come to the
+driver; the passphrase travels in the function's closure. Buffers of the JVM and of Python cannot be
+wiped for sure.
 """
 
 from __future__ import annotations
@@ -10,37 +11,68 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the stored format.
 SCHEMA, KDF, CIPHER = "ewmap-1", "scrypt", "aes-256-gcm"
-LEAST_PASSPHRASE = 12
+LEAST_PASSPHRASE, SALT_BYTES = 12, 16
 _PAYLOAD = "schema string, kdf string, cipher string, salt string, nonce string, tag string, ciphertext string"
 _PLAIN = "schema string, entries array<struct<token:string,original:string,findingType:string>>"
 
 
-def derive_key(passphrase: str, salt: bytes) -> bytes:
-    return hashlib.scrypt(passphrase.encode("utf-8"), salt=salt, n=16384, r=8, p=1, dklen=32)
+@lru_cache(maxsize=4096)
+def _key(passphrase: str, salt: str | None) -> bytes | None:
+    try:
+        raw = base64.b64decode(salt or "", validate=True)
+    except ValueError:
+        return None
+    return hashlib.scrypt(passphrase.encode("utf-8"), salt=raw, n=16384, r=8, p=1, dklen=32) if len(raw) == SALT_BYTES else None
+
+
+def keys(passphrase: str):
+    """A function from base64 salts to keys; null for what is no salt of 16 bytes."""
+    from pyspark.sql.functions import pandas_udf
+
+    def derive(salts):
+        import pandas as pd
+
+        return pd.Series([_key(passphrase, s) for s in salts], dtype=object)
+
+    return pandas_udf(derive, "binary")
+
+
+def nonces():
+    """A function that gives every row 12 random bytes; not deterministic, so Spark draws them once a row."""
+    from pyspark.sql.functions import pandas_udf
+
+    def draw(rows):
+        import pandas as pd
+
+        return pd.Series([os.urandom(12) for _ in rows], dtype=object)
+
+    return pandas_udf(draw, "binary").asNondeterministic()
 
 
 def encrypt_maps(entries: DataFrame, passphrase: str) -> DataFrame:
     """(source_id, payload): one sealed map per source of (source_id, token, original, finding_type)."""
     if len(passphrase) < LEAST_PASSPHRASE:
         raise ValueError(f"a passphrase has {LEAST_PASSPHRASE} characters or more")
-    salt = os.urandom(16)
+    salt = base64.b64encode(os.urandom(SALT_BYTES)).decode()
     one = F.struct("token", "original", F.col("finding_type").alias("findingType"))
     maps = entries.groupBy("source_id").agg(F.array_sort(F.collect_list(one)).alias("entries"))
     plain = F.encode(F.to_json(F.struct(F.lit(SCHEMA).alias("schema"), "entries")), "UTF-8")
-    sealed = maps.select("source_id", F.aes_encrypt(plain, F.lit(derive_key(passphrase, salt)), F.lit("GCM")).alias("s"))
+    rows = maps.select("source_id", plain.alias("plain"), keys(passphrase)(F.lit(salt)).alias("key"), nonces()(F.col("source_id").cast("string")).alias("nonce"))
+    sealed = rows.select("source_id", F.aes_encrypt("plain", "key", F.lit("GCM"), F.lit("DEFAULT"), F.col("nonce")).alias("s"))
     n = F.octet_length("s")
     b64 = lambda a, size: F.base64(F.substr("s", a, size))
     payload = F.struct(
         F.lit(SCHEMA).alias("schema"),
         F.lit(KDF).alias("kdf"),
         F.lit(CIPHER).alias("cipher"),
-        F.lit(base64.b64encode(salt).decode()).alias("salt"),
+        F.lit(salt).alias("salt"),
         b64(F.lit(1), F.lit(12)).alias("nonce"),
         b64(n - 15, F.lit(16)).alias("tag"),
         b64(F.lit(13), n - 28).alias("ciphertext"),
@@ -49,16 +81,14 @@ def encrypt_maps(entries: DataFrame, passphrase: str) -> DataFrame:
 
 
 def decrypt_maps(vault: DataFrame, passphrase: str) -> DataFrame:
-    """(source_id, status, entries): status ok, unsupported (format) or denied (passphrase, tampering); entries null unless ok.
-
-    The salts, one for each call that sealed maps, come to the driver.
-    """
+    """(source_id, status, entries): status ok, unsupported (format) or denied (passphrase, tampering, malformed fields); entries null unless ok."""
     parsed = vault.select("source_id", F.from_json("payload", _PAYLOAD).alias("p"))
     known = F.coalesce((F.col("p.schema") == SCHEMA) & (F.col("p.kdf") == KDF) & (F.col("p.cipher") == CIPHER), F.lit(False))
-    salts = [r["salt"] for r in parsed.where(known & F.col("p.salt").isNotNull()).select("p.salt").distinct().collect()]
-    keys = F.create_map(*[x for s in salts for x in (F.lit(s), F.lit(derive_key(passphrase, base64.b64decode(s))))]) if salts else F.lit(None).cast("map<string,binary>")
-    sealed = F.concat(F.unbase64("p.nonce"), F.unbase64("p.ciphertext"), F.unbase64("p.tag"))
-    plain = F.try_aes_decrypt(sealed, keys[F.col("p.salt")], F.lit("GCM"))
-    opened = parsed.select("source_id", known.alias("known"), F.from_json(F.decode(F.when(known, plain), "UTF-8"), _PLAIN).alias("m"))
+    nonce, ciphertext, tag = (F.try_to_binary(f"p.{c}", F.lit("base64")) for c in ("nonce", "ciphertext", "tag"))
+    rows = parsed.select("source_id", known.alias("known"), F.when((F.octet_length(nonce) == 12) & (F.octet_length(tag) == 16), F.concat(nonce, ciphertext, tag)).alias("sealed"), F.col("p.salt").alias("salt"))
+    # a key for what is known only
+    rows = rows.withColumn("key", keys(passphrase)(F.when(F.col("known"), F.col("salt"))))
+    plain = F.decode(F.when(F.col("known"), F.try_aes_decrypt("sealed", "key", F.lit("GCM"))), "UTF-8")
+    opened = rows.select("source_id", "known", F.from_json(plain, _PLAIN).alias("m"))
     status = F.when(~F.col("known"), "unsupported").when((F.col("m.schema") == SCHEMA) & F.col("m.entries").isNotNull(), "ok").otherwise("denied")
     return opened.select("source_id", status.alias("status"), F.when(status == "ok", F.col("m.entries")).alias("entries"))

@@ -26,6 +26,11 @@ def test_entry_imports_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
 
 
+def test_entry_imports_where_a_package_is_missing(tmp_path):
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={**os.environ, "PYTHONPATH": ROOT})
+
+
 def test_nothing_else_imports_llm():
     for folder, _, names in os.walk(f"{ROOT}/scrubline"):
         if os.path.basename(folder) != "llm":
