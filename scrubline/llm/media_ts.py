@@ -1,10 +1,14 @@
 """Media columns: MPEG transport streams, written and parsed in numpy.
 
 ``mux`` stores a payload in packetized elementary streams (one PES per 32,256 payload bytes, each
-with a presentation time stamp) cut into 188-byte transport packets behind a program association
-and a program map table. ``demux`` reads stored bytes back: it finds the programs, checks the
-table checksums and the continuity counters, reassembles the elementary packets, and gives the
-payload, the time stamps and the random-access points.
+with a presentation time stamp, a clock reference and a random-access mark) cut into 188-byte
+transport packets; the program tables are repeated every ``TABLES_EVERY`` PES.
+
+``demux`` reads transport streams, its own or others': it assembles table sections over any number
+of packets, takes every valid version of them, checks the continuity counters (a duplicate packet
+and a packet without payload are legal), reassembles the elementary packets of every stream of
+every program by itself, marks those that lost packets, and gives time stamps, clock references and
+random-access points.
 """
 
 from __future__ import annotations
@@ -30,7 +34,10 @@ UNIT = 576
 UNITS_PER_PES = 56
 #: Ticks from one PES to the next.
 TICKS = CLOCK // 25
+#: PES between two copies of the program tables.
+TABLES_EVERY = 25
 _BODY = PACKET - 4
+_FIELD = 8  # the adaptation field of a PES's first packet: length, flags, clock reference
 _HEADER = 14  # of a PES: start code, stream, length, flags, one time stamp
 
 
@@ -60,14 +67,18 @@ def _section(table_id: int, ident: int, body: bytes) -> bytes:
     return head + section_crc(head).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    packet = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10, 0]) + section
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    packet = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10 | counter % 16, 0]) + section
     return packet + bytes([STUFF]) * (PACKET - len(packet))
 
 
-_TABLES = _table_packet(PAT_PID, _section(0x00, 1, bytes([0, PROGRAM, 0xE0 | PMT_PID >> 8, PMT_PID & 0xFF]))) + _table_packet(
-    PMT_PID, _section(0x02, PROGRAM, bytes([0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0, STREAM_TYPE, 0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0]))
-)
+_PAT = _section(0x00, 1, bytes([0, PROGRAM, 0xE0 | PMT_PID >> 8, PMT_PID & 0xFF]))
+_PMT = _section(0x02, PROGRAM, bytes([0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0, STREAM_TYPE, 0xE0 | DATA_PID >> 8, DATA_PID & 0xFF, 0xF0, 0]))
+
+
+def _clock(base: int) -> bytes:
+    """A program clock reference: 33 bits of base, 6 reserved, 9 of extension."""
+    return (base << 15 | 0x7E00).to_bytes(6, "big")
 
 
 def _stamp(pts: int) -> bytes:
@@ -76,120 +87,214 @@ def _stamp(pts: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload (a positive multiple of UNIT bytes)."""
-    out, step = [_TABLES], UNIT * UNITS_PER_PES
+    out, step = [], UNIT * UNITS_PER_PES
     counter = 0
     for k, at in enumerate(range(0, len(payload), step)):
+        if k % TABLES_EVERY == 0:
+            copy = k // TABLES_EVERY
+            out += [_table_packet(PAT_PID, _PAT, copy), _table_packet(PMT_PID, _PMT, copy)]
         data = payload[at : at + step]
         pes = b"\0\0\1" + bytes([PRIVATE_STREAM]) + (len(data) + _HEADER - 6).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(k * TICKS) + data
-        # the first packet has an adaptation field of two bytes (random access), the last is stuffed
-        first = _BODY - 2
-        n = 1 + max(0, -(-(len(pes) - first) // _BODY))
+        # the first packet has the clock and the random-access mark, the last is stuffed; there are four at least
+        body = np.frombuffer(pes, np.uint8)
+        first = _BODY - _FIELD
+        n = 1 + -(-(len(body) - first) // _BODY)
         grid = np.empty((n, PACKET), np.uint8)
         grid[:, 0], grid[:, 1], grid[:, 2] = SYNC, DATA_PID >> 8, DATA_PID & 0xFF
         grid[0, 1] |= 0x40
         grid[:, 3] = 0x10 | (counter + np.arange(n)) % 16
         grid[0, 3] |= 0x20
-        grid[0, 4:6] = 1, 0x40
-        body = np.frombuffer(pes, np.uint8)
-        lead = min(first, len(body))
-        if n == 1:
-            pad = first - lead
-            grid[0, 4] = 1 + pad
-            grid[0, 6 : 6 + pad] = STUFF
-            grid[0, 6 + pad :] = body
-        else:
-            grid[0, 6:] = body[:first]
-            rest = body[first:]
-            full = (n - 2) * _BODY
-            grid[1 : n - 1, 4:] = rest[:full].reshape(n - 2, _BODY)
-            tail = rest[full:]
-            pad = _BODY - len(tail)
-            if pad:
-                grid[n - 1, 3] |= 0x20
-                grid[n - 1, 4] = pad - 1
-                if pad > 1:
-                    grid[n - 1, 5] = 0
-                    grid[n - 1, 6 : 4 + pad] = STUFF
-            grid[n - 1, 4 + pad :] = tail
+        grid[0, 4:6] = _FIELD - 1, 0x50
+        grid[0, 6 : 4 + _FIELD] = np.frombuffer(_clock(k * TICKS), np.uint8)
+        grid[0, 4 + _FIELD :] = body[:first]
+        rest = body[first:]
+        full = (n - 2) * _BODY
+        grid[1 : n - 1, 4:] = rest[:full].reshape(n - 2, _BODY)
+        tail = rest[full:]
+        pad = _BODY - len(tail)
+        if pad:
+            grid[n - 1, 3] |= 0x20
+            grid[n - 1, 4] = pad - 1
+            if pad > 1:
+                grid[n - 1, 5] = 0
+                grid[n - 1, 6 : 4 + pad] = STUFF
+        grid[n - 1, 4 + pad :] = tail
         counter += n
         out.append(grid.tobytes())
     return b"".join(out)
 
 
+@dataclass
+class Unit:
+    """One elementary packet."""
+
+    pid: int
+    pts: int | None
+    dts: int | None
+    complete: bool  # no packet of it was lost, and it is as long as it says
+    data: bytes
+
+
 @dataclass
 class Stream:
     """What a transport stream holds."""
 
-    payload: bytes
-    pts: list[int]
+    units: list[Unit]  # by stream, each in order
+    clock: list[tuple[int, int]]  # packet number, clock reference in 27 MHz ticks
     random_access: list[int]  # packet numbers
     packets: int
     continuity_errors: int
+    bad_sections: int
     programs: dict[int, int]  # program number -> PID of its map
     streams: dict[int, int]  # PID -> stream type
 
-
-def _read_section(packet: bytes) -> bytes:
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    at += 1 + packet[at]
-    length = 3 + ((packet[at + 1] & 0x0F) << 8 | packet[at + 2])
-    section = packet[at : at + length]
-    if section_crc(section):
-        raise ValueError("a program table's checksum is wrong")
-    return section
+    @property
+    def payloads(self) -> dict[int, bytes]:
+        """The bytes of every stream, incomplete packets included as far as they go."""
+        return {pid: b"".join(u.data for u in self.units if u.pid == pid) for pid in self.streams}
+
+    @property
+    def payload(self) -> bytes:
+        """The bytes of the first stream."""
+        return self.payloads[min(self.streams)] if self.streams else b""
+
+    @property
+    def pts(self) -> list[int]:
+        return [u.pts for u in self.units if u.pts is not None]
+
+
+def _payload_start(packet: np.ndarray) -> int:
+    """Where a packet's payload starts; beyond its end if there is none or the field is too long."""
+    if not packet[3] & 0x10:
+        return PACKET
+    return 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
+
+
+def _follow(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the packets of one PID: which carry new payload, and before which of those packets were lost."""
+    carries = np.flatnonzero((mine[:, 3] & 0x10) != 0)
+    counter = (mine[carries, 3] & 0x0F).astype(np.int16)
+    step = np.diff(counter, prepend=counter[:1] - 1) % 16
+    field = mine[carries]
+    # a packet may be sent twice; all but its clock reference is equal then
+    same = np.zeros(len(carries), bool)
+    for k in np.flatnonzero(step == 0):
+        a, b = mine[carries[k - 1]], mine[carries[k]]
+        same[k] = bool((a[_payload_start(a) :] == b[_payload_start(b) :]).all()) if _payload_start(a) == _payload_start(b) else False
+    announced = ((field[:, 3] & 0x20) != 0) & (field[:, 4] > 0) & ((field[:, 5] & 0x80) != 0)
+    lost = (step != 1) & ~same & ~announced
+    return carries[~same], lost[~same]
+
+
+def _sections(mine: np.ndarray) -> tuple[list[bytes], int]:
+    """The sections with a right checksum of the packets of one PID, and how many had a wrong one."""
+    found, bad, held = [], 0, b""
+    started = False
+
+    def take() -> None:
+        nonlocal held, bad
+        while len(held) >= 3 and held[0] != STUFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                return
+            if size >= 12 and not section_crc(held[:size]):
+                found.append(held[:size])
+            else:
+                bad += 1
+            held = held[size:]
+
+    rows, lost = _follow(mine)
+    for k, gap in zip(rows.tolist(), lost.tolist()):
+        packet = mine[k]
+        body = packet[_payload_start(packet) :].tobytes()
+        if gap:
+            held, started = b"", False
+        if packet[1] & 0x40 and body:
+            if started:
+                held += body[1 : 1 + body[0]]
+                take()
+            held, started = body[1 + body[0] :], True
+        elif started:
+            held += body
+        take()
+    return found, bad
+
+
+def _time(b: np.ndarray) -> int:
+    t = b.astype(np.int64)
+    return int((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
 
 
 def demux(data: bytes) -> Stream:
-    """Parses a transport stream; raises ValueError where it is no transport stream at all."""
+    """Parses a transport stream; raises ValueError where it is no transport stream or has no valid program table."""
     if not data or len(data) % PACKET:
         raise ValueError("no whole packets")
     grid = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
     if (grid[:, 0] != SYNC).any():
         raise ValueError("sync byte missing")
+    total = len(grid)
+    numbers = np.flatnonzero((grid[:, 1] & 0x80) == 0)  # packets that are marked as damaged are lost
+    grid = grid[numbers]
     pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    start = (grid[:, 1] & 0x40) != 0
-    programs, streams = {}, {}
-    for k in np.flatnonzero((pid == PAT_PID) & start)[:1]:
-        s = _read_section(grid[k].tobytes())
-        for i in range(8, len(s) - 4, 4):
-            programs[s[i] << 8 | s[i + 1]] = (s[i + 2] & 0x1F) << 8 | s[i + 3]
-    for number, map_pid in programs.items():
-        if not number:
-            continue
-        for k in np.flatnonzero((pid == map_pid) & start)[:1]:
-            s = _read_section(grid[k].tobytes())
-            i = 12 + ((s[10] & 0x0F) << 8 | s[11])
-            while i < len(s) - 4:
-                streams[(s[i + 1] & 0x1F) << 8 | s[i + 2]] = s[i]
-                i += 5 + ((s[i + 3] & 0x0F) << 8 | s[i + 4])
-    payload, pts, access, errors = [], [], [], 0
-    for stream_pid in streams:
+    programs: dict[int, int] = {}
+    streams: dict[int, int] = {}
+    tables, bad = _sections(grid[pid == PAT_PID])
+    for s in tables:
+        if s[0] == 0x00 and s[5] & 1:
+            for i in range(8, len(s) - 4, 4):
+                if number := s[i] << 8 | s[i + 1]:
+                    programs[number] = (s[i + 2] & 0x1F) << 8 | s[i + 3]
+    if not programs:
+        raise ValueError("no program association table with a right checksum")
+    for map_pid in sorted(set(programs.values())):
+        tables, wrong = _sections(grid[pid == map_pid])
+        bad += wrong
+        for s in tables:
+            if s[0] == 0x02 and s[5] & 1 and programs.get(s[3] << 8 | s[4]) == map_pid:
+                i = 12 + ((s[10] & 0x0F) << 8 | s[11])
+                while i + 5 <= len(s) - 4:
+                    streams[(s[i + 1] & 0x1F) << 8 | s[i + 2]] = s[i]
+                    i += 5 + ((s[i + 3] & 0x0F) << 8 | s[i + 4])
+    units: list[Unit] = []
+    clock: list[tuple[int, int]] = []
+    access: list[int] = []
+    errors = 0
+    fields = np.flatnonzero(((grid[:, 3] & 0x20) != 0) & (grid[:, 4] > 0))
+    for k in fields[(grid[fields, 5] & 0x10) != 0].tolist():
+        raw = int.from_bytes(grid[k, 6:12].tobytes(), "big")
+        clock.append((int(numbers[k]), (raw >> 15) * 300 + (raw & 0x1FF)))
+    for stream_pid in sorted(streams):
         rows = np.flatnonzero(pid == stream_pid)
         if not len(rows):
             continue
         mine = grid[rows]
-        counter = mine[:, 3] & 0x0F
-        errors += int(((counter[1:].astype(np.int16) - counter[:-1]) % 16 != 1).sum())
-        adapted = (mine[:, 3] & 0x20) != 0
-        begin = 4 + np.where(adapted, 1 + mine[:, 4].astype(np.int64), 0)
-        flags = np.where(adapted & (mine[:, 4] > 0), mine[:, 5], 0)
-        access.extend(rows[(flags & 0x40) != 0].tolist())
-        keep = np.arange(PACKET)[None, :] >= begin[:, None]
-        body = mine[keep]
+        flags = np.where(((mine[:, 3] & 0x20) != 0) & (mine[:, 4] > 0), mine[:, 5], 0)
+        access.extend(numbers[rows[(flags & 0x40) != 0]].tolist())
+        used, lost = _follow(mine)
+        errors += int(lost.sum())
+        mine = mine[used]
+        begin = np.minimum(4 + np.where((mine[:, 3] & 0x20) != 0, 1 + mine[:, 4].astype(np.int64), 0), PACKET)
+        body = mine[np.arange(PACKET)[None, :] >= begin[:, None]]
         ends = np.cumsum(PACKET - begin)
-        heads = np.flatnonzero(start[rows])
-        at = np.where(heads > 0, ends[heads - 1], 0)
-        bounds = [*at.tolist(), len(body)]
-        for lo, hi in zip(bounds, bounds[1:]):
-            pes = body[lo:hi]
-            if len(pes) < 9 or bytes(pes[:3]) != b"\0\0\1":
-                raise ValueError("an elementary packet has no start code")
+        heads = np.flatnonzero((mine[:, 1] & 0x40) != 0)  # what comes before the first start belongs to no whole packet
+        losses = np.cumsum(lost)
+        for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(mine)]):
+            pes = body[ends[lo - 1] if lo else 0 : ends[hi - 1]]
+            # a loss at the next start may have been the end of this packet, unless its length says otherwise
+            whole = losses[hi - 1] == losses[lo]
+            if len(pes) < 9 or pes[:3].tobytes() != b"\0\0\1":
+                units.append(Unit(stream_pid, None, None, False, b""))
+                continue
             size = int(pes[4]) << 8 | int(pes[5])
-            if pes[7] & 0x80:
-                t = pes[9:14].astype(np.int64)
-                pts.append(int((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1))
-            payload.append(pes[9 + int(pes[8]) : 6 + size if size else len(pes)].tobytes())
-    return Stream(b"".join(payload), pts, access, len(grid), errors, programs, streams)
+            if size:
+                whole = whole and len(pes) >= 6 + size
+            elif hi < len(mine):
+                whole = whole and not lost[hi]
+            stamps = pes[7] >> 6
+            pts = _time(pes[9:14]) if stamps & 2 and len(pes) >= 14 else None
+            dts = _time(pes[14:19]) if stamps == 3 and len(pes) >= 19 else None
+            units.append(Unit(stream_pid, pts, dts, bool(whole), pes[9 + int(pes[8]) : 6 + size if size else len(pes)].tobytes()))
+    return Stream(units, clock, sorted(access), total, errors, bad, programs, streams)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -199,10 +304,10 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def describe(s: Stream) -> str:
-    """Equal streams, equal strings: packets, PES, time stamps, random-access points, byte statistics."""
+    """Equal streams, equal strings: packets, PES, all time stamps and random-access points by checksum, byte statistics."""
     b = np.frombuffer(s.payload, np.uint8)
-    head = ",".join(map(str, s.random_access[:4]))
-    return f"packets={s.packets};programs={len(s.programs)};streams={len(s.streams)};pes={len(s.pts)};pts={s.pts[0] if s.pts else ''}-{s.pts[-1] if s.pts else ''};access={len(s.random_access)}:{head};continuity_errors={s.continuity_errors};mean={b.mean():.4f}"
+    sums = [zlib.crc32(np.array(x, "<i8").tobytes()) for x in (s.pts, s.random_access, [t for _, t in s.clock])]
+    return f"packets={s.packets};programs={len(s.programs)};streams={len(s.streams)};pes={len(s.units)};pts={sums[0]:08x};access={sums[1]:08x};clock={sums[2]:08x};continuity_errors={s.continuity_errors};mean={b.mean():.4f}"
 
 
 def store_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,11 +316,11 @@ def store_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pts, random_access.
 
     Null text counts as empty; such a row's payload is one unit of bytes 255. A null id stays null,
-    repeated rows give repeated rows, an empty table none; other columns are ignored; texts are
-    taken whole, one at a time.
+    repeated rows give repeated rows and equal texts equal values, an empty table gives none; other
+    columns are ignored, whatever their names; texts of any length are taken whole, one at a time.
     """
     return _run(docs, id_col, text_col, columns=False)
 
@@ -225,10 +330,10 @@ def _run(docs: DataFrame, id_col: str, text_col: str, columns: bool) -> DataFram
 
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, " + (
-        "media binary, pts array<long>, random_access array<int>" if columns else "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        "media binary, pts array<long>, random_access array<int>" if columns else "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>"
     )
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64()] + ([pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())] if columns else [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+    types = [pa.int64(), pa.int64()] + ([pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())] if columns else [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())])
 
     def one(text: str | None) -> list:
         n, payload = padded(text)
@@ -237,7 +342,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, columns: bool) -> DataFram
         if columns:
             return [n, media, back.pts, back.random_access]
         p = back.payload
-        return [n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(back)]
+        return [n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(back), back.pts, back.random_access]
 
     def batches(it):
         for batch in it:
