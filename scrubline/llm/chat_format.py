@@ -9,8 +9,10 @@ Pairs come from the table itself: conversations that open with the same turn are
 members are ranked (longest first, then smallest id), and each member but the first is the rejected
 side of a pair with the first as chosen; a conversation that shares its opening with no other one is
 paired with its own shortened form (its last assistant turn withheld). A group is never gathered:
-only its best row is found by an aggregate, and each conversation then meets that one row. Turns are
-ordered by (turn, role, text); rows of one conversation are gathered, groups of conversations are not.
+only its best row is found by an aggregate, and each conversation then meets that one row. Where an
+opening is hot, its conversations are salted by their ids and the best row is repeated for every salt.
+Turns are ordered by (turn, role, text); rows of one conversation are gathered, groups of
+conversations are not.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions, table
 
 TRAINED_ROLE = "assistant"
+HOT_PART = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -82,7 +85,9 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, chosen, rejected) of a table of turns; null ids form one conversation.
 
-    An empty table gives no pairs. Repeated rows are turns of their own. Every conversation is in
+    An empty table gives no pairs. Repeated rows are turns of their own, and of turns that tie in number
+    the smaller role and text comes first. Texts of any length are taken whole; other columns are
+    ignored, whatever their names. Every conversation is in
     some pair, as chosen or as rejected; rejected_id equals chosen_id where a conversation stands
     against its own shortened form.
     """
@@ -93,7 +98,15 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     order = F.struct((-F.col("n")).alias("n"), F.col("conv_id").isNull().alias("z"), F.col("conv_id").alias("id"))
     best = rows.groupBy(*key).agg(F.min(F.struct(order.alias("order"), F.col("turns").alias("turns"))).alias("best"), F.count(F.lit(1)).alias("members"))
     best = best.select(*key, F.col("best.order.id").alias("chosen_id"), F.col("best.turns").alias("chosen"), "members")
-    met = rows.drop("n").join(best, key)
+    # openings with more than 1/HOT_PART of all conversations, so HOT_PART at most
+    total = best.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    hot = best.where(F.col("members") > max(1.0, total / HOT_PART)).select(*key, F.lit(True).alias("hot"))
+    salts = partitions(turns.sparkSession)
+    salted = rows.drop("n").join(F.broadcast(hot.select("opening", "hot").distinct()), "opening", "left")
+    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("conv_id"), F.lit(salts))).otherwise(0)).drop("hot")
+    spread = best.join(F.broadcast(hot.select("opening", "hot").distinct()), "opening", "left")
+    spread = spread.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot")
+    met = salted.join(spread, [*key, "salt"]).drop("salt")
     alone = F.col("conv_id").eqNullSafe(F.col("chosen_id"))
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i)))
     shortened = F.when(last.isNotNull(), F.slice("turns", F.lit(1), last)).otherwise(F.col("turns"))
