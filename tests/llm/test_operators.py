@@ -506,3 +506,113 @@ def test_encoder_asks_whether_ids_follow_the_merges(tmp_path):
     t = Tokenizer.from_file(path)
     for text in ["the man in the hat, and another one", ""]:
         assert packing.encoder(path)(text) == t.encode(text, add_special_tokens=False).ids
+
+
+# -- transport streams by an independent reader -----------------------------------------------------
+def plain_reader(data):
+    """Packet by packet, as the standard lays them out: payload, time stamps, random-access packet numbers, clocks."""
+    payload, pts, access, clocks, last = b"", [], [], [], None
+    held = None
+
+    def close(pes):
+        nonlocal payload
+        if pes:
+            assert pes[:3] == b"\0\0\1" and pes[6] >> 6 == 2
+            bits = "".join(f"{b:08b}" for b in pes[9:14])
+            assert bits[:4] == "0010" and bits[7] == bits[23] == bits[39] == "1"
+            pts.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+            payload += pes[9 + pes[8] : 6 + int.from_bytes(pes[4:6], "big")]
+
+    for k in range(0, len(data), 188):
+        p = data[k : k + 188]
+        pid = int.from_bytes(p[1:3], "big") & 0x1FFF
+        if pid != media_ts.DATA_PID:
+            continue
+        assert last is None or p[3] & 15 == (last + 1) % 16
+        last = p[3] & 15
+        at = 4
+        if p[3] & 0x20:
+            at = 5 + p[4]
+            if p[4] and p[5] & 0x40:
+                access.append(k // 188)
+            if p[4] and p[5] & 0x10:
+                bits = "".join(f"{b:08b}" for b in p[6:12])
+                clocks.append(int(bits[:33], 2) * 300 + int(bits[39:], 2))
+        if p[1] & 0x40:
+            close(held)
+            held = b""
+        held += p[at:]
+    close(held)
+    return payload, pts, access, clocks
+
+
+def test_streams_against_a_plain_reader(spark):
+    texts = {i: "é" * n for i, n in enumerate([0, 1, 300, 16_128, 16_129, 500_000])} | {99: None}
+    got = {r["doc_id"]: r for r in media_ts.media_digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    columns = {r["doc_id"]: r for r in media_ts.store_streams(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        n, payload = media_ts.padded(t)
+        data = bytes(columns[i]["media"])
+        back, pts, access, clocks = plain_reader(data)
+        assert back == payload and clocks == [x * 300 for x in pts]
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"], r["pts"], r["random_access"]) == (len(data), hashlib.sha256(data).hexdigest(), pts, access)
+        s = media_ts.demux(data)
+        assert (s.payload, s.pts, s.random_access, [c for _, c in s.clock], s.bad_sections) == (payload, pts, access, clocks, 0)
+        assert r["feature"] == media_ts.describe(s)
+
+
+def packet(pid, counter, body, start=False, field=None):
+    out = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x20 if field is not None else 0) | (0x10 if body else 0) | counter % 16])
+    out += bytes([len(field)]) + field if field is not None else b""
+    return out + body + b"\xff" * (188 - len(out + body))
+
+
+def test_foreign_streams():
+    # two programs; the second one's map goes over several packets, and both tables come again in a later version
+    pat = media_ts._section(0, 1, bytes([0, 1, 0xE1, 0x00, 0, 7, 0xE2, 0x00]))
+    pmt1 = media_ts._section(2, 1, bytes([0xE1, 1, 0xF0, 0, 0x06, 0xE1, 1, 0xF0, 0]))
+    pmt7 = media_ts._section(2, 7, bytes([0xE3, 1, 0xF0, 0]) + b"".join(bytes([0x1B, 0xE3, k, 0xF0, 4]) + b"note" for k in range(1, 41)))
+    tables = packet(0, 0, b"\0" + pat, True) + packet(0x100, 0, b"\0" + pmt1, True)
+    rest = b"\0" + pmt7
+    cut = [rest[i : i + 184] for i in range(0, len(rest), 184)]
+    tables += b"".join(packet(0x200, k, c, k == 0) for k, c in enumerate(cut))
+    s = media_ts.demux(tables)
+    assert s.programs == {1: 0x100, 7: 0x200} and set(s.streams) == {0x101, *range(0x301, 0x329)} and s.bad_sections == 0
+
+    def pes(data, stamp):
+        return b"\0\0\1\xbd" + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + media_ts._stamp(stamp) + data
+
+    def cut_up(pid, counter, raw):
+        room = [raw[i : i + 100] for i in range(0, len(raw), 100)]
+        return [packet(pid, counter + k, c, k == 0, b"\0" + b"\xff" * (183 - len(c) - 1)) for k, c in enumerate(room)]
+
+    a, b, c = (bytes([65 + k]) * 450 for k in range(3))
+    one, two, other = cut_up(0x101, 0, pes(a, 5)), cut_up(0x101, 5, pes(b, 6)), cut_up(0x301, 3, pes(c, 9))
+    mixed = [x for pair in zip(one + two, other + other[:0] + [b""] * 5) for x in pair]
+    whole = media_ts.demux(tables + b"".join(mixed))
+    assert (whole.payloads[0x101], whole.payloads[0x301], whole.continuity_errors, [u.pts for u in whole.units]) == (a + b, c, 0, [5, 6, 9])
+    # a packet sent twice and one without payload are legal
+    nothing = packet(0x101, 2, b"", False, b"\x00" + b"\xff" * 182)
+    legal = media_ts.demux(tables + b"".join(one[:3] + [one[2], nothing] + one[3:] + two))
+    assert (legal.payload, legal.continuity_errors, all(u.complete for u in legal.units)) == (a + b, 0, True)
+    # a lost packet is counted, and marks its own elementary packet alone
+    lost = media_ts.demux(tables + b"".join(one[:2] + one[3:] + two))
+    assert lost.continuity_errors == 1 and [u.complete for u in lost.units] == [False, True] and lost.units[1].data == b
+    # a table with a wrong checksum is left out where it comes again
+    spoiled = bytearray(packet(0, 15, b"\0" + pat, True))
+    spoiled[20] ^= 1
+    again = media_ts.demux(bytes(spoiled) + tables + b"".join(one))
+    assert again.bad_sections == 1 and again.payload == a
+    # a packet marked as damaged is lost
+    marked = bytearray(one[1])
+    marked[1] |= 0x80
+    assert media_ts.demux(tables + one[0] + bytes(marked) + b"".join(one[2:])).continuity_errors == 1
+
+
+def test_chat_with_a_hot_opening(spark):
+    turns = [(i, k, r, t) for i in range(400) for k, r, t in ((0, "user", "hi" if i % 3 else f"own {i}"), (1, "assistant", f"answer {i}"), *([(2, "user", "x" * 3000)] if i == 5 else []))]
+    df = spark.createDataFrame([(*t, "k", 7) for t in turns], "conv_id long, turn long, role string, text string, opening string, n int")
+    out = {(r["chosen_id"], r["rejected_id"]) for r in chat_format.preference_pairs(df).collect()}
+    assert out == {(5, i) for i in range(400) if i % 3 and i != 5} | {(i, i) for i in range(0, 400, 3)}
