@@ -1,23 +1,26 @@
-"""License scans: an exact set-similarity join of runs of words with license templates.
-
-A run is a stretch of consecutive words, over line and sentence ends, of at most ``SPAN`` times the
-words of the template it is held against; run and template are sets of words. The words of the
-templates are ordered by their document frequency over the whole corpus, rarest first. A template
-of n words that a run must contain to the part t can only match in a document if
-
-* prefix: one of its first n - ceil(t*n) + 1 words is in the document,
-* length: the document has ceil(t*n) words of the vocabulary or more,
-* position: after the first shared word, enough words are left on both sides,
-
-and only in documents that pass all three are the runs verified: one from each word of the
-template on, so that no match falls between. A run must also hold what tells the license from its
-neighbours (``MARKS``: name and version), whatever other words are missing. The filters lose nothing. The template side has a
-fixed size (``TEMPLATES``) and is folded into the expressions, so the join is narrow: nothing is
-shuffled but the frequency counts, and no Python runs on rows.
+"""License scans: an exact set-similarity join of blocks of text with license templates.
+
+A block is a run of consecutive words, over line and sentence ends, of ``SPAN`` times the words of
+the template that it is held against; one starts at every word. Block and template are sets of
+words, and a block contains a template if it has the part ``threshold`` of the template's words.
+Words are ordered by their document frequency over the whole corpus, rarest first. With n words in a
+template, t*n of which a block must have (rounded up: ``least``), only documents are candidates in which
+
+* prefix: one of the template's first n - least + 1 words stands: documents and the table of prefixes
+  are joined on these words, each pair once, by the first prefix word that they share;
+* length: ``least`` words of the templates' vocabulary or more stand;
+* position: after that first shared word enough words are left in both.
+
+The filters lose nothing. Of the candidates every block that starts with one of the template's words
+is verified. A block must also hold what tells the license from its neighbours (name and version),
+whatever other words are missing. The template side is a table, so the plan is of the same size for
+any number of templates; it is broadcast while it is small. No Python runs on rows, and nothing is
+shuffled but word counts and matches.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
+from .license_templates import BODIES, MARKS, TEMPLATES
 
 #: Words are runs of [0-9A-Za-z] and non-ASCII characters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,124 +38,127 @@ WORD = LETTER + "+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The base phrases, each ending in "license", and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short public license notices by SPDX identifier.
-TEMPLATES = {
-    "MIT": "released under the mit license",
-    "Apache-2.0": "licensed under the apache license version 2 0",
-    "GPL-3.0": "this work is licensed under the gnu general public license version 3",
-    "CC-BY-NC-4.0": "licensed under cc by nc 4 0",
-    "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "BSD-3-Clause": "redistribution and use in source and binary forms with or without modification are permitted",
-    "Unlicense": "this is free and unencumbered software released into the public domain",
-}
-def _versions(names: list[str], number: int) -> tuple[str, ...]:
-    """Phrases in which this number, or a list of numbers that ends in it, follows one of the names."""
-    before = ["", "version ", "v ", "v", "either version ", "either v", *(f"{e}version {number - 1} or {v}" for e in ("", "either ") for v in ("", "version "))]
-    return tuple(f"{name} {x}{number}" for name in names for x in before)
-
-
-#: What tells a license from its neighbours: a run must hold one phrase of every line of its label.
-MARKS = {
-    "MIT": [("under the mit", "under mit", "terms of the mit", "mit license", "mit x11", "mit expat")],
-    "Apache-2.0": [_versions(["apache license", "apache software license", "apache public license"], 2)],
-    "GPL-3.0": [_versions(["gnu general public license", "gnu general public license gpl"], 3)],
-    "CC-BY-NC-4.0": [("by nc 4", "by nc version 4", "by nc v 4", "by nc v4", "by nc license 4", "by nc license version 4")],
-    "MPL-2.0": [_versions(["mozilla public license", "mozilla public license mpl"], 2)],
-    "Unlicense": [("unencumbered software",)],
-}
 THRESHOLD = 0.8
-#: A run has at most so many times the words of its template.
+#: A block has so many times the words of its template.
 SPAN = 4
+#: Template tables of up to so many bytes are broadcast.
+BROADCAST_BYTES = 8_000_000
+_ROW = "token string, at int, label string, words array<string>, first array<string>, n int, least int, span int, marks array<string>"
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template's text."""
+    return re.findall("[0-9a-z]+", text.lower())
 
 
 def vocabulary(templates: dict[str, str]) -> list[str]:
-    return sorted({w for t in templates.values() for w in t.split()})
+    return sorted({w for t in templates.values() for w in words_of(t)})
 
 
-def _any_word(words: list[str]) -> str:
-    """A pattern that finds any of these lower-case words, standing alone, in either case."""
-    either = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
-    return f"(?<!{LETTER})(?:{either})(?!{LETTER})"
+def all_templates(templates: dict[str, str] | None = None) -> list[tuple[str, list[str], list[tuple[str, ...]]]]:
+    """(label, words, phrases) of the caller's templates, which have no phrases, or of the published ones."""
+    if templates is not None:
+        return [(label, words_of(text), []) for label, text in sorted(templates.items())]
+    short = [(label, words_of(text), MARKS.get(label, [])) for label, text in sorted(TEMPLATES.items())]
+    return short + [(label, words_of(text), [phrases] if phrases else []) for label, text, phrases in BODIES]
 
 
 def _lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(_lower(text), F.lit(WORD), F.lit(0))
+
+
+def _listed(words: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(words)), "array<string>")
+
+
 def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "text") -> dict[str, int]:
     """In how many of all documents each word stands. The result has one row per given word."""
-    found = F.regexp_extract_all(text_or_empty(text_col), F.lit(_any_word(words)), F.lit(0))
-    counted = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(found), _lower))).alias("w")).groupBy("w").count()
+    counted = docs.select(F.explode(F.array_intersect(_listed(words), _words(text_or_empty(text_col)))).alias("w")).groupBy("w").count()
     return {r["w"]: r["count"] for r in counted.collect()}  # as many rows as the templates have words, at most
 
 
-def template_index(templates: dict[str, str], frequency: dict[str, int], threshold: float) -> tuple[dict[str, int], list[tuple[str, list[int], int, int]]]:
-    """Rank of every word (1 = rarest), and per template: label, sorted ranks, least overlap, prefix."""
-    order = sorted(vocabulary(templates), key=lambda w: (frequency.get(w, 0), w))
-    rank = {w: i + 1 for i, w in enumerate(order)}
-    index = []
-    for label, text in sorted(templates.items()):
-        ranks = sorted({rank[w] for w in text.split()})
-        least = math.ceil(threshold * len(ranks) - 1e-9)
-        index.append((label, ranks, least, len(ranks) - least + 1))
-    return rank, index
+def prefix_rows(templates: list[tuple[str, list[str], list[tuple[str, ...]]]], order: dict[str, int], threshold: float) -> list[dict]:
+    """One row per template and word of its prefix; words in their global order."""
+    rows = []
+    for label, text, phrases in templates:
+        words = sorted(set(text), key=order.__getitem__)
+        least = math.ceil(threshold * len(words) - 1e-9)
+        first = sorted({*words, *(p.split()[0] for line in phrases for p in line)})
+        marks = [f"(?<![^ ])(?:{'|'.join(line)})(?![^ ])" for line in phrases]
+        one = {"label": label, "words": words, "first": first, "n": len(words), "least": least, "span": SPAN * len(text), "marks": marks}
+        rows += [{"token": w, "at": k, **one} for k, w in enumerate(words[: len(words) - least + 1])]
+    return rows
 
 
-def _ints(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _blocks(words: Column, t: Column) -> Column:
+    """(first, last, part) of every stretch of blocks that contain the template, in order."""
+    starts = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(t["first"], w), i)), lambda i: i.isNotNull())
 
+    def part(run: Column) -> Column:
+        shared = F.size(F.array_intersect(t["words"], run))
+        joined = F.array_join(run, " ")
+        return F.when((shared >= t["least"]) & F.forall(t["marks"], lambda m: F.regexp_like(joined, m)), shared / t["n"])
 
-def _possible(found: Column, ranks: list[int], least: int, prefix: int) -> Column:
-    """Whether a document with these sorted ranks can contain the template."""
-    shared = F.array_intersect(_ints(ranks), found)
-    first = F.element_at(F.array_intersect(_ints(ranks[:prefix]), found), 1)
-    left = F.least(F.lit(len(ranks)) - F.array_position(_ints(ranks), first), F.size(found) - F.array_position(found, first))
-    passes = (F.size(found) >= least) & F.arrays_overlap(_ints(ranks[:prefix]), found)
-    return F.when(passes, (left + 1 >= least) & (F.size(shared) >= least)).otherwise(F.lit(False))
+    # an array of one, so that a run is taken once
+    parts = F.transform(starts, lambda i: F.struct(i.alias("first"), F.least(i + t["span"], F.size(words)).alias("last"), F.get(F.transform(F.array(F.slice(words, i + 1, t["span"])), part), F.lit(0)).alias("part")))
+    hits = F.filter(parts, lambda h: h["part"].isNotNull())
 
+    def step(acc: Column, h: Column) -> Column:
+        end = F.get(acc, F.size(acc) - 1)
+        wider = F.struct(end["first"].alias("first"), h["last"].alias("last"), F.greatest(end["part"], h["part"]).alias("part"))
+        return F.when(end.isNotNull() & (h["first"] <= end["last"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(h)))
 
-def _contained(lowered: Column, text: str, least: int, marks: list[tuple[str, ...]]) -> Column:
-    """The largest part of the template in a run of these words that holds its marks, or 0.0 below the threshold."""
-    words, longest = sorted(set(text.split())), SPAN * len(text.split())
-    first = sorted({*words, *(p.split()[0] for phrases in marks for p in phrases)})
-    starts = F.filter(F.transform(lowered, lambda w, i: F.when(w.isin(first), i + 1)), lambda i: i.isNotNull())
+    return F.aggregate(hits, F.array().cast("array<struct<first:int,last:int,part:double>>"), step)
 
-    def size(run: Column) -> Column:
-        shared = F.size(F.array_intersect(F.array(*map(F.lit, words)), run))
-        marked = shared >= least
-        for phrases in marks:
-            marked = marked & F.array_join(run, " ").rlike(f"(?<![^ ])(?:{'|'.join(phrases)})(?![^ ])")
-        return F.when(marked, shared)
 
-    # an array of one, so that a run is taken once
-    shared = F.array_max(F.transform(starts, lambda i: F.element_at(F.transform(F.array(F.slice(lowered, i, F.lit(longest))), size), 1)))
-    return F.when(shared >= least, shared / F.lit(len(words))).otherwise(F.lit(0.0))
+def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(carry, text_key, label, first, last, part): every stretch of text that contains a template.
+
+    Words first to last (exclusive, from 0) are a union of overlapping blocks, part is the best
+    containment of one of them; text_key is the SHA-256 of the text. Null text counts as empty.
+    """
+    spark = docs.sparkSession
+    known = all_templates(templates)
+    frequency = document_frequencies(docs, sorted({w for _, text, _ in known for w in text}), text_col)
+    order = sorted({w for _, text, _ in known for w in text}, key=lambda w: (frequency.get(w, 0), w))
+    listed = json.dumps(prefix_rows(known, {w: i for i, w in enumerate(order)}, threshold))
+    prefixes = spark.range(1).select(F.explode(F.from_json(F.lit(listed), f"array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>")).alias("t")).select(F.col("t.token").alias("token"), "t")
+    tokens = sorted({r["token"] for r in json.loads(listed)})
+    rows = docs.select(*carry, F.sha2(text_or_empty(text_col), 256).alias("text_key"), _words(text_or_empty(text_col)).alias("words"))
+    rows = rows.withColumn("found", F.array_intersect(_listed(order), "words"))  # in global order
+    probes = rows.select("*", F.explode(F.array_intersect("found", _listed(tokens))).alias("token"))
+    met = probes.join(F.broadcast(prefixes) if len(listed) <= BROADCAST_BYTES else prefixes, "token")
+    before, n_found = F.slice("t.words", F.lit(1), F.col("t.at")), F.size("found")
+    once = ~F.arrays_overlap(before, "found")
+    left = F.least(F.col("t.n") - F.col("t.at"), n_found - F.array_position("found", F.col("token")).cast("int") + 1)
+    shared = F.size(F.array_intersect("t.words", F.col("found")))
+    possible = met.where((n_found >= F.col("t.least")) & once & (left >= F.col("t.least")) & (shared >= F.col("t.least")))
+    out = possible.select(*carry, "text_key", F.col("t.label").alias("label"), F.explode(_blocks(F.col("words"), F.col("t"))).alias("b"))
+    return out.select(*carry, "text_key", "label", "b.first", "b.last", "b.part")
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per document.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks per document.
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and
     largest of their first words' numbers, null if there is none. labels has the base labels and the
-    SPDX identifiers of the templates that some run of words contains, wherever lines and sentences end, along with their
-    marks; templates of the caller's own have no marks. score is the largest containment of
-    a matched template, 1.0 if a base phrase was found, else 0. Null text counts as empty (no words,
-    empty labels, score 0). Repeated rows give repeated rows; an empty table gives none; other
-    columns are ignored.
+    labels of the templates that some block contains, along with their marks; templates of the
+    caller's own have no marks. score is the largest containment of a matched template, 1.0 if a base
+    phrase was found, else 0. blocks lists label@first-last of ``license_blocks``, sorted and
+    comma-joined. Null text counts as empty (no words, empty labels, score 0). Equal texts have equal
+    results, repeated rows give repeated rows; texts of any length are scanned whole; an empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
-    templates = TEMPLATES if templates is None else templates
-    rank, index = template_index(templates, document_frequencies(docs, vocabulary(templates), text_col), threshold)
-    word = {r: w for w, r in rank.items()}
-    probes = _any_word(sorted({word[r] for _, ranks, _, prefix in index for r in ranks[:prefix]}))
-    ranked = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-
     raw = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("raw"))
-    words = F.regexp_extract_all("raw", F.lit(WORD), F.lit(0))
     phrases = "|".join(GAP.join(map(re.escape, p.split())) for p in BASE)
     flagged = F.col("raw").rlike("(?i)" + "|".join(f"{p.split()[0]}{GAP}{p.split()[1]}" for p in BASE))
 
     # places: every word with the two after it, only for rows that hold a phrase's letters at all
-    lowered = F.transform(words, _lower)
+    lowered = _words(F.col("raw"))
     trio = F.arrays_zip(lowered.alias("a"), F.slice(lowered, F.lit(2), F.size(lowered)).alias("b"), F.slice(lowered, F.lit(3), F.size(lowered)).alias("c"), F.sequence(F.lit(0), F.size(lowered) - 1).alias("i"))
 
     def label_of(x: Column) -> Column:
@@ -165,35 +172,24 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     place = F.filter(F.transform(trio, lambda x: F.struct(label_of(x).alias("label"), x["i"].cast("long").alias("at"))), lambda y: y["label"].isNotNull())
     no_place = F.array().cast("array<struct<label:string,at:bigint>>")
     places = F.when(flagged & F.col("raw").rlike("(?i)" + phrases), place).otherwise(no_place)
-
-    # templates that the filters leave, only of rows that hold a probe, a word of some template's prefix
-    known = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("raw", F.lit(_any_word(sorted(rank))), F.lit(0))), _lower))
-    found = F.when(F.col("raw").rlike(probes), F.array_sort(F.transform(known, lambda w: ranked[w]))).otherwise(F.array().cast("array<int>"))
-    no_match = F.array().cast("array<struct<label:string,part:double>>")
-    left = F.array(*[F.when(_possible(F.col("found"), ranks, least, prefix), F.lit(k)) for k, (_, ranks, least, prefix) in enumerate(index)])
-    left = F.when(F.size("found") > 0, F.filter(left, lambda k: k.isNotNull())).otherwise(F.array().cast("array<int>"))
-
-    def hits(lowered: Column) -> Column:
-        parts = [F.when(F.array_contains("left", F.lit(k)), _contained(lowered, templates[label], least, MARKS.get(label, []) if templates is TEMPLATES else [])).otherwise(F.lit(0.0)) for k, (label, _, least, _) in enumerate(index)]
-        return F.filter(F.array(*[F.struct(F.lit(label).alias("label"), part.alias("part")) for (label, *_), part in zip(index, parts)]), lambda h: h["part"] > 0)
-
-    # an array of one, so that the words of a row are taken once
-    matches = F.element_at(F.transform(F.array(F.regexp_extract_all(_lower(F.col("raw")), F.lit(WORD), F.lit(0))), hits), 1)
-    step = raw.select("doc_id", "raw", F.regexp_count("raw", F.lit(WORD)).cast("long").alias("n_words"), places.alias("places"), found.alias("found"))
-    step = step.select("doc_id", "raw", "n_words", "places", left.alias("left"))
-    step = step.select("doc_id", "n_words", "places", F.when(F.size("left") > 0, matches).otherwise(no_match).alias("matches"))
-    starts = F.transform("places", lambda p: p["at"])
-    base = F.transform("places", lambda p: p["label"])
-    found = F.transform("matches", lambda m: m["label"])
+    base = raw.select("doc_id", F.sha2("raw", 256).alias("text_key"), F.regexp_count("raw", F.lit(WORD)).cast("long").alias("n_words"), places.alias("places"))
+
+    found = license_blocks(raw, templates, threshold, "raw")
+    place_of = F.format_string("%s@%d-%d", F.col("label"), F.col("first"), F.col("last"))
+    # copies have one text: their blocks are one group of a few rows each
+    matches = found.groupBy("text_key").agg(F.collect_set("label").alias("found"), F.max("part").alias("part"), F.array_join(F.array_sort(F.collect_set(place_of)), ",").alias("blocks"))
+    step = base.join(matches, "text_key", "left")
+    starts, named = F.transform("places", lambda p: p["at"]), F.transform("places", lambda p: p["label"])
     return step.select(
         "doc_id",
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["part"])), F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(named, F.coalesce("found", F.array().cast("array<string>"))))), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("part", F.lit(0.0))).alias("score"),
+        F.coalesce("blocks", F.lit("")).alias("blocks"),
     )
 
 
@@ -202,42 +198,70 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    """The same result without filters: every block against every template."""
-    t = ",\n    ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in sorted(TEMPLATES.items()))
+    """The same result without filters: how many words of a template each block has, by a sweep over the places where words come and go."""
+    known = all_templates()
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ",\n    ".join(
+        f"({k}, '{label}', {quoted(sorted(set(text)))}, {len(set(text))}, {math.ceil(THRESHOLD * len(set(text)) - 1e-9)}, {SPAN * len(text)}, {'[' + ', '.join(quoted(p.split()) for p in (phrases[0] if phrases else ())) + ']::VARCHAR[][]'})"
+        for k, (label, text, phrases) in enumerate(known)
+    )
     return rf"""
-WITH templates(label, words) AS (VALUES
-    {t}
+WITH templates(t, label, words, n, least, span, phrases) AS (VALUES
+    {rows}
 ), d AS (
-  SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents
 ), w AS (
-  SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d
+  SELECT rid, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d
 ), p AS (
-  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+  SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), q AS (
+  SELECT rid, i - 1 AS i, ws[i] AS word, ws[i + 1] AS w2, ws[i + 2] AS w3, ws FROM p
 ), b AS (
-  SELECT doc_id, i - 1 AS pos,
-         CASE WHEN ws[i] = 'mit' AND ws[i + 1] = 'license' THEN 'mit'
-              WHEN ws[i] = 'apache' AND ws[i + 1] = 'license' THEN 'apache'
-              WHEN ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license' THEN 'gpl' END AS label
-  FROM p
+  SELECT rid, i AS pos,
+         CASE WHEN word = 'mit' AND w2 = 'license' THEN 'mit'
+              WHEN word = 'apache' AND w2 = 'license' THEN 'apache'
+              WHEN word = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' END AS label
+  FROM q
 ), base AS (
-  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS ls
-  FROM b WHERE label IS NOT NULL GROUP BY doc_id
-), blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(low, '[.!?]+[ \t\r\n]+|[\r\n]+')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws
-  FROM d
-), m AS (
-  SELECT doc_id, label, len(list_intersect(blocks.ws, templates.words)) / len(templates.words) AS part
-  FROM blocks, templates
-  WHERE len(list_intersect(blocks.ws, templates.words)) >= ceil({THRESHOLD} * len(templates.words) - 1e-9)
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS ls
+  FROM b WHERE label IS NOT NULL GROUP BY rid
+), tw AS (
+  SELECT t, unnest(words) AS word FROM templates
+), cand AS (
+  SELECT rid, t FROM (SELECT DISTINCT rid, word FROM q WHERE word IN (SELECT word FROM tw)) JOIN tw USING (word) JOIN templates USING (t)
+  GROUP BY rid, t, least HAVING count(*) >= least
+), ph AS (
+  SELECT t, unnest(phrases) AS phrase FROM templates
+), occ AS (
+  SELECT rid, t, span, i, lag(i) OVER (PARTITION BY rid, t, word ORDER BY i) AS before FROM cand JOIN templates USING (t) JOIN q USING (rid) JOIN tw USING (t, word)
+), ev AS (
+  SELECT rid, t, greatest(coalesce(before + 1, 0), i - span + 1) AS pos, 1 AS d, 0 AS m FROM occ UNION ALL
+  SELECT rid, t, i + 1, -1, 0 FROM occ UNION ALL
+  SELECT rid, t, greatest(0, i + len(phrase) - span), 0, 1 FROM cand JOIN templates USING (t) JOIN ph USING (t) JOIN q USING (rid) WHERE word = phrase[1] AND ws[i + 1:i + len(phrase)] = phrase UNION ALL
+  SELECT rid, t, i + 1, 0, -1 FROM cand JOIN ph USING (t) JOIN q USING (rid) WHERE word = phrase[1] AND ws[i + 1:i + len(phrase)] = phrase
+), st AS (
+  SELECT DISTINCT rid, t, i AS pos FROM cand JOIN q USING (rid) WHERE EXISTS (SELECT 1 FROM tw WHERE tw.t = cand.t AND tw.word = q.word) OR EXISTS (SELECT 1 FROM ph WHERE ph.t = cand.t AND ph.phrase[1] = q.word)
+), sw AS (
+  SELECT rid, t, pos, s, sum(d) OVER k AS shared, sum(m) OVER k AS marked FROM (
+    SELECT rid, t, pos, d, m, false AS s FROM ev UNION ALL SELECT rid, t, pos, 0, 0, true FROM st)
+  WINDOW k AS (PARTITION BY rid, t ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), hit AS (
+  SELECT rid, t, label, pos AS first, least(pos + span, len(ws)) AS last, shared / n AS part FROM sw JOIN templates USING (t) JOIN w USING (rid)
+  WHERE s AND shared >= least AND (marked > 0 OR len(phrases) = 0)
+), isl AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY rid, t ORDER BY first) AS k FROM (
+    SELECT *, CASE WHEN first <= lag(last) OVER (PARTITION BY rid, t ORDER BY first) THEN 0 ELSE 1 END AS fresh FROM hit)
+), bl AS (
+  SELECT rid, t, label, min(first) AS first, max(last) AS last, max(part) AS part FROM isl GROUP BY rid, t, label, k
 ), tm AS (
-  SELECT doc_id, list(DISTINCT label) AS ls, max(part) AS part FROM m GROUP BY doc_id
+  SELECT rid, list(DISTINCT label) AS ls, max(part) AS part, array_to_string(list_sort(list(DISTINCT label || '@' || first || '-' || last)), ',') AS blocks FROM bl GROUP BY rid
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(tm.ls, [])))), ','), '') AS labels,
-       (CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END)::DOUBLE AS score
-FROM w LEFT JOIN base USING (doc_id) LEFT JOIN tm USING (doc_id)
+       (CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END)::DOUBLE AS score, coalesce(blocks, '') AS blocks
+FROM w LEFT JOIN base USING (rid) LEFT JOIN tm USING (rid)
 """
 
 
