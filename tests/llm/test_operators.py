@@ -616,3 +616,64 @@ def test_chat_with_a_hot_opening(spark):
     df = spark.createDataFrame([(*t, "k", 7) for t in turns], "conv_id long, turn long, role string, text string, opening string, n int")
     out = {(r["chosen_id"], r["rejected_id"]) for r in chat_format.preference_pairs(df).collect()}
     assert out == {(5, i) for i in range(400) if i % 3 and i != 5} | {(i, i) for i in range(0, 400, 3)}
+
+
+# -- license texts ----------------------------------------------------------------------------------
+def test_license_bodies_in_comments(spark):
+    rnd = random.Random(11)
+    rows, want = [], []
+    for k, (label, text, _) in enumerate(license_scan.BODIES):
+        words = [w for w in text.split() if rnd.random() > 0.05]
+        lines = [" # " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        rows.append((k, "x = 1\n" * 30 + "\n".join(lines) + "\ny = 2" * 400))
+        want.append(label)
+    rows.append((None, rows[0][1]))
+    rows.append((0, rows[0][1]))
+    df = spark.createDataFrame([(*r, "t", "f", 1) for r in rows], "doc_id long, text string, token string, found string, part int")
+    got = license_scan.license_scan(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        label = want[r["doc_id"] or 0]
+        assert label in r["labels"].split(",") and 0.8 <= r["score"] <= 1.0
+        text = license_scan.words_of(next(t for i, t in rows if i == r["doc_id"]))
+        body = set(license_scan.words_of(next(t for x, t, _ in license_scan.BODIES if x == label)))
+        places = [tuple(map(int, p.split("@")[1].split("-"))) for p in r["blocks"].split(",") if p.startswith(label + "@")]
+        assert any(len(body & set(text[a:b])) >= 0.8 * len(body) for a, b in places)
+    others = {"GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later"}
+    for r in got:
+        label = want[r["doc_id"] or 0]
+        if label in others:
+            assert set(r["labels"].split(",")) & others == {label}
+
+
+def test_license_blocks_against_all_blocks(spark):
+    rng = random.Random(12)
+    templates = {f"T{k}": " ".join(f"v{rng.randrange(14)}" for _ in range(rng.randrange(3, 9))) for k in range(40)}
+    texts = [" ".join(rng.choice([f"v{rng.randrange(14)}", f"u{rng.randrange(4)}"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    for threshold in (0.8, 1.0, 0.5):
+        found = license_scan.license_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, threshold, carry=["doc_id"]).collect()
+        got = sorted((r["doc_id"], r["label"], r["first"], r["last"], round(r["part"], 9)) for r in found)
+        want = []
+        for i, text in enumerate(texts):
+            ws = text.split()
+            for label, t in templates.items():
+                n, span, merged = set(t.split()), license_scan.SPAN * len(t.split()), []
+                for at, w in enumerate(ws):
+                    part = len(n & set(ws[at : at + span])) / len(n)
+                    if w in n and part >= threshold - 1e-9:
+                        last = min(at + span, len(ws))
+                        if merged and at <= merged[-1][1]:
+                            merged[-1] = [merged[-1][0], last, max(part, merged[-1][2])]
+                        else:
+                            merged.append([at, last, part])
+                want += [(i, label, a, b, round(p, 9)) for a, b, p in merged]
+        assert got == sorted(want) and want
+
+
+def test_license_plan_does_not_grow_with_templates(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    sizes = []
+    for n in (1, 300):
+        plan = license_scan.license_blocks(df, {f"T{k}": f"some words number {k}" for k in range(n)})._jdf.queryExecution().optimizedPlan()
+        sizes.append(sum(1 for line in plan.treeString().splitlines() if line.lstrip(" :+-")))
+    assert sizes[0] == sizes[1]
