@@ -105,10 +105,15 @@ for the specific language governing permissions and limitations under the Licens
 this file, You can obtain one at""",
         ("mozilla public license v 2", "mozilla public license version 2"),
     ),
-    ("GPL-2.0-or-later", _GNU.format(name="GNU General Public License", version="2"), ("either version 2",)),
-    ("GPL-3.0-or-later", _GNU.format(name="GNU General Public License", version="3"), ("either version 3",)),
-    ("LGPL-3.0-or-later", _GNU.format(name="GNU Lesser General Public License", version="3"), ("lesser general public license",)),
-    ("AGPL-3.0-or-later", _GNU.format(name="GNU Affero General Public License", version="3"), ("affero general public license",)),
+    *(
+        (f"{short}-{version}.0-or-later", _GNU.format(name=name, version=version), (f"{name.lower()} as published by the free software foundation either version {version}",))
+        for short, name, version in (
+            ("GPL", "GNU General Public License", 2),
+            ("GPL", "GNU General Public License", 3),
+            ("LGPL", "GNU Lesser General Public License", 3),
+            ("AGPL", "GNU Affero General Public License", 3),
+        )
+    ),
 )
 
 
