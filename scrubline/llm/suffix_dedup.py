@@ -5,21 +5,28 @@ smallest hash of its first ``gram`` bytes (its anchor) is a member, so equal win
 anchors at the same place, and the suffixes that share their first ``gram`` bytes (the intervals of
 the common-prefix tree at that depth) meet in one partition. There
 
-1. suffixes whose whole surroundings (all windows through the anchor) are equal are one leaf: they
-   are compared by 96 bits of hash, and each lies in a repeat as long as its surroundings;
+1. suffixes whose whole surroundings (all windows through the anchor) are equal are one leaf, an entry
+   of the array with several members: they are told apart by 96 bits of hash, and each lies in a
+   repeat as long as its surroundings;
 2. for an interval with different leaves, the surroundings of each leaf's first document are fetched,
    sorted as suffixes, and their common-prefix array is scanned with a stack: every interval of the
    tree is split by left extension the same way, and where a group's left and right extensions are
    both diverse, and together ``window`` bytes or more, it is a maximal repeat with all its places.
+   (An interval of two entries is one node; such nodes are compared all at once.)
 
 In both cases the smallest document of a group keeps its bytes and all others lose theirs. A map
 task sends only the first document of each leaf it has seen, so a passage that many documents share
 shrinks to one row per task before the shuffle. Texts move only to their own spans.
+
+An interval of more than ``HOT_LEAVES`` leaves, a string that very many documents hold between
+different neighbours, is not gathered: each of its windows is a row, and the first document of each
+window is found by an aggregate that combines before its shuffle. That is exact as well.
+
+``repeat_groups`` gives the maximal repeats themselves, with all their places.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -28,13 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, settle, ship, table, text_or_empty
-from .wordhash import BASE, BYTE_VALUE, mix, powers
+from .wordhash import BASE, BYTE_VALUE, mix, powers, prefix_sums
 
 WINDOW = 50
 GRAM = 20
 #: Bytes hashed at once, and anchors gathered before a map task sends them.
 CHUNK_BYTES = 400_000
 FLUSH_ANCHORS = 400_000
+#: Leaves of an interval that one worker takes at most; about 1.4 KB and 22 microseconds each.
+HOT_LEAVES = 20_000
+#: A window is hot if it holds more than this part of all rows, so at most 1/HOT_PART are hot.
+HOT_PART = 1 / 256
 #: Buckets of suffixes for each shuffle partition; a worker holds one bucket at a time.
 BUCKETS_PER_PARTITION = 3
 _LAST = np.iinfo(np.int64).max  # stands for a null id
@@ -89,6 +100,17 @@ def anchors(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.
     return doc, at - starts[doc], g[at], around
 
 
+def long_anchors(text: bytes, window: int, gram: int, chunk: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of one text of any length, piece by piece: what decides on an anchor lies within two windows of it."""
+    margin, parts = 2 * window, []
+    for at in range(0, max(1, len(text)), chunk):
+        low = max(0, at - margin)
+        doc, place, g, around = anchors([text[low : at + chunk + margin]], window, gram)
+        mine = (place + low >= at) & (place + low < at + chunk)
+        parts.append((doc[mine], place[mine] + low, g[mine], around[mine]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _six(x: np.ndarray) -> np.ndarray:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
@@ -184,23 +206,32 @@ def _sender(window: int, gram: int, buckets: int):
 
     def run(it):
         ids, marks, parts, held = [], [], [], 0
+
+        def add(texts, these_ids, these_marks):
+            nonlocal held
+            doc, place, g, around = anchors(texts, window, gram) if len(texts) > 1 else long_anchors(texts[0], window, gram)
+            parts.append((doc + len(ids), place, g, around))
+            held += len(doc)
+            ids.extend(_LAST if i is None else i for i in these_ids)
+            marks.extend(these_marks)
+
         for batch in it:
             all_ids = batch.column(0).to_pylist()
             all_marks = batch.column(1).to_pylist()
             texts, size, base = [], 0, 0
             for k, t in enumerate(batch.column(2)):
-                texts.append(t.as_py().encode("utf-8"))
-                size += len(texts[-1])
+                raw = t.as_py().encode("utf-8")
+                if size and size + len(raw) > CHUNK_BYTES:
+                    add(texts, all_ids[base:k], all_marks[base:k])
+                    texts, size, base = [], 0, k
+                texts.append(raw)
+                size += len(raw)
                 if size >= CHUNK_BYTES or k == batch.num_rows - 1:
-                    doc, place, g, around = anchors(texts, window, gram)
-                    parts.append((doc + len(ids), place, g, around))
-                    held += len(doc)
-                    ids.extend(_LAST if i is None else i for i in all_ids[base : k + 1])
-                    marks.extend(all_marks[base : k + 1])
+                    add(texts, all_ids[base : k + 1], all_marks[base : k + 1])
                     texts, size, base = [], 0, k + 1
-                    if held >= FLUSH_ANCHORS:
-                        yield from flush(ids, marks, parts)
-                        ids, marks, parts, held = [], [], [], 0
+                if held >= FLUSH_ANCHORS:
+                    yield from flush(ids, marks, parts)
+                    ids, marks, parts, held = [], [], [], 0
         if held:
             yield from flush(ids, marks, parts)
 
@@ -213,8 +244,8 @@ def _out(rows: list[tuple], names: list[str], types: list) -> "object":
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
-def _leaves(window: int, gram: int):
-    """Reduce side: spans of equal leaves (kind 0), and requests (kind 1) of intervals with several leaves."""
+def _leaves(window: int, gram: int, hot: int):
+    """Reduce side: spans of equal leaves (kind 0), and requests of intervals with several leaves (kind 1) or very many (kind 2)."""
     import pyarrow as pa
 
     reach = window - gram
@@ -247,11 +278,12 @@ def _leaves(window: int, gram: int):
                 rows.append((int(ids[d]), int(marks[d]), 0, ranges.tobytes()))
             leaves = np.bincount(cls_of[leaf_at], minlength=len(cls_at))
             several = (leaves > 1) & (np.minimum.reduceat(own, cls_at) != np.maximum.reduceat(own, cls_at))
-            ask = np.flatnonzero(first & several[cls_of])
-            ask = ask[np.lexsort((place[ask], doc[ask]))]
-            for part in np.split(ask, np.flatnonzero(_runs(doc[ask]))[1:]) if len(ask) else []:
-                d = doc[part[0]]
-                rows.append((int(ids[d]), int(marks[d]), 1, np.stack([place[part].astype("<u8"), g[part].astype("<u8")], 1).tobytes()))
+            for kind, wanted in ((1, several & (leaves <= hot)), (2, several & (leaves > hot))):
+                ask = np.flatnonzero(first & wanted[cls_of])
+                ask = ask[np.lexsort((place[ask], doc[ask]))]
+                for part in np.split(ask, np.flatnonzero(_runs(doc[ask]))[1:]) if len(ask) else []:
+                    d = doc[part[0]]
+                    rows.append((int(ids[d]), int(marks[d]), kind, np.stack([place[part].astype("<u8"), g[part].astype("<u8")], 1).tobytes()))
         return _out(rows, names, types)
 
     return run
@@ -294,6 +326,47 @@ def _fetcher(window: int, gram: int, buckets: int):
     return run
 
 
+def _windows(window: int, gram: int):
+    """The windows through requested suffixes: (w, doc_id, mark, at)."""
+    import pyarrow as pa
+
+    def run(it):
+        for batch in it:
+            for doc_id, mark, text, bodies in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode("utf-8")
+                place = np.concatenate([np.frombuffer(b, "<u8").reshape(-1, 2) for b in bodies])[:, 0].astype(np.int64)
+                at = np.unique(place[:, None] - np.arange(window - gram + 1)[None, :])
+                at = at[(at >= 0) & (at + window <= len(raw))].tolist()
+                for lo in range(0, len(at), 20_000):
+                    part = at[lo : lo + 20_000]
+                    k = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([raw[i : i + window] for i in part], pa.binary()), pa.array([doc_id] * k, pa.int64()), pa.array([mark] * k, pa.int64()), pa.array(part, pa.int32())], ["w", "doc_id", "mark", "at"]
+                    )
+
+    return run
+
+
+def _hot_spans(docs: DataFrame, asked: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, mark, body) of the windows through the requested suffixes that an earlier document has."""
+    import pyarrow as pa
+
+    rows = settle(docs.join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "bodies").mapInArrow(_windows(window, gram), "w binary, doc_id long, mark long, at int"))
+    first = settle(rows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = rows.count()
+    hot = first.where(F.col("n") > max(1.0, total * HOT_PART)).select("w", "owner")
+    marked = rows.join(F.broadcast(hot), "w", "left")
+    rest = marked.where("owner is null").drop("owner").join(first.select("w", "owner"), "w")
+    lost = marked.where("owner is not null").unionByName(rest).where("doc_id > owner").groupBy("doc_id", "mark").agg(F.collect_list("at").alias("at"))
+
+    def pack(it):
+        for batch in it:
+            ends = [np.array(a, np.int64) for a in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.stack([a, a + window], 1).astype("<u4").tobytes() for a in ends], pa.binary())], ["doc_id", "mark", "body"])
+
+    return lost.select("doc_id", "mark", "at").mapInArrow(pack, "doc_id long, mark long, body binary")
+
+
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
     """The length of the common prefix of every row with the one before; 0 for the first."""
     out = np.zeros(len(rows), np.int64)
@@ -397,7 +470,7 @@ def _trees(window: int, gram: int):
     return run
 
 
-def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_leaves: int = HOT_LEAVES) -> DataFrame:
     """(doc_id, mark, body): byte ranges to remove, as arrays of little-endian u4 pairs, some per document.
 
     docs: (doc_id, mark, text), text not null; mark is a hash of the text, which together with the id
@@ -405,24 +478,94 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = BUCKETS_PER_PARTITION * max(partitions(spark), docs.rdd.getNumPartitions())
+    buckets = BUCKETS_PER_PARTITION * partitions(spark)
     sent = docs.mapInArrow(_sender(window, gram, buckets), _SENT)
-    first = settle(sent.groupBy("bucket").applyInArrow(_leaves(window, gram), _SPAN))
-    del sent
-    release(spark)
-    asked = first.where("kind = 1").groupBy("doc_id", "mark").agg(F.collect_list("body").alias("bodies"))
+    first = settle(sent.groupBy("bucket").applyInArrow(_leaves(window, gram, hot_leaves), _SPAN))
+    asked = lambda kind: first.where(f"kind = {kind}").groupBy("doc_id", "mark").agg(F.collect_list("body").alias("bodies"))
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST))))
-    around = keyed.join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "bodies").mapInArrow(_fetcher(window, gram, buckets), _AROUND)
+    around = keyed.join(asked(1), ["doc_id", "mark"]).select("doc_id", "mark", "text", "bodies").mapInArrow(_fetcher(window, gram, buckets), _AROUND)
     second = settle(around.groupBy("bucket").applyInArrow(_trees(window, gram), _SPAN))
-    del around, asked
-    release(spark)
-    return first.where("kind = 0").select("doc_id", "mark", "body").unionByName(second.select("doc_id", "mark", "body"))
+    spans = first.where("kind = 0").select("doc_id", "mark", "body").unionByName(second.select("doc_id", "mark", "body"))
+    if first.where("kind = 2").isEmpty():
+        return spans
+    return spans.unionByName(settle(_hot_spans(keyed, asked(2), window, gram)))
+
+
+_GROUP = "group string, length int, doc_id long, start long, cut boolean"
+
+
+def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, context: int = 4 * WINDOW) -> DataFrame:
+    """(group, length, doc_id, start, cut): the maximal repeats of ``window`` bytes or more, one row per place.
+
+    A repeat is a string of bytes with two places or more, in one document or several, that differ
+    both before and after it; group is its MD5. Strings are followed up to ``context`` bytes to either
+    side of an anchor: a longer repeat is given in several overlapping parts, marked ``cut``. Null texts count as empty, a null id stays null; rows
+    with one id and text are places of their own; an empty table gives no rows.
+
+    Every suffix of an interval goes to one worker here, with its surroundings: meant for corpora
+    without strings that very many documents share, such as samples or what dedup has left.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    ship(spark)
+    buckets = BUCKETS_PER_PARTITION * partitions(spark)
+    size = 2 * context
 
+    def send(it):
+        for batch in it:
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = (text or "").encode("utf-8")
+                _, place, g, _ = long_anchors(raw, window, gram)
+                held = np.frombuffer(b"\0" * context + raw + b"\0" * context, np.uint8)
+                for lo in range(0, len(place), 10_000):
+                    p, h = place[lo : lo + 10_000], g[lo : lo + 10_000]
+                    rows = np.lib.stride_tricks.sliding_window_view(held, size)[p]
+                    low, high = np.maximum(context - p, 0), np.minimum(len(raw) - p + context, size)
+                    columns = [(mix(h) % np.uint64(buckets)).astype(np.int32), h.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in columns]
+                        + [pa.array([doc_id] * len(p), pa.int64()), pa.array(p.astype(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())],
+                        ["bucket", "g", "doc_id", "place", "low", "high", "around"],
+                    )
+
+    def scan(t):
+        t = t.combine_chunks()
+        ids = t.column("doc_id").to_pylist()
+        g, place, low, high = (t.column(c).to_numpy() for c in ("g", "place", "low", "high"))
+        around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, size).astype(np.int32)
+        raw = around.astype(np.uint8)
+        spot = np.arange(size)[None, :]
+        outside = (spot < low[:, None]) | (spot >= high[:, None])
+        # beyond the ends of its text every member differs from all others
+        around[outside] = (256 + np.arange(len(g))[:, None] + np.zeros((1, size), np.int64))[outside]
+        order = np.argsort(g, kind="stable")
+        rows = []
+        for members in np.split(order, np.flatnonzero(_runs(g[order]))[1:]) if len(order) else []:
+            if len(members) < 2:
+                continue
+            right, left = around[members][:, context:], around[members][:, :context][:, ::-1]
+            seen = set()
+            for found, lo, hi in maximal_repeats(right, left, window):
+                # the group's own extent, on both sides, must be the one of its node
+                a, b = (int(np.where((x[found] != x[found[0]]).any(0), True, False).argmax()) if (x[found] != x[found[0]]).any() else context for x in (left, right))
+                key = (lo, hi, tuple(sorted(found.tolist())))
+                if (a, b) != (lo, hi) or key in seen:
+                    continue
+                seen.add(key)
+                one = raw[members[found[0]], context - lo : context + hi]
+                # a repeat has several anchors: the one of its first window speaks for it
+                sums = prefix_sums(one[:window])
+                hashes = mix((sums[gram:] - sums[:-gram]) * powers(window + 1)[1][: window + 1 - gram])
+                if int(hashes.argmin()) != lo:
+                    continue
+                name = hashlib.md5(one.tobytes()).hexdigest()
+                cut = lo == context or hi == context
+                rows += [(name, lo + hi, ids[m], int(place[m]) - lo, cut) for m in members[found].tolist()]
+        return _out(rows, [x.split()[0] for x in _GROUP.split(", ")], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()])
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps; they are as large as the input."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(send, "bucket int, g long, doc_id long, place long, low int, high int, around binary").groupBy("bucket").applyInArrow(scan, _GROUP)
 
 
 def union_ranges(bodies: list[bytes] | None, size: int) -> list[tuple[int, int]]:
@@ -445,7 +588,7 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _with_spans(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[str]]:
+def _with_spans(docs: DataFrame, window: int, gram: int, hot_leaves: int = HOT_LEAVES) -> tuple[DataFrame, list[str]]:
     """All columns of the rows (names made unique for the join) with their span bodies."""
     columns = docs.columns
     plain = docs.select(
@@ -454,20 +597,21 @@ def _with_spans(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, lis
         F.xxhash64(text_or_empty()).alias("mark"),
     )
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), text_or_empty().alias("text"))
-    spans = removal_spans(slim, window, gram).groupBy("doc_id", "mark").agg(F.collect_list("body").alias("bodies"))
+    spans = removal_spans(slim, window, gram, hot_leaves).groupBy("doc_id", "mark").agg(F.collect_list("body").alias("bodies"))
     return plain.join(spans, ["doc_id", "mark"], "left").drop("doc_id", "mark"), columns
 
 
-def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_leaves: int = HOT_LEAVES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     Null text counts as empty. A null id counts as larger than all others; rows with one id are never
-    earlier than each other. Repeated rows give repeated rows; an empty table gives none; texts
-    shorter than the window lose nothing.
+    earlier than each other, so ties lose nothing to each other. Repeated rows give repeated rows; an
+    empty table gives none; texts shorter than the window lose nothing, and texts of any length are
+    taken whole, in pieces. Other columns are ignored, whatever their names.
     """
     import pyarrow as pa
 
-    joined, columns = _with_spans(docs.select("doc_id", "text"), window, gram)
+    joined, columns = _with_spans(docs.select("doc_id", "text"), window, gram, hot_leaves)
 
     def run(it):
         for batch in it:
@@ -487,7 +631,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """The documents, all columns kept, without the bytes that earlier ones hold in repeats.
 
     Characters of which only some bytes are removed go whole. n_chars, where it is a column, is
-    counted anew. A null text stays null.
+    counted anew. A null text stays null; a null id counts as larger than all others, and rows with
+    one id lose nothing to each other. Repeated rows stay repeated rows; an empty table gives none.
     """
     import pyarrow as pa
 
