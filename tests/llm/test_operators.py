@@ -678,3 +678,51 @@ def test_license_plan_does_not_grow_with_templates(spark):
         plan = license_scan.license_blocks(df, {f"T{k}": f"some words number {k}" for k in range(n)})._jdf.queryExecution().optimizedPlan()
         sizes.append(sum(1 for line in plan.treeString().splitlines() if line.lstrip(" :+-")))
     assert sizes[0] == sizes[1]
+
+
+# -- 7: hot intervals, long texts, groups -----------------------------------------------------------
+def test_suffix_dedup_of_hot_intervals(spark):
+    rnd = random.Random(9)
+    shared = "A passage of sixty bytes and a bit that very many texts hold"
+    rows = [(i, "".join(rnd.choice("abcdefgh") for _ in range(60)) + shared[: rnd.choice([30, 45, 55, 60])] + "".join(rnd.choice("abcdefgh") for _ in range(60))) for i in range(120)]
+    rows += [(None, rows[3][1]), (3, rows[4][1]), (500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_suffix(rows)
+    assert sum(r[2] > 0 for r in want) > 30
+    for hot in (3, 50, 20_000):
+        assert collect(suffix_dedup.dedup_report(df, hot_leaves=hot)) == want
+
+
+def test_anchors_of_long_texts_come_in_pieces():
+    rnd = random.Random(10)
+    for n in (0, 49, 50, 999, 1000, 5000):
+        text = bytes(rnd.choice(b"abc ") for _ in range(n))
+        whole = suffix_dedup.anchors([text], 50, 20)
+        for chunk in (100, 333, 1000):
+            assert all((a == b).all() for a, b in zip(whole, suffix_dedup.long_anchors(text, 50, 20, chunk)))
+
+
+def brute_groups(rows, window):
+    """All maximal repeats of so many bytes, with their places."""
+    raw = [(t or "").encode() for _, t in rows]
+    places = {}
+    for k, b in enumerate(raw):
+        for i in range(len(b)):
+            for j in range(i + window, len(b) + 1):
+                places.setdefault(b[i:j], []).append((k, i))
+    out = set()
+    for x, at in places.items():
+        before = {raw[k][i - 1] if i else (k, "start") for k, i in at}
+        after = {raw[k][i + len(x)] if i + len(x) < len(raw[k]) else (k, "end") for k, i in at}
+        if len(at) > 1 and len(before) > 1 and len(after) > 1:
+            out |= {(hashlib.md5(x).hexdigest(), len(x), rows[k][0], i, False) for k, i in at}
+    return out
+
+
+def test_repeat_groups_against_brute_force(spark):
+    rnd = random.Random(13)
+    seg = ["".join(rnd.choice("abc ") for _ in range(rnd.randrange(20, 70))) for _ in range(5)]
+    rows = [(i, "".join(rnd.choice([rnd.choice(seg), rnd.choice("xyz") * 2]) for _ in range(rnd.randrange(0, 5)))) for i in range(24)] + [(None, seg[0] + "q" + seg[0]), (77, None), (78, "")]
+    for window, gram in ((24, 8), (50, 20)):
+        got = suffix_dedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window, gram, 400).collect()
+        assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == brute_groups(rows, window) and got
