@@ -43,6 +43,7 @@ THRESHOLD = 0.8
 SPAN = 4
 #: Template tables of up to so many bytes are broadcast.
 BROADCAST_BYTES = 8_000_000
+SALTS = 16
 _ROW = "token string, at int, label string, words array<string>, first array<string>, n int, least int, span int, marks array<string>"
 
 
@@ -178,7 +179,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     place_of = F.format_string("%s@%d-%d", F.col("label"), F.col("first"), F.col("last"))
     # copies have one text: their blocks are one group of a few rows each
     matches = found.groupBy("text_key").agg(F.collect_set("label").alias("found"), F.max("part").alias("part"), F.array_join(F.array_sort(F.collect_set(place_of)), ",").alias("blocks"))
-    step = base.join(matches, "text_key", "left")
+    # a text that very many rows have meets its blocks in several partitions
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    spread = matches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    step = base.withColumn("salt", salt).join(spread, ["text_key", "salt"], "left")
     starts, named = F.transform("places", lambda p: p["at"]), F.transform("places", lambda p: p["label"])
     return step.select(
         "doc_id",
