@@ -3,6 +3,10 @@
 Quality classifier, exact dedup, near-dedup, suffix-array dedup and packing, in this order; each
 stage works on all that the one before has kept, and is written as Parquet and read again before
 the next.
+
+Of every stage: null texts count as empty and null ids are allowed; texts of any length are taken
+whole; ties go to the smallest id; repeated rows (one id and text) share their outcome; an empty
+table gives an empty one; other columns pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects; it learns from all labelled documents given."""
+    """Drops the documents that the classifier rejects; it learns from all labelled documents given.
+
+    A null or empty text is scored as one with all statistics zero. Where no or only one label can be
+    learned, all documents stay.
+    """
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, trees)
 
@@ -49,17 +57,23 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (five words, 0.8)."""
+    """Keeps the document with the smallest id of each group of near copies (five words, 0.8).
+
+    Texts without words and rows without an id link with nothing and stay.
+    """
     return _only(docs, near_dedup.near_dedup(docs))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out of each text what an earlier document already has in a repeat of 50 bytes or more."""
+    """Takes out of each text what an earlier document already has in a repeat of 50 bytes or more.
+
+    No row goes, but its text may become empty; a null text stays null; a null id is later than all.
+    """
     return suffix_dedup.remove_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
+    """Packs what is left into sequences of 1024 tokens; one row per piece, an empty text being its end id alone."""
     return packing.pack(docs)
 
 
@@ -76,8 +90,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder; each is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of a folder; each is written and read again, and emptied once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
@@ -85,4 +99,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            spark.range(0).write.mode("overwrite").parquet(before)
+        before = path
     return docs
