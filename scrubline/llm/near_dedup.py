@@ -11,8 +11,7 @@ most groups are then one component and done. Where a key still joins several com
 pivot follows, and then only pairs of different components that the distances to both pivots, by the
 triangle inequality of the Jaccard distance, do not rule out. So no link between different
 components is lost, and a group of copies of any size costs a row per member and key. Joins on a key,
-a pivot or a component's centre salt the few that hold a large part of all rows; where pairs are
-made, such a key is cut into tiles of its members.
+a pivot or a component's centre salt the few that hold a large part of all rows.
 
 Equal sets are one member from the start. Components are found by alternating star contraction on
 DataFrames; nothing but counts comes to the driver.
@@ -25,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_PART, partitions, salted_join, settle, ship, table, text_or_empty, written
+from .common import salted_join, settle, ship, table, text_or_empty, written
 from .wordhash import mix, shingles
 
 WORDS = 5
@@ -359,22 +358,13 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, threshold:
     keys = written(keys.select("key", F.col("m.comp").alias("main"), "n"))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rest = salted_join(rest, keys.drop("n"), "key", keys.drop("main"), total, "id")
-    # a hot key is cut into tiles: each member of one side meets each of the other in one of them
-    side = max(1, round(partitions(docs.sparkSession) ** 0.5))
-    hot = F.broadcast(keys.where(F.col("n") > max(1.0, total / HOT_PART)).select("key", F.lit(True).alias("hot")))
-    zero, steps = F.lit(0).cast("long"), F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))
-    rest = rest.join(hot, "key", "left")
-    own = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(side))).otherwise(zero)
-    every = F.explode(F.when(F.col("hot"), steps).otherwise(F.array(zero)))
-    x = rest.where("comp <> main").withColumn("tx", own).withColumn("ty", every).alias("x")
-    y = rest.withColumn("ty", own).withColumn("tx", every).alias("y")
+    x, y = rest.where("comp <> main").alias("x"), rest.alias("y")
     reach = F.lit(1.0 - threshold + 1e-9)
     near = _plausible("x", "y", threshold)
     for k in "12":
         near = near & (F.col(f"x.low{k}") - F.col(f"y.high{k}") <= reach) & (F.col(f"y.low{k}") - F.col(f"x.high{k}") <= reach)
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.tx") == F.col("y.tx")) & (F.col("x.ty") == F.col("y.ty"))
-    last = x.join(y, tile & (F.col("x.comp") != F.col("y.comp")) & once & near)
+    last = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & near)
     last = last.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     last = written(last)
     if last.isEmpty():
