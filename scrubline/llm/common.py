@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,37 +39,6 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same by a table in the shared folder, for small rows of iterations.
-
-    A checkpoint keeps the size that Spark had estimated, which grows with every join to numbers of
-    any length; a table has its own.
-    """
-    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: A key is hot if it holds more than this part of all rows, so at most HOT_PART keys are.
-HOT_PART = 256
-#: How many parts a hot key is cut into; right's rows of hot keys are repeated so often.
-SALTS = 16
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, total: int, by: str) -> DataFrame:
-    """left and right joined on a key of which right has one row, with the hot keys of left cut into SALTS parts.
-
-    counted: (key, n), how often a key stands in left, of ``total`` rows. Rows of left with a hot key are
-    salted by a hash of the column ``by``, and right's row is repeated for every salt. Only the at most
-    HOT_PART hot keys are broadcast.
-    """
-    hot = F.broadcast(counted.where(F.col("n") > max(1.0, total / HOT_PART)).select(key, F.lit(True).alias("hot")))
-    zero, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
-    dealt = left.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(zero)).drop("hot")
-    spread = right.join(hot, key, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(zero, last)).otherwise(F.array(zero)))).drop("hot")
-    return dealt.join(spread, [key, "salt"]).drop("salt")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,7 @@ No group is expanded into all its pairs. Under each key the smallest id is a piv
 most groups are then one component and done. Where a key still joins several components, a second
 pivot follows, and then only pairs of different components that the distances to both pivots, by the
 triangle inequality of the Jaccard distance, do not rule out. So no link between different
-components is lost, and a group of copies of any size costs a row per member and key. Joins on a key,
-a pivot or a component's centre salt the few that hold a large part of all rows.
+components is lost, and a group of copies of any size costs a row per member and key.
 
 Equal sets are one member from the start. Components are found by alternating star contraction on
 DataFrames; nothing but counts comes to the driver.
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, settle, ship, table, text_or_empty, written
+from .common import settle, ship, table, text_or_empty
 from .wordhash import mix, shingles
 
 WORDS = 5
@@ -179,13 +178,6 @@ def _keyed(members: DataFrame) -> DataFrame:
     return members.select("id", "n", "regs").mapInArrow(run, "key long, id long")
 
 
-def _both_ends(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the row of left for a and of right for b; ids in very many pairs (pivots) are dealt out."""
-    counts = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.count()
-    return salted_join(salted_join(pairs, right, "b", counts("b"), total, "a"), left, "a", counts("a"), total, "b")
-
-
 def _estimated(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, low, open): the least distance that estimate and sizes allow; open pairs need verification."""
     import pyarrow as pa
@@ -203,7 +195,7 @@ def _estimated(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFr
 
     left = members.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("regs").alias("r1"), F.col("map").alias("b1"))
     right = members.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("r2"), F.col("map").alias("b2"))
-    return _both_ends(pairs, left, right).select("a", "b", "n1", "n2", "r1", "r2", "b1", "b2").mapInArrow(run, "a long, b long, low double, open boolean")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "r1", "r2", "b1", "b2").mapInArrow(run, "a long, b long, low double, open boolean")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -242,7 +234,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int,
 
     right = full.select(F.col("id").alias("b"), F.col("s").alias("y"))
     left = full.select(F.col("id").alias("a"), F.col("s").alias("x"))
-    return written(_both_ends(pairs.select("a", "b"), left, right).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, low double, high double, linked boolean"))
+    return settle(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, low double, high double, linked boolean"))
 
 
 def _with_bits(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -283,26 +275,25 @@ def _plausible(x: str, y: str, threshold: float):
 
 def _tested(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
     """(a, b, low, high, linked) of every given pair: bounds of its distance, and whether it is a link."""
-    guess = written(_estimated(written(pairs), members, threshold))
+    guess = settle(_estimated(pairs, members, threshold))
     sure = _verified(guess.where("open"), docs, members, words, threshold)
     return guess.where("not open").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked")).unionByName(sure)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable, of all ids in links (a, b), by alternating stars."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
     while True:
         # large star: larger neighbours go to the least of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        met = salted_join(both.where("v > u"), least.drop("n"), "u", least.drop("m"), 2 * before[0], "v")
-        large = written(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node itself go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        met = salted_join(large, least.drop("n"), "u", least.drop("m"), 2 * before[0], "v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = large.join(least, "u")
         small = met.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = written(small.where("u <> v").distinct())
+        edges = settle(small.where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
@@ -315,20 +306,15 @@ def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _split_keys(rows: DataFrame) -> DataFrame:
     """The rows of keys that still hold several components, with each key's second pivot."""
-    rows = written(rows)
-    keys = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("id", "comp")).alias("p"), F.count(F.lit(1)).alias("n")).where("c1 <> c2")
-    keys = written(keys.select("key", F.col("p.id").alias("second"), F.col("p.comp").alias("second_comp"), "n"))
-    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return salted_join(rows, keys.drop("n"), "key", keys.select("key", "n"), total, "id")
+    keys = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("id", "comp")).alias("p")).where("c1 <> c2")
+    return rows.join(keys.select("key", F.col("p.id").alias("second"), F.col("p.comp").alias("second_comp")), "key")
 
 
 def find_components(docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
     """(id, comp) of all members with a link; members: one row (id, n, m1, m2, regs, map) per distinct set."""
     bands = _keyed(members)
-    groups = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("pivot <> last")
-    groups = written(groups.select("key", "pivot", "n"))
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = settle(salted_join(bands, groups.drop("n"), "key", groups.drop("pivot"), total, "id"))
+    groups = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    rows = settle(bands.join(groups.select("key", "pivot"), "key"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -342,7 +328,7 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, threshold:
     more = ordered(more).join(tested, ["a", "b"], "left_anti")
     tested = tested.unionByName(_tested(more, docs, members, words, threshold))
     comps = components(tested.where("linked"))
-    rest = written(_split_keys(_with_components(rest.select("key", "id", "pivot"), comps)).drop("second_comp"))
+    rest = _split_keys(_with_components(rest.select("key", "id", "pivot"), comps)).drop("second_comp")
     for pivot, name in (("pivot", "1"), ("second", "2")):
         known = tested.select("a", "b", F.col("low").alias(f"low{name}"), F.col("high").alias(f"high{name}"))
         rest = rest.withColumns({"a": F.least("id", pivot), "b": F.greatest("id", pivot)}).join(known, ["a", "b"], "left").drop("a", "b")
@@ -353,11 +339,8 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, threshold:
     rest = rest.select("key", "id", "comp", "low1", "high1", "low2", "high2")
     rest = settle(_with_bits(rest, members))
     # under each key the largest component is met by all others, not by itself
-    sizes = written(rest.groupBy("key", "comp").count())
-    keys = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n"))
-    keys = written(keys.select("key", F.col("m.comp").alias("main"), "n"))
-    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rest = salted_join(rest, keys.drop("n"), "key", keys.drop("main"), total, "id")
+    main = rest.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    rest = rest.join(main, "key")
     x, y = rest.where("comp <> main").alias("x"), rest.alias("y")
     reach = F.lit(1.0 - threshold + 1e-9)
     near = _plausible("x", "y", threshold)
@@ -366,7 +349,7 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, threshold:
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     last = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & near)
     last = last.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    last = written(last)
+    last = settle(last)
     if last.isEmpty():
         return comps
     return components(tested.where("linked").unionByName(_tested(last, docs, members, words, threshold).where("linked")))
@@ -378,7 +361,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     Null and empty texts, and texts without words, have no shingles and link with nothing; a text of
     fewer words than a shingle is one shingle. Rows with a null id link with nothing, have a null
     component and are kept. Rows that share an id are one document: their links meet. Repeated rows
-    give repeated rows; an empty table gives none; other columns are ignored.
+    give repeated rows and equal sets are linked; texts of any length are taken whole; an empty table
+    gives none; other columns are ignored, whatever their names.
     """
     sketches = settle(sketch(docs, words))
     named = sketches.where("n > 0 and doc_id is not null")
