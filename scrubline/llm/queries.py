@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, exact_dedup, language_id, license_scan, media_ts, near_dedup, packing, quality, suffix_dedup
+from . import bpe, chat_format, cross_tokens, exact_dedup, language_id, license_scan, media_ts, near_dedup, packing, quality, suffix_dedup, vector_codes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,10 +13,13 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_media_ts": media_ts.op9_media_ts,
     "op10_quality": quality.op10_quality,
+    "op11_cross_tokens": cross_tokens.op11_cross_tokens,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES = {
     "op2_license_scan": license_scan.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
