@@ -6,14 +6,7 @@ them. Bands of registers are hashed into keys; sets that meet under a key are ca
 estimated from their registers (corrected for accidental equality), and, unless the estimate is far
 below the threshold, verified on their full sets.
 
-No group is expanded into all its pairs. Under each key the smallest id is a pivot for all others;
-most groups are then one component and done. Where a key still joins several components, a second
-pivot follows, and then only pairs of different components that the distances to both pivots, by the
-triangle inequality of the Jaccard distance, do not rule out. So no link between different
-components is lost, and a group of copies of any size costs a row per member and key.
-
-Equal sets are one member from the start. Components are found by alternating star contraction on
-DataFrames; nothing but counts comes to the driver.
+Which pairs are compared, and how components come of them, is in ``set_links``.
 """
 
 from __future__ import annotations
@@ -23,7 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship, table, text_or_empty
+from . import set_links
+from .common import settle, ship, table
+from .set_links import BITMAP, bitmap, marks, most_similar
 from .wordhash import mix, shingles
 
 WORDS = 5
@@ -68,23 +63,6 @@ def accidental(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     return n1 * n2 / (n1 + n2) ** 2 / (2 * np.log(2) * 2**MANTISSA)
 
 
-#: Bits of a set's parity bitmap.
-BITMAP = 1024
-
-
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Which of BITMAP cells an odd number of members falls in, as bytes.
-
-    Two bitmaps differ in at most as many cells as their sets differ in members.
-    """
-    return np.packbits((np.bincount((s & _U(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8), bitorder="little")
-
-
-def most_similar(apart: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
-    """The largest Jaccard similarity of sets of these sizes with so many members in just one, or more."""
-    return np.maximum(n1 + n2 - apart, 0) / np.maximum(n1 + n2 + apart, 1)
-
-
 def estimate(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of registers, corrected for accidental equality."""
     either = ((a > 0) | (b > 0)).sum(1)
@@ -151,8 +129,8 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     s = shingles(t, words)
                     n.append(len(s))
-                    m1.append(mix(s ^ _U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64))
-                    m2.append(mix(s + _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64))
+                    for own, mark in zip((m1, m2), marks(s)):
+                        own.append(mark)
                     regs.append(registers(s).tobytes())
                     maps.append(bitmap(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -198,45 +176,6 @@ def _estimated(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFr
     return pairs.join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "r1", "r2", "b1", "b2").mapInArrow(run, "a long, b long, low double, open boolean")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, low, high, linked) of pairs, from the full sets."""
-    import pyarrow as pa
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    marks = members.select("id", "m1", "m2")
-
-    def sets(it):
-        for batch in it:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                got = [shingles(t, words) for t in part.column(3).to_pylist()]
-                # a row of the same id with another set is not the member
-                mine = [bool(mix(s ^ _U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64) == m) for s, m in zip(got, part.column(1).to_pylist())]
-                ids = part.column(0).filter(pa.array(mine, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, ok in zip(got, mine) if ok], pa.binary())], ["id", "s"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    full = settle(texts.join(wanted.join(marks, "id"), "id").select("id", "m1", "m2", "text").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
-
-    def compare(it):
-        for batch in it:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                low, linked = [], []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    union = len(both) - shared
-                    low.append(1.0 - shared / union)
-                    linked.append(shared >= threshold * union - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(low, pa.float64()), pa.array(low, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "low", "high", "linked"])
-
-    right = full.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    left = full.select(F.col("id").alias("a"), F.col("s").alias("x"))
-    return settle(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, low double, high double, linked boolean"))
-
-
 def _with_bits(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (id, ...) with n, used (registers), their low bits as longs s0, s1, ..., and the bitmap as longs t0, t1, ..."""
     import pyarrow as pa
@@ -261,100 +200,19 @@ def _plausible(x: str, y: str, threshold: float):
 
     Sizes and bitmaps are exact bounds. The low bits are beyond six standard errors.
     """
-
-    def apart(letter: str, n: int):
-        counts = [F.bit_count(F.col(f"{x}.{letter}{i}").bitwiseXOR(F.col(f"{y}.{letter}{i}"))) for i in range(n)]
-        return sum(counts[1:], counts[0])
-
+    bits = [F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(LONGS)]
     k = F.greatest(f"{x}.used", f"{y}.used") / F.lit(threshold)
     p = (1 - threshold) / 2
-    sizes = F.least(f"{x}.n", f"{y}.n") >= F.greatest(f"{x}.n", f"{y}.n") * F.lit(threshold - 1e-9)
-    maps = apart("t", BITMAP // 64) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit((1 - threshold) / (1 + threshold) + 1e-9)
-    return sizes & maps & (apart("s", LONGS) <= k * p + 6 * F.sqrt(k * p * (1 - p)) + 3)
+    return set_links.sizes_and_maps(x, y, threshold) & (sum(bits[1:], bits[0]) <= k * p + 6 * F.sqrt(k * p * (1 - p)) + 3)
 
 
 def _tested(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
     """(a, b, low, high, linked) of every given pair: bounds of its distance, and whether it is a link."""
     guess = settle(_estimated(pairs, members, threshold))
-    sure = _verified(guess.where("open"), docs, members, words, threshold)
+    sure = set_links.verified(guess.where("open"), docs, members, words, threshold)
     return guess.where("not open").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked")).unionByName(sure)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable, of all ids in links (a, b), by alternating stars."""
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        # large star: larger neighbours go to the least of the neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours and the node itself go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
-        small = met.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = settle(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-        before = now
-
-
-def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
-def _split_keys(rows: DataFrame) -> DataFrame:
-    """The rows of keys that still hold several components, with each key's second pivot."""
-    keys = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("id", "comp")).alias("p")).where("c1 <> c2")
-    return rows.join(keys.select("key", F.col("p.id").alias("second"), F.col("p.comp").alias("second_comp")), "key")
-
-
-def find_components(docs: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(id, comp) of all members with a link; members: one row (id, n, m1, m2, regs, map) per distinct set."""
-    bands = _keyed(members)
-    groups = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
-    rows = settle(bands.join(groups.select("key", "pivot"), "key"))
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    tested = _tested(ordered(rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))), docs, members, words, threshold)
-    comps = components(tested.where("linked"))
-    rest = settle(_split_keys(_with_components(rows, comps)))
-    if rest.isEmpty():
-        return comps
-    more = rest.where("comp <> second_comp").select(F.col("second").alias("a"), "id").select("a", F.col("id").alias("b"))
-    more = ordered(more).join(tested, ["a", "b"], "left_anti")
-    tested = tested.unionByName(_tested(more, docs, members, words, threshold))
-    comps = components(tested.where("linked"))
-    rest = _split_keys(_with_components(rest.select("key", "id", "pivot"), comps)).drop("second_comp")
-    for pivot, name in (("pivot", "1"), ("second", "2")):
-        known = tested.select("a", "b", F.col("low").alias(f"low{name}"), F.col("high").alias(f"high{name}"))
-        rest = rest.withColumns({"a": F.least("id", pivot), "b": F.greatest("id", pivot)}).join(known, ["a", "b"], "left").drop("a", "b")
-        same = F.col("id") == F.col(pivot)
-        rest = rest.withColumns(
-            {f"low{name}": F.when(same, 0.0).otherwise(F.coalesce(f"low{name}", F.lit(0.0))), f"high{name}": F.when(same, 0.0).otherwise(F.coalesce(f"high{name}", F.lit(1.0)))}
-        )
-    rest = rest.select("key", "id", "comp", "low1", "high1", "low2", "high2")
-    rest = settle(_with_bits(rest, members))
-    # under each key the largest component is met by all others, not by itself
-    main = rest.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    rest = rest.join(main, "key")
-    x, y = rest.where("comp <> main").alias("x"), rest.alias("y")
-    reach = F.lit(1.0 - threshold + 1e-9)
-    near = _plausible("x", "y", threshold)
-    for k in "12":
-        near = near & (F.col(f"x.low{k}") - F.col(f"y.high{k}") <= reach) & (F.col(f"y.low{k}") - F.col(f"x.high{k}") <= reach)
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    last = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & near)
-    last = last.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    last = settle(last)
-    if last.isEmpty():
-        return comps
-    return components(tested.where("linked").unionByName(_tested(last, docs, members, words, threshold).where("linked")))
-
-
 def near_dedup(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -366,18 +224,19 @@ def near_dedup(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     """
     sketches = settle(sketch(docs, words))
     named = sketches.where("n > 0 and doc_id is not null")
-    key = ["m1", "m2", "n"]
-    groups = settle(named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last_id"), F.first("regs").alias("regs"), F.first("map").alias("map"), F.count(F.lit(1)).alias("size")))
-    comps = find_components(docs, groups, words, threshold)
-    # rows -> their set's smallest id -> its component; large groups of equal sets are few and broadcast
-    total = sketches.count()
-    label = settle(groups.select(*key, "id", "size").join(comps, "id", "left").select(*key, F.coalesce("comp", "id").alias("comp"), "size"))
-    hot = label.where(F.col("size") > F.lit(max(1.0, total / 256)))
-    marked = named.select("doc_id", *key).join(F.broadcast(hot), key, "left")
-    cold = marked.where("comp is null").select("doc_id", *key).join(label, key)
-    linked = marked.where("comp is not null").unionByName(cold).select("doc_id", "n", "comp")
-    alone = sketches.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("comp")).alias("kept"))
+    sets = set_links.members(named, F.first("regs").alias("regs"), F.first("map").alias("map"))
+    bands = _keyed(sets.rows)
+    groups = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    comps = set_links.find_components(
+        settle(bands.join(groups.select("key", "pivot"), "key")),
+        lambda pairs: _tested(pairs, docs, sets.rows, words, threshold),
+        lambda rows: _with_bits(rows, sets.rows),
+        lambda x, y: _plausible(x, y, threshold),
+        threshold,
+        sets.links,
+    )
+    out = set_links.documents(sketches, sets, comps)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, cross_tokens, exact_dedup, language_id, license_scan, media_ts, near_dedup, packing, quality, suffix_dedup, vector_codes
+from . import bpe, chat_format, cross_tokens, exact_dedup, language_id, license_scan, media_ts, near_dedup, ngram_join, packing, quality, suffix_dedup, vector_codes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_media_ts": media_ts.op9_media_ts,
     "op10_quality": quality.op10_quality,
     "op11_cross_tokens": cross_tokens.op11_cross_tokens,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
