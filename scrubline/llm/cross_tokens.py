@@ -22,8 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _byte_letters, chunks, default_vocabulary
+from .bpe import PATTERN, _byte_letters, chunks, default_vocabulary
 from .common import settle, ship, table, text_or_empty
+from .packing import follows_ids
 
 #: How many id pairs are broadcast, 13 bytes each.
 FREQUENT = 1 << 18
@@ -44,16 +45,12 @@ class Pair:
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         value = {c: b for b, c in enumerate(_byte_letters())}
-        vocab = json.load(open(byte_path, encoding="utf-8"))["model"]["vocab"]
-        self.a_bytes = [b""] * (max(max(vocab.values()) + 1, self.a.get_vocab_size()))
+        spec = json.load(open(byte_path, encoding="utf-8"))
+        vocab = spec["model"]["vocab"]
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for word, i in vocab.items():
             self.a_bytes[i] = bytes(value[c] for c in word) if all(c in value for c in word) else word.encode()
         self.b_bytes = []
@@ -61,16 +58,36 @@ class Pair:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_size, self.b_size = (np.array([len(x) for x in w], np.int64) for w in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = ([str(i) for i in range(len(w))] for w in (self.a_bytes, self.b_bytes))
+        # the ids in decimal, each with what may follow it
+        self.text = [f"{i}{c}" for w, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for c in ends for i in range(len(w))]
+        self._encode_a = self._by_rank(spec) if follows_ids(spec) else self._by_library(byte_path)
+
+    def _by_rank(self, spec: dict):
+        """The tiktoken library merges by id, which is the rank here, and is the faster one."""
+        import tiktoken
+
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {self.a_bytes[i]: i for w, i in spec["model"]["vocab"].items() if w not in special}
+        coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: map(coder.encode_ordinary, texts)
+
+    @staticmethod
+    def _by_library(path: str):
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(path)
+        coder.encode_special_tokens = True  # their strings are plain text here
+        coder.no_truncation()
+        coder.no_padding()
+        return lambda texts: (x.ids for x in coder.encode_batch_fast(texts, add_special_tokens=False))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """The ids of both for each text; None where a text is empty or its bytes do not come out."""
         spaced = [" " + t for t in texts]
-        got = zip(texts, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1))
+        got = zip(texts, spaced, self._encode_a(spaced), self.b.encode(texts, num_threads=1))
         out = []
         for text, whole, a, b in got:
             wanted = whole.encode()
-            a = a.ids
             same = text and b"".join(map(self.a_bytes.__getitem__, a)) == wanted and b"".join(map(self.b_bytes.__getitem__, b)) == wanted
             out.append((a, b) if same else None)
         return out
@@ -90,11 +107,20 @@ def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return oa[at], ob[at], (new_a & new_b)[at]
 
 
-def group_text(a: list[str], b: list[str], links_a: np.ndarray, links_b: np.ndarray, cut: np.ndarray) -> str:
+def group_text(pair: Pair, a: np.ndarray, b: np.ndarray, links_a: np.ndarray, links_b: np.ndarray, cut: np.ndarray) -> str:
     """The groups as a1,a2|b1;a3|b2,b3."""
-    begin = np.flatnonzero(cut)
-    ia, ib = [*links_a[begin].tolist(), len(a)], [*links_b[begin].tolist(), len(b)]
-    return ";".join(",".join(a[ia[k] : ia[k + 1]]) + "|" + ",".join(b[ib[k] : ib[k + 1]]) for k in range(len(begin)))
+    group = np.cumsum(cut) - 1
+    of_a, of_b = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
+    of_a[links_a], of_b[links_b] = group, group
+    n = int(group[-1]) + 1
+    # every token stands after those of the groups before, and B's after A's of its own group
+    before_b = np.concatenate([[0], np.cumsum(np.bincount(of_b, minlength=n))])
+    upto_a = np.cumsum(np.bincount(of_a, minlength=n))
+    ends_a, ends_b = (np.concatenate([g[1:] != g[:-1], [True]]) for g in (of_a, of_b))
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + before_b[of_a]] = a + ends_a * len(pair.a_bytes)
+    out[np.arange(len(b)) + upto_a[of_b]] = b + ends_b * len(pair.b_bytes) + 2 * len(pair.a_bytes)
+    return "".join(map(pair.text.__getitem__, out.tolist()))[:-1]
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -157,7 +183,7 @@ def _packed(docs: DataFrame, paths: tuple[str, str], id_col: str, text_col: str)
                         continue
                     a, b = np.array(got[0], np.int64), np.array(got[1], np.int64)
                     la, lb, cut = align(pair.a_size[a], pair.b_size[b])
-                    text = group_text([pair.a_text[i] for i in got[0]], [pair.b_text[i] for i in got[1]], la, lb, cut)
+                    text = group_text(pair, a, b, la, lb, cut)
                     numbers, times = np.unique(a[la] << B_BITS | b[lb], return_counts=True)
                     rows.append((len(a), len(b), int(cut.sum()), len(la), hashlib.sha256(text.encode()).hexdigest(), numbers.tobytes(), times.astype("<u4").tobytes()))
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
