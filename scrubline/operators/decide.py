@@ -1,9 +1,14 @@
 """Decisions: the last one for each finding, looked up by (source, finding), and their validation.
 
-Decisions meet documents once, as a map from finding to decision in the row of their source. What
-follows (detection, lookup, validation, rewriting) is a projection of that row, so a decision can
-never be applied to another text, whatever the source ids are: a row without an id has no decisions
-and is in error, and so are all rows of an id that more than one row has.
+A decision is never applied to another text than the one its finding id was made from, whatever the
+source ids are: a row without an id has no decisions and is in error, and so are all rows of an id
+that more than one row has.
+
+Most rows of a large table have no findings, so texts do not travel to their decisions. Texts are
+detected once (``hits``); what goes through the exchanges is the ids of the rows that have findings,
+with the findings without their values (``verdicts``). The verdicts then meet the texts: from a
+broadcast where they are small, else by a join of those texts alone that a detector may match
+(``with_verdicts``). A row without findings is not shuffled in either case.
 """
 
 from __future__ import annotations
@@ -16,12 +21,17 @@ from pyspark.sql import functions as F
 from scrubline.functions import scalars as S
 
 from .catalog import ACTIONS, FORCED_DELETE
-from .detect import detect
+from .detect import detect, may_hold
 
 KEY = ["source_id", "finding_id"]
 FIELDS = ["action", "token_label", "replacement", "reason"]
 DECISION = "struct<action:string,token_label:string,replacement:string,reason:string>"
-_FOUND = ["finding_id", "type", "severity", "start", "end", "value", "masked_preview", "detector"]
+#: What is kept of a finding between the steps; its value is the text's from start to end.
+SLIM = ["finding_id", "type", "severity", "start", "end", "masked_preview", "detector"]
+#: Verdicts of so many bytes are broadcast; a row and a finding are counted with so many.
+BROADCAST_BYTES, ROW_BYTES, FINDING_BYTES = 32 << 20, 100, 400
+#: Repeated ids are known by so many cells of their hash, which bounds what is broadcast of them.
+CELLS = 1 << 16
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
@@ -49,6 +59,67 @@ def with_decisions(docs: DataFrame, decisions: DataFrame, carry: list[str] | tup
     return rows.join(side, "source_id", "left").select("source_id", "text", "carry", "decisions", F.coalesce("again", F.lit(False)).alias("repeated"))
 
 
+def hits(docs: DataFrame, terms: list[str] | tuple[str, ...] = (), more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(source_id, mark, found): the rows with an id and findings; neither texts nor values, so it may be written down.
+
+    ``mark`` is a hash of the text. ``more`` adds a column of this name, made from ``found`` with its values.
+    """
+    rows = docs.where(F.col("source_id").isNotNull()).select("source_id", F.xxhash64("text").alias("mark"), detect(F.col("text"), terms).alias("found"))
+    # exploded, not filtered: a filter would be pushed down and detect every text twice
+    rows = rows.select(F.explode(F.when(F.size("found") > 0, F.array(F.struct("*")))).alias("x")).select("x.*")
+    slim = F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in SLIM])).alias("found")
+    if more:
+        rows = more(rows)
+    return rows.select("source_id", "mark", slim, *(["more"] if more else []))
+
+
+def decision_maps(decisions: DataFrame) -> DataFrame:
+    """(source_id, decisions): a map from finding to the decision that counts."""
+    pair = F.struct(F.col("finding_id").alias("key"), F.struct(*FIELDS).cast(DECISION).alias("value"))
+    return last_decisions(decisions).groupBy("source_id").agg(F.map_from_entries(F.collect_list(pair)).alias("decisions"))
+
+
+def verdicts(found: DataFrame, docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(source_id, repeated, mark, judged, first_error, n_open): one row for each source of ``hits``, and for each id that several rows of docs have.
+
+    Of docs only the ids are shuffled, to be counted.
+    """
+    ids = docs.where(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    again = ids.where("n > 1").select("source_id", F.lit(True).alias("repeated"))
+    single = found.join(again, "source_id", "left_anti").join(decision_maps(decisions), "source_id", "left")
+    extra = ["more"] if "more" in found.columns else []
+    judged = review(single).select("source_id", F.lit(False).alias("repeated"), "mark", "judged", "first_error", "n_open", *extra)
+    return judged.unionByName(again, allowMissingColumns=True)
+
+
+def with_verdicts(docs: DataFrame, verdicts: DataFrame, terms: list[str] | tuple[str, ...] = (), carry: list[str] | tuple[str, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Reviewed rows (source_id, text, carry, judged, first_error, n_open, status), one for each of docs (source_id, text).
+
+    verdicts: of these docs, written down before, since they are read several times. Where all of them
+    are estimated at ``limit`` bytes at most they are broadcast. Else the texts that a detector may
+    match, and those whose id may be repeated, are joined with them; all other rows stay where they
+    are. A text that is not the one that was judged has the status text_changed.
+    """
+    rows = docs.select("source_id", "text", F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry"))
+    size = verdicts.agg(F.sum(F.lit(ROW_BYTES) + F.coalesce(F.size("judged"), F.lit(0)) * F.lit(FINDING_BYTES))).first()[0] or 0
+    if size <= limit:
+        met = rows.join(F.broadcast(verdicts), "source_id", "left")
+    else:
+        cell = F.pmod(F.xxhash64("source_id"), F.lit(CELLS)).cast("int")
+        cells = verdicts.where("repeated").select(cell.alias("cell"), F.lit(True).alias("taken")).distinct()
+        marked = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left").drop("cell")
+        asked = F.col("source_id").isNotNull() & (F.coalesce("taken", F.lit(False)) | may_hold(F.col("text"), terms))
+        met = marked.where(asked).drop("taken").join(verdicts, "source_id", "left")
+        met = met.unionByName(marked.where(~asked).drop("taken"), allowMissingColumns=True)
+    field = lambda x, c: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) if c == "value" else x[c]
+    kind = dict(verdicts.dtypes)["judged"]
+    whole = F.transform(F.coalesce("judged", F.array().cast(kind)), lambda x: F.struct(*[field(x, c).alias(c) for c in [*SLIM, "value", *FIELDS, "error"]]))
+    changed = F.coalesce(F.col("mark") != F.xxhash64("text"), F.lit(False))
+    met = met.withColumns({"repeated": F.coalesce("repeated", F.lit(False)), "n_open": F.coalesce("n_open", F.lit(0))})
+    met = met.withColumn("status", _status(met.columns, F.when(changed, "text_changed")))
+    return met.withColumn("judged", F.when(F.col("status") == "text_changed", F.filter(whole, lambda _: F.lit(False))).otherwise(whole))
+
+
 def error(kind: Column, severity: Column, action: Column, reason: Column, replacement: Column) -> Column:
     """What is wrong with a decision, or null: unknown action, forced delete, keep without reason, nothing to generalize to."""
     return (
@@ -86,12 +157,13 @@ def review(rows: DataFrame, terms: list[str] | tuple[str, ...] = (), choose: Cal
         choose = lambda finding: F.col("decisions")[finding["finding_id"]]
     if "found" not in rows.columns:
         rows = rows.withColumn("found", detect(F.col("text"), terms))
+    fields = rows.schema["found"].dataType.elementType.names
     # one projection each, so that what is used several times is computed once
-    rows = rows.withColumn("met", F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in _FOUND], choose(f).alias("d"))))
+    rows = rows.withColumn("met", F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in fields], choose(f).alias("d"))))
     judged = F.transform(
         "met",
         lambda x: F.struct(
-            *[x[c].alias(c) for c in _FOUND],
+            *[x[c].alias(c) for c in fields],
             *[x["d"][c].alias(c) for c in FIELDS],
             error(x["type"], x["severity"], x["d"]["action"], x["d"]["reason"], x["d"]["replacement"]).alias("error"),
         ),
@@ -103,10 +175,18 @@ def review(rows: DataFrame, terms: list[str] | tuple[str, ...] = (), choose: Cal
             "n_open": F.size(F.filter("judged", lambda x: x["action"].isNull())),
         }
     )
-    never = F.lit(False)
-    status = F.when(F.col("source_id").isNull() if "source_id" in rows.columns else never, "no_source_id")
-    status = status.when(F.col("repeated") if "repeated" in rows.columns else never, "duplicate_source").when(F.col("text").isNull(), "no_text")
-    return rows.withColumn("status", status.when(F.col("first_error").isNotNull(), "error").when(F.col("n_open") > 0, "unresolved").otherwise("ok")).drop("found", "met")
+    return rows.withColumn("status", _status(rows.columns)).drop("found", "met")
+
+
+def _status(columns: list[str], other: Column | None = None) -> Column:
+    """The first state that holds, of those whose columns are there; ``other`` stands before the decisions' own."""
+    state = F.when(F.col("source_id").isNull() if "source_id" in columns else F.lit(False), "no_source_id")
+    if "repeated" in columns:
+        state = state.when(F.col("repeated"), "duplicate_source")
+    if "text" in columns:
+        state = state.when(F.col("text").isNull(), "no_text")
+    own = F.when(F.col("first_error").isNotNull(), "error").when(F.col("n_open") > 0, "unresolved").otherwise("ok")
+    return state.otherwise(own if other is None else F.coalesce(other, own))
 
 
 def validated(reviewed: DataFrame) -> DataFrame:

@@ -117,6 +117,19 @@ def candidates(text: Column, terms: list[str] | tuple[str, ...] = ()) -> Column:
     return F.concat(*[matches(text, d, i) for i, d in enumerate(built_in)], dictionary_matches(text, [d.literal for d in own], len(DETECTORS)))
 
 
+def may_hold(text: Column, terms: list[str] | tuple[str, ...] = ()) -> Column:
+    """Whether any detector may find something: true for every text with a finding, and cheap; false for null."""
+    detectors = with_dictionary(terms)
+    own = detectors[len(DETECTORS) :]
+    asked = [d.may_match(text) for d in (detectors if len(own) <= MANY_TERMS else DETECTORS)]
+    if len(own) > MANY_TERMS:
+        asked.append(F.size(held_terms([d.literal for d in own], 0)(text)) > 0)
+    held = asked[0]
+    for a in asked[1:]:
+        held = held | a
+    return F.coalesce(held, F.lit(False))
+
+
 def resolve(found: Column) -> Column:
     """Earliest start first, then severity, then length, then detector; what overlaps an accepted one goes."""
     start = F.struct(F.lit(0).alias("last"), F.array().cast(_CANDIDATE).alias("out"))

@@ -9,9 +9,9 @@ from . import gate, report
 from .rewrite import sanitize
 
 
-def gated(result: DataFrame, classification: Column, route: Column, coverage: Column | None = None, terms: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def gated(result: DataFrame, classification: Column, route: Column, coverage: Column, terms: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """The rewritten rows with ``classification``, ``route``, ``coverage`` and ``gate``: ok, or what holds the row back."""
-    rows = result.withColumns({"classification": classification, "route": route, "coverage": F.lit(report.COVERAGE) if coverage is None else coverage})
+    rows = result.withColumns({"classification": classification, "route": route, "coverage": coverage})
     state = gate.export_status(F.col("classification"), F.col("route"), F.col("sanitized_text"), F.col("n_unresolved"), F.col("status"), terms, F.col("coverage"))
     return rows.withColumn("gate", state)
 
@@ -33,17 +33,19 @@ def safe_packages(
     terms: list[str] | tuple[str, ...] = (),
     rescan_terms: list[str] | tuple[str, ...] = (),
     token_scope: str = "source",
+    coverage: str | None = "coverage",
+    registry=None,
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with their gate, and one archive per row that may leave.
 
-    docs: source_id, text, classification, route and, if the reader gives it, coverage. The first frame
-    is (source_id, status, first_error, gate, ...), one row per row of docs; the second
+    docs: source_id, text, classification, route, and the column that ``coverage`` names, which the readers
+    give; None says that all texts are known to be understood. The first frame is (source_id, status, first_error, gate, ...), one row per row of docs; the second
     (source_id, package_sha256, zip_sha256, zip), for ``archive.save_packages``.
     """
     from scrubline.sources import archive
 
-    carry = ["classification", "route", *(["coverage"] if "coverage" in docs.columns else [])]
-    result = sanitize(docs, decisions, terms, token_scope, carry)
-    rows = gated(result, F.col("carry.classification"), F.col("carry.route"), F.col("carry.coverage") if len(carry) == 3 else None, rescan_terms)
+    docs = docs.withColumn("coverage", F.lit(report.COVERAGE) if coverage is None else F.col(coverage))
+    result = sanitize(docs, decisions, terms, token_scope, ["classification", "route", "coverage"], registry)
+    rows = gated(result, F.col("carry.classification"), F.col("carry.route"), F.col("carry.coverage"), rescan_terms)
     ready = cleared(rows, project).select("source_id", "sanitized_text", F.to_json("m").alias("manifest"), F.to_json("r").alias("report"))
     return rows, archive.packages(ready)

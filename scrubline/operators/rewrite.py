@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
 from scrubline.sources.scratch import settle
+from scrubline.sources.vault import Secret
 
-from .decide import review, with_decisions
+from .decide import hits, verdicts, with_verdicts
 from .report import sha256
 
 #: Fixed value: what stands for a deleted finding.
@@ -35,20 +36,21 @@ def rewritten(reviewed: DataFrame, keep: list[str] | tuple[str, ...] = (), ordin
 
     All or nothing: unless the status is ok the text stays as it is and nothing counts. ``public``
     may leave (no value, no offsets); ``tokens`` is SENSITIVE (tokens and what they stand for).
-    A token's number counts the findings of its label in the row, or comes from ``ordinals``, a map
-    from (label, value).
+    A token's number counts the findings of its label in the row, or comes from ``ordinals``, an array
+    with a number for each judged finding.
     """
     rows = reviewed.withColumn("named", F.transform("judged", lambda x: F.when(x["action"] == "tokenize", label(x["token_label"], x["type"]))))
     places = F.filter(F.zip_with("named", "judged", lambda name, x: F.struct(name.alias("label"), x["start"].alias("start"))), lambda p: p["label"].isNotNull())
     rows = rows.withColumn("places", F.array_sort(places))
     rows = rows.withColumn("labels", F.transform("places", lambda p: p["label"]))
 
-    def number(x: Column, name: Column) -> Column:
+    def number(x: Column, name: Column, i: Column) -> Column:
         if ordinals is not None:
-            return F.col(ordinals)[F.struct(name.alias("label"), x["value"].alias("value"))]
+            return F.get(ordinals, i)
         return F.array_position("places", F.struct(name.alias("label"), x["start"].alias("start"))) - F.array_position("labels", name) + 1
 
-    rows = rows.withColumn("token_of", F.zip_with("judged", "named", lambda x, name: F.when(name.isNotNull(), S.token(name, number(x, name)))))
+    of = F.transform("judged", lambda x, i: F.struct(x["value"].alias("value"), x["start"].alias("start"), F.get("named", i).alias("name"), i.alias("i")))
+    rows = rows.withColumn("token_of", F.transform(of, lambda x: F.when(x["name"].isNotNull(), S.token(x["name"], number(x, x["name"], x["i"])))))
 
     def new_value(x: Column, token: Column) -> Column:
         return F.when(x["action"] == "delete", REMOVED).when(x["action"] == "tokenize", token).when(x["action"] == "generalize", S.trim(x["replacement"])).otherwise(x["value"])
@@ -79,52 +81,79 @@ def rewritten(reviewed: DataFrame, keep: list[str] | tuple[str, ...] = (), ordin
     )
 
 
-def sanitize(docs: DataFrame, decisions: DataFrame, terms: list[str] | tuple[str, ...] = (), token_scope: str = "source", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def sanitize(docs: DataFrame, decisions: DataFrame, terms: list[str] | tuple[str, ...] = (), token_scope: str = "source", carry: list[str] | tuple[str, ...] = (), registry=None) -> DataFrame:
     """(source_id, carry, status, first_error, ...) of ``rewritten``, one row per row of docs (source_id, text).
 
-    token_scope="project" gives equal values one number over all sources.
+    token_scope="project" gives equal values one number over all sources; with a ``registry`` it is the
+    number that the value has there, new values being entered. Findings are written to the session's
+    checkpoint folder without their values, and docs are read again: a text that changes in between is
+    not rewritten (status text_changed).
     """
-    reviewed = review(with_decisions(docs, decisions, carry), terms)
     if token_scope == "project":
-        return rewritten(with_project_ordinals(reviewed), ["source_id", "carry"], "ordinals")
-    return rewritten(reviewed, ["source_id", "carry"])
+        secret = registry.secret if registry is not None else Secret()
+        found = settle(hits(docs, terms, lambda rows: secret.protect(rows, F.transform("found", lambda x: x["value"]), "more")))
+        judged = with_numbers(settle(verdicts(found, docs, decisions)), secret, registry)
+    else:
+        judged = verdicts(settle(hits(docs, terms)), docs, decisions)
+    rows = with_verdicts(docs, settle(judged), terms, carry)
+    return rewritten(rows, ["source_id", "carry"], "numbers" if token_scope == "project" else None)
 
 
-def project_ordinals(values: DataFrame) -> DataFrame:
-    """(label, value, ordinal) of distinct (label, value): from 1 within each label, by (hash bucket, value).
+def numbered(values: DataFrame, secret: Secret) -> DataFrame:
+    """(label, blind, bucket, sealed, ordinal) of distinct (label, blind, bucket, sealed): from 1 within each label, by (bucket, value).
 
-    Buckets of a value hash are ranked by themselves and moved by the sizes of the buckets before, so
-    no task holds a whole label and a value's number does not depend on the partitioning.
+    Each bucket's sealed values are opened and sorted inside one row, and moved by the sizes of the
+    buckets before: no task holds a whole label, no value goes through an exchange, and a number depends
+    neither on the partitioning nor on the secret.
     """
-    named = values.withColumn("bucket", F.substring(F.sha2("value", 256), 1, BUCKET_DIGITS))
+    one = F.struct("blind", "sealed")
+    buckets = values.groupBy("label", "bucket").agg(F.collect_list(one).alias("held"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = named.groupBy("label", "bucket").count().select("label", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("value"))
-    ranked = named.withColumn("inside", inside).join(base, ["label", "bucket"])
-    return ranked.select("label", "value", (F.col("base") + F.col("inside")).alias("ordinal"))
+    base = buckets.select("label", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    opened = buckets.join(base, ["label", "bucket"]).withColumn("key", secret.key("bucket"))
+    opened = opened.withColumn("open", F.transform("held", lambda x: F.struct(secret.unseal(x["sealed"], F.col("key")).alias("value"), x["blind"].alias("blind"), x["sealed"].alias("sealed"))))
+    slim = F.transform(F.array_sort("open"), lambda x: F.struct(x["blind"].alias("blind"), x["sealed"].alias("sealed")))
+    rows = opened.select("label", "bucket", "base", F.posexplode(slim).alias("pos", "x"))
+    return rows.select("label", "x.blind", "bucket", "x.sealed", (F.col("base") + F.col("pos") + 1).alias("ordinal"))
+
+
+def project_ordinals(values: DataFrame) -> DataFrame:
+    """(label, value, ordinal) of distinct (label, value): from 1 within each label, by (hash bucket, value)."""
+    secret = Secret()
+    rows = secret.protect(values, F.array("value"), "p").select("label", F.col("p")[0]["blind"].alias("blind"), F.col("p")[0]["bucket"].alias("bucket"), F.col("p")[0]["sealed"].alias("sealed"))
+    # sealing draws at random: written once, then read
+    rows = numbered(settle(rows), secret).withColumn("key", secret.key("bucket"))
+    return rows.select("label", secret.unseal(F.col("sealed"), F.col("key")).alias("value"), "ordinal")
 
 
-def with_project_ordinals(reviewed: DataFrame) -> DataFrame:
-    """Reviewed rows with ``ordinals``, a map from (label, value) to its number over all sources.
+def with_numbers(verdicts: DataFrame, secret: Secret, registry=None) -> DataFrame:
+    """Verdicts with ``numbers``, for each judged finding the number of its (label, value) over all sources, instead of ``more``.
 
-    Values of rows in error and of unresolved rows are numbered as well. The few values that stand in a
-    large part of all places are looked up from a broadcast of at most 1/HOT_PART rows; all others are
-    joined by value, where no key is large. The places, which are SENSITIVE, are written to the session's
-    checkpoint folder; the rows are detected again where the numbers are joined.
+    Values of rows in error and of unresolved rows are numbered as well. Values are joined by their
+    blind index. The few that stand in a large part of all places are looked up from a broadcast of at
+    most 1/HOT_PART rows; all others are joined, where no key is large.
     """
-    used = F.filter("judged", lambda x: x["action"] == "tokenize")
-    pairs = F.array_distinct(F.transform(used, lambda x: F.struct(label(x["token_label"], x["type"]).alias("label"), x["value"].alias("value"))))
-    places = reviewed.where(F.col("source_id").isNotNull()).select("source_id", F.explode(F.filter(pairs, lambda p: p["label"].isNotNull())).alias("p")).select("source_id", "p.label", "p.value")
-    places = settle(places.distinct())
-    counted = places.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
-    numbered = project_ordinals(counted.select("label", "value")).join(counted, ["label", "value"])
+    name = lambda x: F.when(x["action"] == "tokenize", label(x["token_label"], x["type"]))
+    used = F.transform("judged", lambda x, i: F.struct(name(x).alias("label"), F.get("more", i).alias("p")))
+    used = F.array_distinct(F.filter(F.transform(used, lambda x: F.struct(x["label"].alias("label"), x["p"]["blind"].alias("blind"), x["p"]["bucket"].alias("bucket"), x["p"]["sealed"].alias("sealed"))), lambda x: x["label"].isNotNull()))
+    places = verdicts.where("not repeated").select("source_id", F.explode(used).alias("x")).select("source_id", "x.*")
+    # of one value in a source one place is enough
+    places = settle(places.groupBy("source_id", "label", "blind", "bucket").agg(F.first("sealed").alias("sealed")))
+    counted = places.groupBy("label", "blind", "bucket").agg(F.first("sealed").alias("sealed"), F.count(F.lit(1)).alias("n"))
+    if registry is None:
+        known = numbered(counted.select("label", "blind", "bucket", "sealed"), secret).select("label", "blind", "ordinal")
+    else:
+        known = registry.enter(counted.select("label", "blind", "bucket", "sealed"))
+    known = settle(known.join(counted.select("label", "blind", "n"), ["label", "blind"]))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = numbered.where(F.col("n") > max(1.0, total * HOT_PART)).select("label", "value", "ordinal")
-    marked = places.join(F.broadcast(hot), ["label", "value"], "left")
-    rest = marked.where("ordinal is null").drop("ordinal").join(numbered.select("label", "value", "ordinal"), ["label", "value"])
-    entry = F.struct(F.struct("label", "value").alias("key"), F.col("ordinal").alias("value"))
+    hot = known.where(F.col("n") > max(1.0, total * HOT_PART)).select("label", "blind", "ordinal")
+    marked = places.select("source_id", "label", "blind").join(F.broadcast(hot), ["label", "blind"], "left")
+    rest = marked.where("ordinal is null").drop("ordinal").join(known.select("label", "blind", "ordinal"), ["label", "blind"])
+    entry = F.struct(F.struct("label", "blind").alias("key"), F.col("ordinal").alias("value"))
     maps = marked.where("ordinal is not null").unionByName(rest).groupBy("source_id").agg(F.map_from_entries(F.collect_list(entry)).alias("ordinals"))
-    return reviewed.join(maps, "source_id", "left")
+    rows = verdicts.join(maps, "source_id", "left")
+    number = lambda x, i: F.col("ordinals")[F.struct(name(x).alias("label"), F.get("more", i)["blind"].alias("blind"))]
+    return rows.withColumn("numbers", F.transform("judged", number)).drop("more", "ordinals")
 
 
 def public_findings(result: DataFrame) -> DataFrame:

@@ -17,14 +17,15 @@ from scrubline.operators import export as X
 from scrubline.operators import gate as G
 from scrubline.operators import report as R
 from scrubline.operators import rewrite as W
-from scrubline.operators.catalog import DETECTORS
+from scrubline.operators.catalog import DETECTORS, Detector
 from scrubline.operators.detect import blocking, detect, findings, matches
+from scrubline.operators.registry import Registry
 from scrubline.sources import archive, lint, readers, vault
 from scrubline.sources.readers import spread
-from scrubline.sources.scratch import scratch_folder
+from scrubline.sources.scratch import scratch_folder, settle
 from scrubline.streaming.sanitize import sanitize_stream
 
-TERMS = ("Example Foundry", "risk sk-a", "ba", "aa")
+TERMS = ("Harbour Looms", "risk sk-a", "ba", "aa")
 
 _ID = "CAST(doc_id AS STRING)"
 AUGMENTED = f"""coalesce(text, '') || CASE CAST(doc_id % 9 AS INT)
@@ -33,7 +34,7 @@ AUGMENTED = f"""coalesce(text, '') || CASE CAST(doc_id % 9 AS INT)
  WHEN 2 THEN ' 身分A1' || right('0000000' || {_ID}, 8) || '號 B2' || right('0000000' || {_ID}, 8) || 'x C212345678'
  WHEN 3 THEN ' host 192.168.' || CAST(doc_id % 256 AS STRING) || '.7.9 256.1.1.1 1.2.3.4.5'
  WHEN 4 THEN ' Password : "synthetic-' || {_ID} || '-pass" api_key = sk-abcdefghijklmnopqrst' || {_ID}
- WHEN 5 THEN ' sk-abcdefghijklmnop_' || right('0000000' || {_ID}, 7) || '-- Example Foundry baaa'
+ WHEN 5 THEN ' sk-abcdefghijklmnop_' || right('0000000' || {_ID}, 7) || '-- Harbour Looms baaa'
  WHEN 6 THEN ' ghp_abcdefghijklmnop' || right('000000' || {_ID}, 6) || ' risk sk-abcdefghijklmnopqrstuv'
  WHEN 7 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || {_ID} || chr(10) || '-----END EC PRIVATE KEY----- passwd:abcdefgh' || {_ID}
  ELSE '' END"""
@@ -69,32 +70,10 @@ def decisions(rows: DataFrame) -> DataFrame:
     return base.select("source_id", "finding_id", F.explode(F.array(first, second)).alias("x")).select("source_id", "finding_id", "x.*")
 
 
-def _rule(f: Column) -> Column:
-    """The decision that counts for a finding of a source that leaves none open."""
-    kind = f["type"]
-    return F.struct(
-        F.when(kind.isin("private-key", "api-token", "credential"), "delete").when(kind == "ip-address", "keep").when(kind == "phone", "generalize").otherwise("tokenize").alias("action"),
-        F.when(kind == "taiwan-id", " staff id! ").otherwise("").alias("token_label"),
-        F.when(kind == "phone", "  a phone ").alias("replacement"),
-        F.when(kind == "ip-address", "internal").alias("reason"),
-    )
-
-
-def reviewed(spark, d: str) -> DataFrame:
-    """Documents with their findings and, in the same row, the map of their decisions."""
-    rows = augmented(spark, d).withColumn("found", detect(F.col("text"), TERMS))
-    decided = F.filter("found", lambda f: ~((F.col("source_id") % 10 == 0) & (f["severity"] == "high")))
-    rows = rows.withColumn("decisions", F.map_from_entries(F.transform(decided, lambda f: F.struct(f["finding_id"].alias("key"), _rule(f).alias("value")))))
-    return D.review(rows)
-
-
-def transformed(spark, d: str) -> DataFrame:
-    return W.rewritten(reviewed(spark, d), ["source_id"])
-
-
-def sanitized(spark, d: str, token_scope: str = "source") -> DataFrame:
-    """The same from a table of decisions."""
-    return W.sanitize(augmented(spark, d), decisions(found(spark, d)), TERMS, token_scope)
+def sanitized(spark, d: str, token_scope: str = "source", registry=None) -> DataFrame:
+    """Documents rewritten by a table of decisions."""
+    docs = augmented(spark, d)
+    return W.sanitize(docs, decisions(found(spark, d)), TERMS, token_scope, registry=registry)
 
 
 # -- the SQL side --------------------------------------------------------------------------------
@@ -270,8 +249,8 @@ _add(
 
 
 def _unresolved(s, d):
-    rows = D.with_decisions(augmented(s, d), decisions(found(s, d)))
-    return D.unresolved(D.review(rows, TERMS))
+    docs = augmented(s, d)
+    return D.unresolved(D.verdicts(settle(D.hits(docs, TERMS)), docs, decisions(found(s, d))))
 
 
 _add("unresolved", _unresolved, _DECIDED + " SELECT id AS source_id, fid AS finding_id, typ AS type FROM d WHERE action IS NULL")
@@ -355,8 +334,8 @@ _add("rewrite_delete", _uniform("delete"), _uniform_sql("'[REMOVED]'", False))
 _add("rewrite_tokenize", _uniform("tokenize"), _uniform_sql("token", False))
 _add("rewrite_generalize", _uniform("generalize", replacement=" 　someone\n"), _uniform_sql("'someone'", False))
 _add("rewrite_keep", _uniform("keep", reason="reviewed"), _uniform_sql("v", True))
-_add("rewrite_mixed", lambda s, d: transformed(s, d).select("source_id", "status", "sanitized_text"), _DECIDED + " SELECT source_id, status, sanitized_text FROM x")
-_add("residual_risk", lambda s, d: transformed(s, d).select("source_id", "residual_risk", "n_tokens"), _DECIDED + " SELECT source_id, residual_risk, n_tokens FROM x")
+_add("rewrite_mixed", lambda s, d: sanitized(s, d).select("source_id", "status", "sanitized_text"), _DECIDED + " SELECT source_id, status, sanitized_text FROM x")
+_add("residual_risk", lambda s, d: sanitized(s, d).select("source_id", "residual_risk", "n_tokens"), _DECIDED + " SELECT source_id, residual_risk, n_tokens FROM x")
 _add("rewrite_reviewed", lambda s, d: sanitized(s, d).select("source_id", "status", "sanitized_text"), _DECIDED + " SELECT source_id, status, sanitized_text FROM x")
 _add("token_entries", lambda s, d: W.token_entries(sanitized(s, d)), _DECIDED + " SELECT id AS source_id, token, v AS original, typ AS finding_type FROM p WHERE token IS NOT NULL")
 
@@ -387,8 +366,43 @@ _add(
 )
 
 
+#: Turns of conversations, some with an address that a document has as well.
+_TURN = "coalesce(text, '') || ' mail a.b' || {id} || '@example.com and u' || {id} || '@example.org'"
+
+
+def _two_batches(s, d):
+    """Documents are entered first, then conversations, then the documents once more; tokens of the last two."""
+    registry = Registry(s, f"{scratch_folder(s)}/registry-{uuid.uuid4().hex}", b"a registry's secret of 32 bytes.")
+    sanitized(s, d, "project", registry)
+    turns = s.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"), F.expr(_TURN.format(id="CAST(conv_id AS STRING)")).alias("text"))
+    later = W.sanitize(turns, decisions(findings(turns, "source_id", terms=TERMS)), TERMS, "project", registry=registry)
+    again = sanitized(s, d, "project", registry)
+    one, two = (W.token_entries(x).withColumn("batch", F.lit(k)) for k, x in ((2, later), (1, again)))
+    return one.unionByName(two)
+
+
+_add(
+    "token_registry",
+    _two_batches,
+    _DECIDED
+    + ", "
+    + _resolved_ctes(f"SELECT conv_id * 1000 + turn AS id, {_TURN.format(id='conv_id::VARCHAR')} AS t FROM conversations", "c", "cf")
+    + f""", w AS (SELECT DISTINCT label, v FROM s WHERE label IS NOT NULL), o2 AS (
+  SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY substr(sha256(v), 1, {W.BUCKET_DIGITS}), v) AS k FROM w
+), cd AS (
+  SELECT *, CASE WHEN id % 10 = 0 AND severity = 'high' THEN NULL ELSE {_ACTION.format(t='typ')} END AS action FROM cf
+), cs AS (
+  SELECT *, sum((action IS NULL)::INT) OVER (PARTITION BY id) AS n_open, CASE WHEN action = 'tokenize' THEN CASE WHEN typ = 'taiwan-id' THEN 'STAFF-ID' ELSE upper(typ) END END AS label FROM cd
+), cw AS (SELECT DISTINCT label, v FROM cs WHERE label IS NOT NULL), o3 AS (
+  SELECT * FROM o2 UNION ALL
+  SELECT label, v, coalesce((SELECT max(k) FROM o2 WHERE o2.label = n.label), 0) + row_number() OVER (PARTITION BY label ORDER BY substr(sha256(v), 1, {W.BUCKET_DIGITS}), v) AS k FROM (FROM cw ANTI JOIN o2 USING (label, v)) n
+) SELECT 1 AS batch, id AS source_id, '【' || label || '-' || printf('%02d', k) || '】' AS token, v AS original, typ AS finding_type FROM p JOIN o3 USING (label, v)
+UNION ALL SELECT 2 AS batch, id AS source_id, '【' || label || '-' || printf('%02d', k) || '】' AS token, v AS original, typ AS finding_type FROM cs JOIN o3 USING (label, v) WHERE n_open = 0""",
+)
+
+
 def _rehydrated(s, d):
-    rows = transformed(s, d)
+    rows = sanitized(s, d)
     return rows.select("source_id", F.coalesce(W.rehydrate(F.col("sanitized_text"), F.col("tokens")), F.col("sanitized_text")).alias("text"))
 
 
@@ -402,10 +416,10 @@ _add(
 )
 _add(
     "public_findings",
-    lambda s, d: W.public_findings(transformed(s, d)).select("source_id", "finding_id", "type", "severity", "masked_preview", "detector", "action", F.coalesce("token", F.lit("")).alias("token"), F.coalesce("reason", F.lit("")).alias("reason")),
+    lambda s, d: W.public_findings(sanitized(s, d)).select("source_id", "finding_id", "type", "severity", "masked_preview", "detector", "action", F.coalesce("token", F.lit("")).alias("token"), F.coalesce("reason", F.lit("")).alias("reason")),
     _DECIDED + " SELECT id AS source_id, fid AS finding_id, typ AS type, severity, masked AS masked_preview, det AS detector, action, coalesce(token, '') AS token, CASE WHEN typ = 'ip-address' THEN 'internal' ELSE '' END AS reason FROM p",
 )
-_add("finding_counts", lambda s, d: R.finding_counts(W.public_findings(transformed(s, d))), _DECIDED + " SELECT id AS source_id, severity, action, count(*) AS n FROM p GROUP BY ALL")
+_add("finding_counts", lambda s, d: R.finding_counts(W.public_findings(sanitized(s, d))), _DECIDED + " SELECT id AS source_id, severity, action, count(*) AS n FROM p GROUP BY ALL")
 _add(
     "normalize_label",
     lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", S.normalize_label(F.concat(F.lit("--"), "c_name", F.lit(" / acct!"))).alias("label"), S.normalize_label(F.lit(" ?! ")).alias("empty_label")),
@@ -423,30 +437,31 @@ def _policies(s, d):
 _GATE = f"CASE WHEN {_ROUTE} = 'mail' THEN 'invalid' WHEN {_CLASS} = 'P3' OR {_ROUTE} = 'local-only' THEN 'blocked_route' ELSE 'ok' END"
 _add("route_gate", lambda s, d: _policies(s, d).select("source_id", G.route_status(F.col("classification"), F.col("route")).alias("gate")), f"SELECT doc_id AS source_id, {_GATE} AS gate FROM documents")
 _SECOND = _DECIDED + ", " + _resolved_ctes("SELECT source_id AS id, sanitized_text AS t FROM x", "a2", "f2", ()) + ", b AS (SELECT id, count(*) FILTER (WHERE sev >= 2) AS n FROM f2 GROUP BY id)"
-_add("second_scan", lambda s, d: transformed(s, d).select("source_id", blocking(F.col("sanitized_text")).cast("long").alias("n_blocking")), _SECOND + " SELECT source_id, coalesce(n, 0)::BIGINT AS n_blocking FROM x LEFT JOIN b ON b.id = source_id")
+_add("second_scan", lambda s, d: sanitized(s, d).select("source_id", blocking(F.col("sanitized_text")).cast("long").alias("n_blocking")), _SECOND + " SELECT source_id, coalesce(n, 0)::BIGINT AS n_blocking FROM x LEFT JOIN b ON b.id = source_id")
 
 
 _SECOND_TERMS = _DECIDED + ", " + _resolved_ctes("SELECT source_id AS id, sanitized_text AS t FROM x", "a2", "f2") + ", b AS (SELECT id, count(*) FILTER (WHERE sev >= 2) AS n FROM f2 GROUP BY id)"
 _add(
     "second_scan_dictionary",
-    lambda s, d: transformed(s, d).select("source_id", blocking(F.col("sanitized_text"), TERMS).cast("long").alias("n_blocking")),
+    lambda s, d: sanitized(s, d).select("source_id", blocking(F.col("sanitized_text"), TERMS).cast("long").alias("n_blocking")),
     _SECOND_TERMS + " SELECT source_id, coalesce(n, 0)::BIGINT AS n_blocking FROM x LEFT JOIN b ON b.id = source_id",
 )
 
 
-def exports(s, d) -> DataFrame:
-    rows = reviewed(s, d).withColumns({"classification": F.expr(_CLASS.replace("doc_id", "source_id")), "wanted": F.expr(_ROUTE.replace("doc_id", "source_id"))})
-    return X.gated(W.rewritten(rows, ["source_id", "classification", "wanted"]), F.col("classification"), F.col("wanted"))
+def exports(s, d) -> tuple[DataFrame, DataFrame]:
+    """The gates of all documents, and the archives of those that may leave; the texts are made here, so all of them are understood."""
+    docs = augmented(s, d).withColumns({"classification": F.expr(_CLASS.replace("doc_id", "source_id")), "route": F.expr(_ROUTE.replace("doc_id", "source_id"))})
+    return X.safe_packages(docs, decisions(found(s, d)), "demo", TERMS, coverage=None)
 
 
 _EXPORT_SQL = _SECOND + f", g AS (SELECT x.*, {_CLASS} AS classification, {_ROUTE} AS route, CASE WHEN {_GATE} <> 'ok' THEN {_GATE} WHEN n_unresolved > 0 THEN 'unresolved' WHEN n > 0 THEN 'blocked_scan' ELSE 'ok' END AS gate FROM x JOIN documents ON doc_id = source_id LEFT JOIN b ON b.id = source_id)"
-_add("export_status", lambda s, d: exports(s, d).select("source_id", "gate"), _EXPORT_SQL + " SELECT source_id, gate FROM g")
-_add("derivative_hash", lambda s, d: transformed(s, d).select("source_id", R.sha256(F.col("sanitized_text")).alias("sha256")), _DECIDED + " SELECT source_id, sha256(sanitized_text) AS sha256 FROM x")
+_add("export_status", lambda s, d: exports(s, d)[0].select("source_id", "gate"), _EXPORT_SQL + " SELECT source_id, gate FROM g")
+_add("derivative_hash", lambda s, d: sanitized(s, d).select("source_id", R.sha256(F.col("sanitized_text")).alias("sha256")), _DECIDED + " SELECT source_id, sha256(sanitized_text) AS sha256 FROM x")
 
 
 def cleared(s, d) -> DataFrame:
     """(source_id, sanitized_text, n_tokens, m, r) of the documents that pass all gates."""
-    return X.cleared(exports(s, d), "demo")
+    return X.cleared(exports(s, d)[0], "demo")
 
 
 _add(
@@ -475,7 +490,7 @@ _add(
 
 
 def packaged(s, d) -> DataFrame:
-    return archive.packages(cleared(s, d).select("source_id", "sanitized_text", F.to_json("m").alias("manifest"), F.to_json("r").alias("report")))
+    return exports(s, d)[1]
 
 
 def _json_text(value: str) -> str:
@@ -568,25 +583,25 @@ _add(
 
 
 def _sealed(s, d) -> DataFrame:
-    return vault.encrypt_maps(W.token_entries(transformed(s, d)), "correct horse battery")
+    return vault.encrypt_maps(W.token_entries(sanitized(s, d)), "nine quiet lanterns")
 
 
 def _roundtrip(s, d):
-    opened = vault.decrypt_maps(_sealed(s, d), "correct horse battery")
+    opened = vault.decrypt_maps(_sealed(s, d), "nine quiet lanterns")
     return opened.select("source_id", "status", F.explode("entries").alias("e")).select("source_id", "status", "e.token", "e.original", F.col("e.findingType").alias("finding_type"))
 
 
 _add("vault_roundtrip", _roundtrip, _DECIDED + " SELECT id AS source_id, 'ok' AS status, token, v AS original, typ AS finding_type FROM p WHERE token IS NOT NULL")
 _add(
     "vault_wrong_passphrase",
-    lambda s, d: vault.decrypt_maps(_sealed(s, d), "wrong horse battery").select("source_id", "status", F.col("entries").isNotNull().alias("opened")),
+    lambda s, d: vault.decrypt_maps(_sealed(s, d), "nine loud lanterns").select("source_id", "status", F.col("entries").isNotNull().alias("opened")),
     _DECIDED + " SELECT DISTINCT id AS source_id, 'denied' AS status, false AS opened FROM p WHERE token IS NOT NULL",
 )
 #: A payload spoiled in one of several ways by its source's number.
 _SPOILED = "CASE WHEN source_id % 5 = 0 THEN regexp_replace(payload, '\"salt\":\"....', '\"salt\":\"abc') WHEN source_id % 5 = 1 THEN regexp_replace(payload, '\"nonce\":\"...', '\"nonce\":\"*') WHEN source_id % 5 = 2 THEN replace(payload, 'scrypt', 'none') WHEN source_id % 5 = 3 THEN substr(payload, 1, 60) ELSE payload END"
 _add(
     "vault_malformed",
-    lambda s, d: vault.decrypt_maps(_sealed(s, d).withColumn("payload", F.expr(_SPOILED)), "correct horse battery").select("source_id", "status"),
+    lambda s, d: vault.decrypt_maps(_sealed(s, d).withColumn("payload", F.expr(_SPOILED)), "nine quiet lanterns").select("source_id", "status"),
     _DECIDED + " SELECT DISTINCT id AS source_id, CASE WHEN id % 5 IN (0, 1) THEN 'denied' WHEN id % 5 IN (2, 3) THEN 'unsupported' ELSE 'ok' END AS status FROM p WHERE token IS NOT NULL",
 )
 
@@ -596,7 +611,7 @@ def _tampered(s, d):
     field = '"ciphertext":"'
     other = F.when(F.contains("payload", F.lit(field + "A")), F.lit(field + "B")).otherwise(F.lit(field + "A"))
     bad = sealed.select("source_id", F.regexp_replace("payload", F.lit(field + "."), other).alias("payload"))
-    return vault.decrypt_maps(bad, "correct horse battery").select("source_id", "status", F.col("entries").isNotNull().alias("opened"))
+    return vault.decrypt_maps(bad, "nine quiet lanterns").select("source_id", "status", F.col("entries").isNotNull().alias("opened"))
 
 
 _add("vault_tamper", _tampered, _DECIDED + " SELECT DISTINCT id AS source_id, 'denied' AS status, false AS opened FROM p WHERE token IS NOT NULL")
@@ -660,17 +675,16 @@ SELECT doc_id, CASE WHEN source_id IS NULL THEN 'no_source_id' WHEN k > 1 THEN '
        sha256(CASE WHEN source_id IS NULL OR k > 1 THEN a.t ELSE coalesce(j.out, a.t) END) AS text_sha256, CASE WHEN source_id IS NULL OR k > 1 THEN 0 ELSE coalesce(n, 0) END AS n_public
 FROM o JOIN a ON a.id = doc_id LEFT JOIN j ON j.id = doc_id""",
 )
-_COVERED = "CASE WHEN doc_id % 3 = 0 THEN 'plain-text-partial' WHEN doc_id % 3 = 1 THEN 'plain-text-complete' END"
-_add(
-    "coverage_gate",
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", G.export_status(F.lit("P1"), F.lit("cloud-approved"), F.lit(""), coverage=F.expr(_COVERED)).alias("gate")),
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'incomplete_coverage' END AS gate FROM documents",
-)
+#: A detector whose pattern finds the empty text nearly everywhere: only its digits count.
+_DIGITS = Detector("digits", "digits", "low", "[0-9]*", "")
 _add(
     "empty_matches",
-    # no detector finds the empty text, and an empty match is no finding
-    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.size(detect(F.lit(""), ("", "x"))).cast("long").alias("n")),
-    "SELECT n_nationkey, 0::BIGINT AS n FROM nation",
+    lambda s, d: spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    .select("doc_id", F.explode(matches(F.col("text"), _DIGITS, 0)).alias("m"))
+    .select("doc_id", F.col("m.start").cast("long").alias("start_at"), F.col("m.value").alias("value")),
+    """SELECT doc_id, st::BIGINT AS start_at, v AS value FROM (
+  SELECT doc_id, m[i] AS v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS st
+  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m, string_split_regex(text, '[0-9]+') AS g FROM documents)))""",
 )
 
 
@@ -695,6 +709,36 @@ _add("source_csv", _delimited(","), _DELIMITED_SQL)
 _add("source_tsv", _delimited("\t"), _DELIMITED_SQL)
 
 
+#: Documents as records of a delimited file, most of them damaged in one of several ways by their number.
+_QUOTED = """'"' || replace(coalesce(text, ''), '"', '""') || '"'"""
+_DAMAGED = f"""CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN {_ID} || ',' || {_QUOTED} || ',more' WHEN 1 THEN {_ID}
+ WHEN 2 THEN {_ID} || ',' || {_QUOTED} || 'tail' WHEN 3 THEN {_ID} || ',two "words" here' ELSE {_ID} || ',' || {_QUOTED} END"""
+
+
+def _damaged(s, d):
+    """Documents written as such files and read back; of those that end in 5 the last byte of the text is no UTF-8."""
+    folder = f"{scratch_folder(s)}/source-{uuid.uuid4().hex}"
+    record = F.expr(_DAMAGED)
+    broken = F.concat(F.substring(F.encode(record, "UTF-8"), F.lit(1), F.octet_length(record) - 1), F.unhex(F.lit("FF22")))
+    rows = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    rows.select(F.when(F.col("doc_id") % 6 == 5, broken.cast("string")).otherwise(record).alias("value")).write.text(folder)
+    return readers.read_csv(s, folder, "id", "body", columns=["id", "body"])
+
+
+_add(
+    "source_csv_damaged",
+    lambda s, d: _damaged(s, d).select("source_id", "coverage", F.when(F.col("coverage") == R.COVERAGE, F.col("source_sha256")).alias("source_sha256")),
+    f"SELECT doc_id::VARCHAR AS source_id, CASE WHEN doc_id % 6 = 4 THEN '{R.COVERAGE}' ELSE '{readers.PARTIAL}' END AS coverage, CASE WHEN doc_id % 6 = 4 THEN sha256(coalesce(text, '')) END AS source_sha256 FROM documents",
+)
+_add(
+    "coverage_gate",
+    lambda s, d: _damaged(s, d).select(F.col("source_id").cast("long").alias("doc_id"), G.export_status(F.lit("P1"), F.lit("cloud-approved"), F.col("text"), coverage=F.col("coverage")).alias("gate")),
+    "WITH "
+    + _resolved_ctes("SELECT doc_id AS id, coalesce(text, '') AS t FROM documents", "a", "f", ())
+    + ", b AS (SELECT DISTINCT id FROM f WHERE sev >= 2) SELECT doc_id, CASE WHEN doc_id % 6 <> 4 THEN 'incomplete_coverage' WHEN b.id IS NOT NULL THEN 'blocked_scan' ELSE 'ok' END AS gate FROM documents LEFT JOIN b ON b.id = doc_id",
+)
+
+
 def _text_files(s, d):
     """Customers' lines written as a few text files, each of which is a document."""
     folder = f"{scratch_folder(s)}/source-{uuid.uuid4().hex}"

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import hmac
 import os
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the stored format.
@@ -56,6 +57,58 @@ def nonces():
     return pandas_udf(draw, "binary").asNondeterministic()
 
 
+class Secret:
+    """A key for what is written between steps: values become blind indexes (HMAC-SHA256), to be joined by, and sealed texts (AES-256-GCM).
+
+    Without a given one it is drawn at random and lasts as long as the object. The key travels in the
+    functions' closures and stands in no plan.
+    """
+
+    def __init__(self, key: bytes | None = None):
+        if key is not None and len(key) < 32:
+            raise ValueError("a secret has 32 bytes or more")
+        self._key = key or os.urandom(32)
+
+    def _derived(self, purpose: str) -> bytes:
+        return hmac.digest(self._key, purpose.encode(), "sha256")
+
+    def key(self, column: str) -> Column:
+        """The sealing key beside every row; the column's values do not matter."""
+        return self._sealing()(F.col(column))
+
+    def protect(self, rows: DataFrame, values: Column, name: str) -> DataFrame:
+        """The rows with an array (blind, bucket, sealed) of an array of texts; ``bucket`` is the start of the value's plain hash, 12 bits."""
+        from pyspark.sql.functions import pandas_udf
+
+        key = self._derived("blind")
+
+        def blind(rows):
+            import pandas as pd
+
+            return pd.Series([None if r is None else [hmac.digest(key, v.encode("utf-8"), "sha256").hex() for v in r] for r in rows], dtype=object)
+
+        rows = rows.withColumn(name, values)
+        rows = rows.withColumns({"_blind": pandas_udf(blind, "array<string>")(F.col(name)), "_seal": self._sealing()(F.col(name))})
+        one = lambda x: F.struct(x["b"].alias("blind"), F.substring(F.sha2(x["v"], 256), 1, 3).alias("bucket"), F.aes_encrypt(x["v"], F.col("_seal"), F.lit("GCM")).alias("sealed"))
+        return rows.withColumn(name, F.transform(F.arrays_zip(F.col(name).alias("v"), F.col("_blind").alias("b")), one)).drop("_blind", "_seal")
+
+    def _sealing(self):
+        from pyspark.sql.functions import pandas_udf
+
+        key = self._derived("seal")
+
+        def give(rows):
+            import pandas as pd
+
+            return pd.Series([key] * len(rows), dtype=object)
+
+        return pandas_udf(give, "binary")
+
+    @staticmethod
+    def unseal(sealed: Column, key: Column) -> Column:
+        return F.decode(F.aes_decrypt(sealed, key, F.lit("GCM")), "UTF-8")
+
+
 def encrypt_maps(entries: DataFrame, passphrase: str) -> DataFrame:
     """(source_id, payload): one sealed map per source of (source_id, token, original, finding_type)."""
     if len(passphrase) < LEAST_PASSPHRASE:

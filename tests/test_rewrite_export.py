@@ -37,9 +37,9 @@ def result(spark, d, choose, terms=()):
 
 
 def test_tokenize_and_last_decision_wins(spark):
-    d = docs(spark, "Contact test.person@example.com for Example Foundry.", "none", None)
-    out = result(spark, d, lambda r: [("delete", None, None, None), ("tokenize", "", None, None)], ("Example Foundry",))
-    assert out["0"]["sanitized_text"] == "Contact 【EMAIL-01】 for 【EXACT-DATA-01】."
+    d = docs(spark, "Ask kim.l@example.net about Harbour Looms first.", "none", None)
+    out = result(spark, d, lambda r: [("delete", None, None, None), ("tokenize", "", None, None)], ("Harbour Looms",))
+    assert out["0"]["sanitized_text"] == "Ask 【EMAIL-01】 about 【EXACT-DATA-01】 first."
     assert (out["0"]["status"], out["0"]["n_tokens"], out["1"]["sanitized_text"], out["2"]["status"]) == ("ok", 2, "none", "no_text")
 
 
@@ -81,8 +81,8 @@ def test_project_ordinals_are_gapless_and_independent_of_partitions(spark):
 def test_rehydrate_and_second_scan_with_dictionary(spark):
     row = spark.createDataFrame([("【A-01】 to 【A-10】", [("【A-01】", "x"), ("【A-10】", "y")])], "t string, e array<struct<token:string,original:string>>")
     assert row.select(W.rehydrate(F.col("t"), F.col("e"))).first()[0] == "x to y"
-    d = docs(spark, "Example Foundry")
-    gates = d.select(*[G.export_status(F.lit("P0"), F.lit("cloud-approved"), F.col("text"), terms=t) for t in ((), ("Foundry",))]).first()
+    d = docs(spark, "Harbour Looms")
+    gates = d.select(*[G.export_status(F.lit("P0"), F.lit("cloud-approved"), F.col("text"), terms=t) for t in ((), ("Looms",))]).first()
     assert tuple(gates) == ("ok", "blocked_scan")
 
 
@@ -166,9 +166,9 @@ DELETE = lambda r: [("delete", None, None, None)]
 
 
 def test_rows_without_an_id_or_with_a_repeated_one_do_not_leave(spark):
-    texts = [(None, "host 10.1.2.3 and Example Foundry"), ("dup", "mail a.b@example.com end"), ("dup", "zzzzz 1.2.3.4 mail c.d@example.com"), ("dup", None), ("one", "mail a.b@example.com end"), (None, None)]
+    texts = [(None, "host 10.1.2.3 and Harbour Looms"), ("dup", "mail a.b@example.com end"), ("dup", "zzzzz 1.2.3.4 mail c.d@example.com"), ("dup", None), ("one", "mail a.b@example.com end"), (None, None)]
     d = spark.createDataFrame(texts, "source_id string, text string").repartition(3)
-    rows = W.sanitize(d, decisions(spark, d, DELETE), ("Example Foundry",)).collect()
+    rows = W.sanitize(d, decisions(spark, d, DELETE), ("Harbour Looms",)).collect()
     got = sorted((r["source_id"] or "", r["status"], r["sanitized_text"] or "", r["n_public"], len(r["public"] or [])) for r in rows)
     assert got == [
         ("", "no_source_id", "", 0, 0),
