@@ -8,13 +8,14 @@ candidates; those whose prefixes under another order do not meet, or whose sizes
 are too far apart, are ruled out, and the rest is verified on full sets.
 
 The counts that order tokens come from all documents: each task counts the tokens of all its
-documents and reports those in a noticeable part of them; the ``OFTEN`` tokens with the largest sums
+documents and reports those that several of them have; the ``OFTEN`` tokens with the largest sums
 are broadcast. Any order gives the same result, so what a count misses costs time, not links.
 
-Prefix tokens are dealt to buckets by hash as packed arrays, and only those that several sets have
-come out as rows. Tokens with a count do not go there, as one bucket would get all their sets; their
-rows are grouped by key with partial aggregates. Which pairs are then compared, and how components
-come of them, is in ``set_links``.
+Prefix tokens are dealt to buckets by hash as packed arrays. In a bucket the sets of a token are cut
+where sizes are too far apart to link, and what is left of several sets comes out as a group; many
+tokens give the same group, and one of each is kept. Tokens with a count do not go there, as one
+bucket would get all their sets; their rows are grouped by key with partial aggregates. Which pairs
+are then compared, and how components come of them, is in ``set_links``.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from .wordhash import mix, shingles
 
 WORDS, THRESHOLD = 5, 0.8
 ORDERS = 3
-#: A task counts so many tokens at a time, and reports those in this part of their documents and in LEAST at least.
-CHUNK, PART, LEAST = 1 << 22, 1 / 2048, 4
-#: How many reported tokens are broadcast, 9 bytes each.
-OFTEN = 1 << 18
+#: A task counts so many tokens at a time, and reports those that LEAST of their sets have.
+CHUNK, LEAST = 1 << 22, 2
+#: How many reported tokens are broadcast, 9 bytes each, if their counts come to MOST_RARE.
+OFTEN, MOST_RARE = 1 << 19, 4
 #: About how many prefix tokens a bucket gets.
 BUCKET = 500_000
 _U = np.uint64
@@ -81,7 +82,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
         def report():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(LEAST, len(held) * PART)
+            often = n >= LEAST
             count = int(often.sum())
             none = pa.nulls(count, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(count, bool)), none, pa.array(n[often].astype(np.int64)), pa.array(tokens[often].view(np.int64)), none], names)
@@ -114,7 +115,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def _often(reports: DataFrame, often: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens with the largest counts, sorted, and their classes."""
-    top = reports.groupBy("m1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "m1").limit(often).toArrow()
+    top = reports.groupBy("m1").agg(F.sum("n").alias("n")).where(F.col("n") >= MOST_RARE).orderBy(F.desc("n"), "m1").limit(often).toArrow()
     tokens, n = top.column("m1").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], np.minimum(np.floor(np.log2(np.maximum(n[order], 2))), 100).astype(np.uint8)
@@ -138,24 +139,27 @@ def _member_prefixes(docs: DataFrame, rows: DataFrame, often, words: int, thresh
     return set_links.member_texts(docs, rows).mapInArrow(run, "id long, n long, cold binary, hot binary, others binary, map binary").dropDuplicates(["id"])
 
 
-def shared_keys(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, id, least id of the key) of the keys that several ids have; of keys with the same ids one stays."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(keys)]]))
-    if not len(begin):
-        return keys, ids, ids
+def groups(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int, np.ndarray]]:
+    """The distinct groups (two names, ids in order) of ids that share a key and may link by their sizes."""
+    if not len(keys):
+        return []
+    order = np.lexsort((ids, sizes, keys))
+    keys, ids, sizes = keys[order], ids[order], sizes[order].astype(np.int64)
+    # sizes rise within a key: nothing links over a step that is too large
+    step = sizes[:-1] * 1_000_000 < round(threshold * 1_000_000) * sizes[1:]
+    begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | step]))
+    count = np.diff(np.concatenate([begin, [len(keys)]]))
     named = ids.astype(np.int64).view(np.uint64)
-    names = np.stack([np.add.reduceat(mix(named ^ _SALT[0]), begin), np.add.reduceat(mix(named ^ _SALT[1]), begin), size.astype(np.uint64)], 1)
-    first = np.zeros(len(begin), bool)
-    first[np.unique(names, axis=0, return_index=True)[1]] = True
-    take = np.repeat(first & (size > 1), size)
-    return keys[take], ids[take], np.repeat(ids[begin], size)[take]
+    names = np.stack([np.add.reduceat(mix(named ^ salt), begin) for salt in _SALT[:2]], 1).view(np.int64)
+    several = np.flatnonzero(count > 1)
+    if not len(several):
+        return []
+    first = several[np.unique(names[several], axis=0, return_index=True)[1]]
+    return [(int(names[k, 0]), int(names[k, 1]), np.sort(ids[begin[k] : begin[k] + count[k]])) for k in first.tolist()]
 
 
-def _cold_keys(members: DataFrame) -> DataFrame:
-    """(key, id, pivot) of the tokens without a count that several members have in their first prefix."""
+def _cold_keys(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, pivot) of the groups of members that share a token without a count in their first prefix."""
     import pyarrow as pa
 
     total = members.agg(F.coalesce(F.sum(F.octet_length("cold")), F.lit(0))).first()[0] // 8
@@ -165,22 +169,26 @@ def _cold_keys(members: DataFrame) -> DataFrame:
         for batch in it:
             for lo in range(0, batch.num_rows, 4000):
                 part = batch.slice(lo, 4000)
-                rows = part.column(1).to_pylist()
+                rows = part.column(2).to_pylist()
                 keys = np.frombuffer(b"".join(rows), np.uint64)
-                ids = np.repeat(part.column(0).to_numpy(), [len(r) // 8 for r in rows])
+                ids, sizes = (np.repeat(part.column(k).to_numpy(), [len(r) // 8 for r in rows]) for k in (0, 1))
                 bucket = (mix(keys) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(edge[1:] > edge[:-1])
                 cut = [order[edge[b] : edge[b + 1]] for b in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([keys[c].tobytes() for c in cut], pa.binary()), pa.array([ids[c].tobytes() for c in cut], pa.binary())], ["bucket", "keys", "ids"])
+                columns = [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (keys, ids, sizes.astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(used), *columns], ["bucket", "keys", "ids", "sizes"])
 
     def meet(group):
-        keys, ids = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("ids", np.int64)))
-        k, i, p = shared_keys(keys, ids)
-        return pa.table({"key": k.view(np.int64), "id": i, "pivot": p})
+        keys, ids, sizes = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("ids", np.int64), ("sizes", "<u4")))
+        got = groups(keys, ids, sizes, threshold)
+        return pa.table({"key": pa.array([g[0] for g in got], pa.int64()), "also": pa.array([g[1] for g in got], pa.int64()), "ids": pa.array([g[2] for g in got], pa.list_(pa.int64()))})
 
-    return members.select("id", "cold").mapInArrow(deal, "bucket long, keys binary, ids binary").groupBy("bucket").applyInArrow(meet, "key long, id long, pivot long")
+    dealt = members.select("id", "n", "cold").mapInArrow(deal, "bucket long, keys binary, ids binary, sizes binary")
+    # one group under both names, so a key has one pivot
+    distinct = dealt.groupBy("bucket").applyInArrow(meet, "key long, also long, ids array<long>").groupBy("key", "also").agg(F.first("ids").alias("ids"))
+    return distinct.select(F.xxhash64("key", "also", F.get("ids", F.lit(0))).alias("key"), F.explode("ids").alias("id"), F.get("ids", F.lit(0)).alias("pivot"))
 
 
 def _hot_keys(members: DataFrame) -> DataFrame:
@@ -264,7 +272,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
         sure = set_links.verified(guess.where("open"), docs, sets.rows, words, threshold)
         return guess.where("not open").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked")).unionByName(sure)
 
-    rows = settle(_cold_keys(members).unionByName(_hot_keys(members)))
+    rows = settle(_cold_keys(members, threshold).unionByName(_hot_keys(members)))
     comps = set_links.find_components(rows, test, lambda r: _with_maps(r, members), lambda x, y: set_links.sizes_and_maps(x, y, threshold), threshold, sets.links)
     return set_links.documents(sketches, sets, comps)
 

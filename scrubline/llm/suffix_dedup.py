@@ -394,15 +394,16 @@ def intervals(lcp: list[int], least: int):
             stack.append((depth, begin))
 
 
-def maximal_repeats(right: np.ndarray, left: np.ndarray, window: int):
+def maximal_repeats(right: np.ndarray, left: np.ndarray, window: int, least: int = 1):
     """Maximal repeats through the anchor of some suffixes that share it.
 
     right: bytes from the anchor on; left: bytes before it, nearest first; values differ where a
     text ends. Yields (members, left length, right length) of every group whose members share that
-    much on both sides, differ beyond on both, and share ``window`` or more together.
+    much on both sides, differ beyond on both, and share ``window`` or more together, ``least`` or more
+    to the right.
     """
     order = np.lexsort(right.T[::-1])
-    for depth, i, j in intervals(common_prefixes(right[order]).tolist(), max(1, window - left.shape[1])):
+    for depth, i, j in intervals(common_prefixes(right[order]).tolist(), max(least, window - left.shape[1])):
         members = order[i:j]
         by_left = members[np.lexsort(left[members].T[::-1])]
         shared = common_prefixes(left[by_left])
@@ -491,81 +492,125 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_l
     return spans.unionByName(settle(_hot_spans(keyed, asked(2), window, gram)))
 
 
-_GROUP = "group string, length int, doc_id long, start long, cut boolean"
+_OPEN = "group string, length long, doc_id long, start long, row long, place long"
 
 
-def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, context: int = 4 * WINDOW) -> DataFrame:
-    """(group, length, doc_id, start, cut): the maximal repeats of ``window`` bytes or more, one row per place.
-
-    A repeat is a string of bytes with two places or more, in one document or several, that differ
-    both before and after it; group is its MD5. Strings are followed up to ``context`` bytes to either
-    side of an anchor: a longer repeat is given in several overlapping parts, marked ``cut``. Null texts count as empty, a null id stays null; rows
-    with one id and text are places of their own; an empty table gives no rows.
-
-    Every suffix of an interval goes to one worker here, with its surroundings: meant for corpora
-    without strings that very many documents share, such as samples or what dedup has left.
-    """
+def _places(window: int, gram: int, right: int, buckets: int, asked: bool):
+    """Anchors of texts (all, or the places asked for) with what stands before and after them."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    ship(spark)
-    buckets = BUCKETS_PER_PARTITION * partitions(spark)
-    size = 2 * context
+    reach = window - gram + 1
+    size = reach + right
 
-    def send(it):
+    def run(it):
         for batch in it:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = (text or "").encode("utf-8")
-                _, place, g, _ = long_anchors(raw, window, gram)
-                held = np.frombuffer(b"\0" * context + raw + b"\0" * context, np.uint8)
-                for lo in range(0, len(place), 10_000):
-                    p, h = place[lo : lo + 10_000], g[lo : lo + 10_000]
+            columns = [c.to_pylist() for c in batch.columns]
+            for k, (row, doc_id, text) in enumerate(zip(*columns[:3])):
+                raw = text.encode("utf-8")
+                held = np.frombuffer(b"\0" * reach + raw + b"\0" * right, np.uint8)
+                if asked:
+                    place = np.array(columns[3][k], np.int64)
+                    sums = prefix_sums(np.frombuffer(raw, np.uint8))
+                    g = mix((sums[place + gram] - sums[place]) * powers(len(raw) + 1)[1][place])
+                else:
+                    _, place, g, _ = long_anchors(raw, window, gram)
+                step = max(1, 4_000_000 // size)
+                for lo in range(0, len(place), step):
+                    p, h = place[lo : lo + step], g[lo : lo + step]
                     rows = np.lib.stride_tricks.sliding_window_view(held, size)[p]
-                    low, high = np.maximum(context - p, 0), np.minimum(len(raw) - p + context, size)
-                    columns = [(mix(h) % np.uint64(buckets)).astype(np.int32), h.astype(np.int64)]
+                    low, high = np.maximum(reach - p, 0), np.minimum(len(raw) - p + reach, size)
+                    columns_out = [(mix(h) % np.uint64(buckets)).astype(np.int32), h.astype(np.int64), np.full(len(p), row, np.int64)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in columns]
+                        [pa.array(x) for x in columns_out]
                         + [pa.array([doc_id] * len(p), pa.int64()), pa.array(p.astype(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())],
-                        ["bucket", "g", "doc_id", "place", "low", "high", "around"],
+                        ["bucket", "g", "row", "doc_id", "place", "low", "high", "around"],
                     )
 
-    def scan(t):
+    return run
+
+
+def _scanned(window: int, gram: int, right: int, before: int):
+    """Maximal repeats that share ``before`` or more and less than ``right`` bytes from their anchor on, and places (row not null) of those that share more."""
+    import pyarrow as pa
+
+    reach = window - gram + 1
+    size = reach + right
+    names, types = [x.split()[0] for x in _OPEN.split(", ")], [pa.string(), *[pa.int64()] * 5]
+
+    def run(t):
         t = t.combine_chunks()
         ids = t.column("doc_id").to_pylist()
-        g, place, low, high = (t.column(c).to_numpy() for c in ("g", "place", "low", "high"))
-        around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, size).astype(np.int32)
-        raw = around.astype(np.uint8)
-        spot = np.arange(size)[None, :]
-        outside = (spot < low[:, None]) | (spot >= high[:, None])
-        # beyond the ends of its text every member differs from all others
-        around[outside] = (256 + np.arange(len(g))[:, None] + np.zeros((1, size), np.int64))[outside]
+        g, row, place, low, high = (t.column(c).to_numpy() for c in ("g", "row", "place", "low", "high"))
+        raw = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, size)
         order = np.argsort(g, kind="stable")
         rows = []
         for members in np.split(order, np.flatnonzero(_runs(g[order]))[1:]) if len(order) else []:
             if len(members) < 2:
                 continue
-            right, left = around[members][:, context:], around[members][:, :context][:, ::-1]
-            seen = set()
-            for found, lo, hi in maximal_repeats(right, left, window):
-                # the group's own extent, on both sides, must be the one of its node
-                a, b = (int(np.where((x[found] != x[found[0]]).any(0), True, False).argmax()) if (x[found] != x[found[0]]).any() else context for x in (left, right))
+            around = raw[members].astype(np.int32)
+            spot = np.arange(size)[None, :]
+            outside = (spot < low[members][:, None]) | (spot >= high[members][:, None])
+            # beyond the ends of its text every member differs from all others
+            around[outside] = (256 + np.arange(len(members))[:, None] + np.zeros((1, size), np.int64))[outside]
+            after, back = around[:, reach:], around[:, :reach][:, ::-1]
+            seen, still = set(), set()
+            for found, lo, hi in maximal_repeats(after, back, window, max(1, before)):
+                # a repeat has several anchors: the one of its first window, no further in than that, speaks for it
+                if lo >= reach:
+                    continue
+                a, b = (int((x[found] != x[found[0]]).any(0).argmax()) if (x[found] != x[found[0]]).any() else x.shape[1] for x in (back, after))
                 key = (lo, hi, tuple(sorted(found.tolist())))
+                # the group's own extent, on both sides, must be the one of its node
                 if (a, b) != (lo, hi) or key in seen:
                     continue
                 seen.add(key)
-                one = raw[members[found[0]], context - lo : context + hi]
-                # a repeat has several anchors: the one of its first window speaks for it
+                one = raw[members[found[0]], reach - lo : reach + hi]
                 sums = prefix_sums(one[:window])
                 hashes = mix((sums[gram:] - sums[:-gram]) * powers(window + 1)[1][: window + 1 - gram])
                 if int(hashes.argmin()) != lo:
                     continue
+                if hi == right:
+                    still.update(found.tolist())
+                    continue
                 name = hashlib.md5(one.tobytes()).hexdigest()
-                cut = lo == context or hi == context
-                rows += [(name, lo + hi, ids[m], int(place[m]) - lo, cut) for m in members[found].tolist()]
-        return _out(rows, [x.split()[0] for x in _GROUP.split(", ")], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()])
+                rows += [(name, lo + hi, ids[m], int(place[m]) - lo, None, None) for m in members[found].tolist()]
+            rows += [(None, None, None, None, int(row[m]), int(place[m])) for m in members[sorted(still)].tolist()]
+        return _out(rows, names, types)
+
+    return run
+
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(send, "bucket int, g long, doc_id long, place long, low int, high int, around binary").groupBy("bucket").applyInArrow(scan, _GROUP)
+def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, context: int = 4 * WINDOW) -> DataFrame:
+    """(group, length, doc_id, start, cut): the maximal repeats of ``window`` bytes or more, one row per place.
+
+    A repeat is a string of bytes with two places or more, in one document or several, that differ
+    both before and after it; group is its MD5. Repeats of any length come whole, so ``cut`` is false: the first round
+    follows strings for ``context`` bytes, and each further one those that are longer, four times as
+    far, until none is. Only the places where such a repeat begins go on, so a long repeat costs one
+    row a place and round. Null texts count as empty, a null id stays null; rows with one id and text
+    are places of their own; an empty table gives no rows; other columns are ignored.
+
+    Every suffix of an interval goes to one worker here, with its surroundings: meant for corpora
+    without strings that very many documents share, such as samples or what dedup has left. In a text
+    of one short period nearly every place begins a repeat of its own, so rows grow with the square of
+    its length.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    buckets = BUCKETS_PER_PARTITION * partitions(spark)
+    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    sent = "bucket int, g long, row long, doc_id long, place long, low int, high int, around binary"
+    rows, before, right, done = texts.select("row", "doc_id", "text"), 0, max(context, window), None
+    while True:
+        places = rows.mapInArrow(_places(window, gram, right, buckets, before > 0), sent)
+        got = settle(places.groupBy("bucket").applyInArrow(_scanned(window, gram, right, before), _OPEN))
+        closed = got.where("row is null").select("group", "length", "doc_id", "start")
+        done = closed if done is None else done.unionByName(closed)
+        longer = got.where("row is not null")
+        if longer.isEmpty():
+            return done.select("group", F.col("length").cast("int").alias("length"), "doc_id", "start", F.lit(False).alias("cut"))
+        asked = longer.groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("asked"))
+        rows, before, right = texts.join(asked, "row").select("row", "doc_id", "text", "asked"), right, 4 * right
 
 
 def union_ranges(bodies: list[bytes] | None, size: int) -> list[tuple[int, int]]:

@@ -116,12 +116,13 @@ def test_prefixes_meet_under_every_order():
             assert all(len(np.intersect1d(p, q)) for p, q in zip(x, y))
 
 
-def test_shared_keys():
-    keys = np.array([5, 5, 6, 7, 7, 8, 8, 8], np.uint64)
-    ids = np.array([2, 1, 9, 1, 2, 3, 1, 2])
-    k, i, p = ngram_join.shared_keys(keys, ids)
-    assert sorted(zip(i.tolist(), p.tolist())) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1)] and len(set(k.tolist())) == 2
-    assert not len(ngram_join.shared_keys(np.empty(0, np.uint64), np.empty(0, np.int64))[0])
+def test_groups():
+    keys = np.array([5, 5, 6, 7, 7, 8, 8, 8, 9, 9], np.uint64)
+    ids = np.array([2, 1, 9, 1, 2, 3, 1, 2, 1, 4])
+    sizes = np.array([{1: 10, 2: 9, 3: 8, 4: 7, 9: 10}[i] for i in ids])
+    got = ngram_join.groups(keys, ids, sizes, 0.8)
+    assert sorted(g[2].tolist() for g in got) == [[1, 2], [1, 2, 3]]
+    assert ngram_join.groups(keys[:0], ids[:0], sizes[:0], 0.8) == []
 
 
 def test_reaches_is_exact():
