@@ -5,10 +5,11 @@ with a presentation time stamp, a clock reference and a random-access mark) cut
 transport packets; the program tables are repeated every ``TABLES_EVERY`` PES.
 
 ``demux`` reads transport streams, its own or others': it assembles table sections over any number
-of packets, takes every valid version of them, checks the continuity counters (a duplicate packet
-and a packet without payload are legal), reassembles the elementary packets of every stream of
-every program by itself, marks those that lost packets, and gives time stamps, clock references and
-random-access points.
+of packets, takes every valid version of them (a map counts while the association table names its
+PID), checks the continuity counters (a packet without payload is legal, and so is a duplicate, which
+counts once), reassembles the elementary packets of every stream of every program by itself, marks
+those that lost packets or are scrambled, and gives time stamps, clock references and random-access
+points.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from .common import ship, table
 PACKET, SYNC, STUFF = 188, 0x47, 0xFF
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x0100, 0x0101, 1
 PRIVATE_STREAM, STREAM_TYPE = 0xBD, 0x06
+NULL_PID, PADDING_STREAM = 0x1FFF, 0xBE
+#: Stream ids whose packets have no flags and time stamps: map, padding, private 2, ECM, EMM, DSM-CC, type E, directory.
+HEADLESS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
 CLOCK = 90_000
 #: The payload unit: payloads are padded to a positive multiple of it.
 UNIT = 576
@@ -131,8 +135,9 @@ class Unit:
     pid: int
     pts: int | None
     dts: int | None
-    complete: bool  # no packet of it was lost, and it is as long as it says
+    complete: bool  # no packet of it was lost or scrambled, and it is as long as it says
     data: bytes
+    scrambled: bool = False  # some of its packets are
 
 
 @dataclass
@@ -145,8 +150,8 @@ class Stream:
     packets: int
     continuity_errors: int
     bad_sections: int
-    programs: dict[int, int]  # program number -> PID of its map
-    streams: dict[int, int]  # PID -> stream type
+    programs: dict[int, int]  # program number -> PID of its last map
+    streams: dict[int, int]  # PID -> stream type, of all maps
 
     @property
     def payloads(self) -> dict[int, bytes]:
@@ -186,10 +191,10 @@ def _follow(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return carries[~same], lost[~same]
 
 
-def _sections(mine: np.ndarray) -> tuple[list[bytes], int]:
-    """The sections with a right checksum of the packets of one PID, and how many had a wrong one."""
+def _sections(mine: np.ndarray) -> tuple[list[tuple[int, bytes]], int]:
+    """(packet of the PID that ends it, section) of those with a right checksum, and how many had a wrong one."""
     found, bad, held = [], 0, b""
-    started = False
+    started, at = False, 0
 
     def take() -> None:
         nonlocal held, bad
@@ -198,14 +203,14 @@ def _sections(mine: np.ndarray) -> tuple[list[bytes], int]:
             if len(held) < size:
                 return
             if size >= 12 and not section_crc(held[:size]):
-                found.append(held[:size])
+                found.append((at, held[:size]))
             else:
                 bad += 1
             held = held[size:]
 
     rows, lost = _follow(mine)
     for k, gap in zip(rows.tolist(), lost.tolist()):
-        packet = mine[k]
+        packet, at = mine[k], k
         body = packet[_payload_start(packet) :].tobytes()
         if gap:
             held, started = b"", False
@@ -236,31 +241,45 @@ def demux(data: bytes) -> Stream:
     numbers = np.flatnonzero((grid[:, 1] & 0x80) == 0)  # packets that are marked as damaged are lost
     grid = grid[numbers]
     pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    programs: dict[int, int] = {}
+    assigned: dict[int, list[tuple[int, int]]] = {}  # program -> (packet from which on, PID of its map)
     streams: dict[int, int] = {}
-    tables, bad = _sections(grid[pid == PAT_PID])
-    for s in tables:
+    rows = np.flatnonzero(pid == PAT_PID)
+    tables, bad = _sections(grid[rows])
+    for k, s in tables:
         if s[0] == 0x00 and s[5] & 1:
             for i in range(8, len(s) - 4, 4):
                 if number := s[i] << 8 | s[i + 1]:
-                    programs[number] = (s[i + 2] & 0x1F) << 8 | s[i + 3]
-    if not programs:
+                    assigned.setdefault(number, []).append((int(rows[k]), (s[i + 2] & 0x1F) << 8 | s[i + 3]))
+    if not assigned:
         raise ValueError("no program association table with a right checksum")
-    for map_pid in sorted(set(programs.values())):
-        tables, wrong = _sections(grid[pid == map_pid])
+
+    def maps(number: int, packet: int) -> int | None:
+        """The PID of a program's map at a packet; before the first table it is that of the first."""
+        have = assigned.get(number, [])
+        return next((p for since, p in reversed(have) if since <= packet), have[0][1] if have else None)
+
+    for map_pid in sorted({p for have in assigned.values() for _, p in have}):
+        rows = np.flatnonzero(pid == map_pid)
+        tables, wrong = _sections(grid[rows])
         bad += wrong
-        for s in tables:
-            if s[0] == 0x02 and s[5] & 1 and programs.get(s[3] << 8 | s[4]) == map_pid:
+        for k, s in tables:
+            if s[0] == 0x02 and s[5] & 1 and maps(s[3] << 8 | s[4], int(rows[k])) == map_pid:
                 i = 12 + ((s[10] & 0x0F) << 8 | s[11])
                 while i + 5 <= len(s) - 4:
                     streams[(s[i + 1] & 0x1F) << 8 | s[i + 2]] = s[i]
                     i += 5 + ((s[i + 3] & 0x0F) << 8 | s[i + 4])
+    programs = {number: have[-1][1] for number, have in assigned.items()}
+    again = np.zeros(len(grid), bool)  # packets that were sent before
+    for own in np.unique(pid[pid != NULL_PID]).tolist():
+        rows = np.flatnonzero(pid == own)
+        carries = rows[(grid[rows, 3] & 0x10) != 0]
+        again[np.setdiff1d(carries, rows[_follow(grid[rows])[0]], assume_unique=True)] = True
     units: list[Unit] = []
     clock: list[tuple[int, int]] = []
     access: list[int] = []
     errors = 0
     fields = np.flatnonzero(((grid[:, 3] & 0x20) != 0) & (grid[:, 4] > 0))
-    for k in fields[(grid[fields, 5] & 0x10) != 0].tolist():
+    for k in fields[((grid[fields, 5] & 0x10) != 0) & ~again[fields]].tolist():
         raw = int.from_bytes(grid[k, 6:12].tobytes(), "big")
         clock.append((int(numbers[k]), (raw >> 15) * 300 + (raw & 0x1FF)))
     for stream_pid in sorted(streams):
@@ -269,7 +288,7 @@ def demux(data: bytes) -> Stream:
             continue
         mine = grid[rows]
         flags = np.where(((mine[:, 3] & 0x20) != 0) & (mine[:, 4] > 0), mine[:, 5], 0)
-        access.extend(numbers[rows[(flags & 0x40) != 0]].tolist())
+        access.extend(numbers[rows[((flags & 0x40) != 0) & ~again[rows]]].tolist())
         used, lost = _follow(mine)
         errors += int(lost.sum())
         mine = mine[used]
@@ -278,22 +297,30 @@ def demux(data: bytes) -> Stream:
         ends = np.cumsum(PACKET - begin)
         heads = np.flatnonzero((mine[:, 1] & 0x40) != 0)  # what comes before the first start belongs to no whole packet
         losses = np.cumsum(lost)
+        scrambled = (mine[:, 3] & 0xC0) != 0
         for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(mine)]):
             pes = body[ends[lo - 1] if lo else 0 : ends[hi - 1]]
             # a loss at the next start may have been the end of this packet, unless its length says otherwise
             whole = losses[hi - 1] == losses[lo]
-            if len(pes) < 9 or pes[:3].tobytes() != b"\0\0\1":
-                units.append(Unit(stream_pid, None, None, False, b""))
+            hidden = bool(scrambled[lo:hi].any())
+            bare = len(pes) >= 6 and int(pes[3]) in HEADLESS
+            if scrambled[lo] or len(pes) < (6 if bare else 9) or pes[:3].tobytes() != b"\0\0\1":
+                units.append(Unit(stream_pid, None, None, False, b"", hidden))
                 continue
             size = int(pes[4]) << 8 | int(pes[5])
             if size:
                 whole = whole and len(pes) >= 6 + size
             elif hi < len(mine):
                 whole = whole and not lost[hi]
+            end = 6 + size if size else len(pes)
+            if bare:  # no flags, no time stamps: data follows the length
+                data = b"" if pes[3] == PADDING_STREAM else pes[6:end].tobytes()
+                units.append(Unit(stream_pid, None, None, bool(whole) and not hidden, data, hidden))
+                continue
             stamps = pes[7] >> 6
             pts = _time(pes[9:14]) if stamps & 2 and len(pes) >= 14 else None
             dts = _time(pes[14:19]) if stamps == 3 and len(pes) >= 19 else None
-            units.append(Unit(stream_pid, pts, dts, bool(whole), pes[9 + int(pes[8]) : 6 + size if size else len(pes)].tobytes()))
+            units.append(Unit(stream_pid, pts, dts, bool(whole) and not hidden, pes[9 + int(pes[8]) : end].tobytes(), hidden))
     return Stream(units, clock, sorted(access), total, errors, bad, programs, streams)
 
 
