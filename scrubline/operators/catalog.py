@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,16 +38,23 @@ class Detector:
     kind: str
     severity: str
     pattern: str
-    #: A literal that every match holds, or None where the pattern itself is the cheap test.
+    #: A literal that every match holds, or None.
     literal: str | None = None
-    #: A short pattern that every match holds, asked where a common literal is found.
+    #: A short pattern that every match holds, asked where a common literal is found, or alone.
     probe: str | None = None
+    #: Lower-case words of which every match holds one, in letters of either case.
+    words: tuple[str, ...] = ()
 
     def may_match(self, text: Column) -> Column:
-        if self.literal is None:
-            return text.rlike(self.pattern)
-        held = F.contains(text, F.lit(self.literal))
-        return held & text.rlike(self.probe) if self.probe else held
+        """A test that is true for every text with a match, and much cheaper than the pattern."""
+        asked = [F.contains(text, F.lit(self.literal))] if self.literal is not None else []
+        if self.words:
+            low = F.lower(text)
+            held = [F.contains(low, F.lit(w)) for w in self.words]
+            asked.append(reduce(Column.__or__, held))
+        if self.probe or not asked:
+            asked.append(text.rlike(self.probe or self.pattern))
+        return reduce(Column.__and__, asked)
 
 
 #: The built-in detectors in their order.
@@ -59,11 +67,12 @@ DETECTORS = (
         "credential",
         "critical",
         f"{_BEFORE}(?i:password|passwd|api[_-]?key|access[_-]?token|client[_-]?secret)[{SPACES}]*[:=][{SPACES}]*[\"']?[^{SPACES}\"']{{8,}}",
+        words=("password", "passwd", *(f"{a}{c}{b}" for a, b in (("api", "key"), ("access", "token"), ("client", "secret")) for c in ("", "_", "-"))),
     ),
     Detector("email", "email", "high", rf"{_EITHER}(?i:[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}){_AFTER}", "@"),
     Detector("taiwan-mobile", "phone", "high", "(?<![0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}(?![0-9])", "09"),
-    Detector("taiwan-id", "taiwan-id", "high", f"{_BEFORE}[A-Z][12][0-9]{{8}}{_AFTER}"),
-    Detector("ipv4", "ip-address", "medium", rf"{_BEFORE}{_OCTET}(?:\.{_OCTET}){{3}}{_AFTER}"),
+    Detector("taiwan-id", "taiwan-id", "high", f"{_BEFORE}[A-Z][12][0-9]{{8}}{_AFTER}", probe="[12][0-9]{8}"),
+    Detector("ipv4", "ip-address", "medium", rf"{_BEFORE}{_OCTET}(?:\.{_OCTET}){{3}}{_AFTER}", probe=r"[0-9]\.[0-9]"),
 )
 
 

@@ -139,3 +139,15 @@ def test_a_dictionary_of_many_thousand_terms(spark):
     texts = ["nothing", "to customer 77 and customer 19999 漢字", None, ""]
     got = run(spark, texts, terms)
     assert [[f["value"] for f in g] for g in got if g is not None] == [[], ["customer 77", "customer 19999", "漢字"], []] and got[2] is None
+
+
+def test_cheap_tests_hold_of_every_match(spark):
+    """The guards are true wherever the patterns match, in letters of either case."""
+    from scrubline.operators.catalog import DETECTORS
+
+    texts = ["PASSWORD: abcdefgh", "Api-Key=abcdefgh1", "apikey = 'abcdefgh1", "API_KEY:abcdefgh", "Access-Token : abcdefgh", "accesstoken=abcdefgh", "CLIENT_SECRET=abcdefgh", "client-secret:abcdefgh", "passWD=abcdefgh", "A123456789", "x 1.2.3.4 y", "漢 Client_Secret：=abcdefgh", "İ Access_token=abcdefgh"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for d in DETECTORS:
+        got = rows.select(F.col("t").rlike(d.pattern).alias("m"), d.may_match(F.col("t")).alias("g"))
+        assert got.where("m and not g").count() == 0
+    assert rows.where(DETECTORS[3].may_match(F.col("t"))).count() >= 11
