@@ -23,6 +23,7 @@ from scrubline.operators.registry import Registry
 from scrubline.sources import archive, lint, readers, vault
 from scrubline.sources.readers import spread
 from scrubline.sources.scratch import scratch_folder, settle
+from scrubline.streaming.decisions import review_stream
 from scrubline.streaming.sanitize import sanitize_stream
 
 TERMS = ("Harbour Looms", "risk sk-a", "ba", "aa")
@@ -640,6 +641,24 @@ _add(
     lambda s, d: sanitize_stream(augmented(s, d)).select("source_id", F.size("findings").cast("long").alias("n_findings"), "sanitized_text", "cleared"),
     _POLICY_SQL + " SELECT source_id, n_findings, sanitized_text, coalesce(n, 0) = 0 AS cleared FROM x LEFT JOIN b ON b.id = source_id",
 )
+def _decision_stream(s, d):
+    """Documents and decisions written as files, read as streams, and of every source that was emitted the last row."""
+    folder = f"{scratch_folder(s)}/stream-{uuid.uuid4().hex}"
+    key = F.col("source_id").cast("string").alias("source_id")
+    sides = {"docs": augmented(s, d).select(key, "text"), "decisions": decisions(found(s, d)).select(key, "finding_id", "seq", "action", "token_label", "replacement", "reason")}
+    for name, rows in sides.items():
+        rows.write.parquet(f"{folder}/{name}")
+    streams = [s.readStream.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in sides.items()]
+
+    def keep(rows, batch):
+        rows.select("source_id", "version", "status", "sanitized_text").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = review_stream(*streams, terms=TERMS).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.parquet(f"{folder}/out").groupBy("source_id").agg(F.max_by(F.struct("status", "sanitized_text"), "version").alias("x")).select("source_id", "x.*")
+
+
+_add("decision_stream", _decision_stream, _DECIDED + " SELECT source_id::VARCHAR AS source_id, status, sanitized_text FROM x WHERE status = 'ok'")
 #: Files made from pages: some with an ending that is looked at, some of which hold what is forbidden.
 _FILE = f"""'src/p' || CAST(page_id AS STRING) || CASE CAST(page_id % 5 AS INT) WHEN 0 THEN '.ts' WHEN 1 THEN '.mjs' WHEN 2 THEN '.js' WHEN 3 THEN '.md' ELSE '.tsx' END"""
 _CODE = """coalesce(html, '') || CASE CAST(page_id % 7 AS INT) WHEN 0 THEN ' await fetch (u)' WHEN 1 THEN ' http' || '://a.b' WHEN 2 THEN ' import x from "node:net"' WHEN 3 THEN ' Sentry.init() fetch(' WHEN 4 THEN ' prefetch(u) fromx "net" analyticss' ELSE '' END"""
