@@ -269,16 +269,18 @@ def demux(data: bytes) -> Stream:
                     streams[(s[i + 1] & 0x1F) << 8 | s[i + 2]] = s[i]
                     i += 5 + ((s[i + 3] & 0x0F) << 8 | s[i + 4])
     programs = {number: have[-1][1] for number, have in assigned.items()}
-    again = np.zeros(len(grid), bool)  # packets that were sent before
-    for own in np.unique(pid[pid != NULL_PID]).tolist():
+    fields = np.flatnonzero(((grid[:, 3] & 0x20) != 0) & (grid[:, 4] > 0) & ((grid[:, 5] & 0x50) != 0))
+    again = np.zeros(len(grid), bool)  # packets with a clock reference or a random-access mark that were sent before
+    for own in np.unique(pid[fields]).tolist():
         rows = np.flatnonzero(pid == own)
         carries = rows[(grid[rows, 3] & 0x10) != 0]
-        again[np.setdiff1d(carries, rows[_follow(grid[rows])[0]], assume_unique=True)] = True
+        counter = grid[carries, 3] & 0x0F
+        if own != NULL_PID and (counter[1:] == counter[:-1]).any():
+            again[np.setdiff1d(carries, rows[_follow(grid[rows])[0]], assume_unique=True)] = True
     units: list[Unit] = []
     clock: list[tuple[int, int]] = []
     access: list[int] = []
     errors = 0
-    fields = np.flatnonzero(((grid[:, 3] & 0x20) != 0) & (grid[:, 4] > 0))
     for k in fields[((grid[fields, 5] & 0x10) != 0) & ~again[fields]].tolist():
         raw = int.from_bytes(grid[k, 6:12].tobytes(), "big")
         clock.append((int(numbers[k]), (raw >> 15) * 300 + (raw & 0x1FF)))
