@@ -5,8 +5,10 @@ sublinear term frequency, inverse document frequencies counted over all training
 unit length. Weights are trained by follow-the-regularised-leader with elastic-net penalties (so
 most are exactly zero), and the scores are calibrated by one temperature on documents kept aside.
 
-Fitting takes a bounded sample of the training documents (``SAMPLE`` in expectation, chosen by a
-hash of the id); document frequencies and predictions take every document and whole texts.
+Fitting takes a bounded sample of the training documents, chosen by a hash of the id: ``SAMPLE`` in
+expectation, of which a language has its share, or ``LEAST`` if that is more (or all it has), so that
+rare ones are learned on a corpus of any size. The ``LANGUAGES`` most frequent languages are learned.
+Document frequencies and predictions take every document and whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import ship, table
 
 BITS = 15
 N_FEATURES = 1 << BITS
-SAMPLE = 4000
+SAMPLE, LEAST, LANGUAGES = 4000, 100, 500
 UNDETERMINED = "und"
 _MASK = np.uint32(N_FEATURES - 1)
 _LETTER: list[np.ndarray] = []
@@ -155,8 +157,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blob, pa.binary()), batch.column(2)], ["doc_id", "x", "lang"])
 
     part = min(1.0, sample / max(1, n))
-    chosen = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("language")), F.lit(1 << 30)) < int(part * (1 << 30))
-    got = rows.where(chosen).mapInArrow(features, "doc_id long, x binary, lang string").collect()  # about `sample` rows
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    limits = [F.lit(x) for r in found for x in (r["lang"], int(min(1.0, max(part, LEAST / r["count"])) * (1 << 30)))]
+    if not limits:
+        return Model([], idf, np.zeros((N_FEATURES, 0)), np.zeros(0), 1.0)
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("language")), F.lit(1 << 30))
+    chosen = F.coalesce(place < F.create_map(*limits)[F.col("lang")], F.lit(False))
+    got = rows.where(chosen).mapInArrow(features, "doc_id long, x binary, lang string").collect()  # about `sample` rows, and LEAST of each rare language
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))
     languages = sorted({r["lang"] for r in got})
     number = {lang: i for i, lang in enumerate(languages)}
@@ -182,7 +189,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
     Null text, and text without a letter, gives ``und`` and score 0; so does every row if nothing
-    could be learned. A null id is not held out. Repeated rows give repeated rows.
+    could be learned. A null id is not held out. Repeated rows give repeated rows, and texts of any
+    length are read whole. Of languages with equal scores the first in the alphabet is given. An empty
+    table gives none; other columns are ignored, whatever their names.
     """
     import pyarrow as pa
 

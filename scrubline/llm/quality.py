@@ -175,7 +175,9 @@ def score(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score, predicted of every document.
 
     Null and empty texts are scored as texts with all statistics zero. A null id is not held out.
-    Repeated rows give repeated rows; an empty table gives none.
+    Repeated rows give repeated rows and equal texts equal scores; texts of any length are read whole;
+    a score of exactly the threshold is predicted 1. An empty table gives none; other columns are
+    ignored, whatever their names.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return _scored(slim, trees, "score").select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
