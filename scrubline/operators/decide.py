@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
+from scrubline.functions.folds import cut, let, lookup
 
 from .catalog import ACTIONS, FORCED_DELETE
 from .detect import detect, may_hold
@@ -111,9 +112,9 @@ def with_verdicts(docs: DataFrame, verdicts: DataFrame, terms: list[str] | tuple
         asked = F.col("source_id").isNotNull() & (F.coalesce("taken", F.lit(False)) | may_hold(F.col("text"), terms))
         met = marked.where(asked).drop("taken").join(verdicts, "source_id", "left")
         met = met.unionByName(marked.where(~asked).drop("taken"), allowMissingColumns=True)
-    field = lambda x, c: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) if c == "value" else x[c]
+    field = lambda x, c, part: part(x["start"], x["end"]) if c == "value" else x[c]
     kind = dict(verdicts.dtypes)["judged"]
-    whole = F.transform(F.coalesce("judged", F.array().cast(kind)), lambda x: F.struct(*[field(x, c).alias(c) for c in [*SLIM, "value", *FIELDS, "error"]]))
+    whole = cut(F.col("text"), F.coalesce("judged", F.array().cast(kind)), lambda x, i, part: F.struct(*[field(x, c, part).alias(c) for c in [*SLIM, "value", *FIELDS, "error"]]))
     changed = F.coalesce(F.col("mark") != F.xxhash64("text"), F.lit(False))
     met = met.withColumns({"repeated": F.coalesce("repeated", F.lit(False)), "n_open": F.coalesce("n_open", F.lit(0))})
     met = met.withColumn("status", _status(met.columns, F.when(changed, "text_changed")))
@@ -153,13 +154,18 @@ def review(rows: DataFrame, terms: list[str] | tuple[str, ...] = (), choose: Cal
     stream. The status is the first that holds: no_source_id (``source_id`` is a column and null),
     duplicate_source (``repeated`` is a column and true), no_text, error, unresolved, ok.
     """
-    if choose is None:
-        choose = lambda finding: F.col("decisions")[finding["finding_id"]]
     if "found" not in rows.columns:
         rows = rows.withColumn("found", detect(F.col("text"), terms))
     fields = rows.schema["found"].dataType.elementType.names
+    meet = lambda decide: F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in fields], decide(f).alias("d")))
+    if choose is None:
+        # sorted once, then halved: a look-up in a map goes through all of its keys
+        known = lambda e, keys: meet(lambda f: lookup(keys, e, f["finding_id"])["value"])
+        met = let(F.array_sort(F.map_entries("decisions")), lambda e: let(F.transform(e, lambda x: x["key"]), lambda keys: known(e, keys)))
+    else:
+        met = meet(choose)
     # one projection each, so that what is used several times is computed once
-    rows = rows.withColumn("met", F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in fields], choose(f).alias("d"))))
+    rows = rows.withColumn("met", met)
     judged = F.transform(
         "met",
         lambda x: F.struct(

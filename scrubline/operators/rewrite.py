@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions import scalars as S
+from scrubline.functions.folds import cut, let, lookup, ranks
 from scrubline.sources.scratch import settle
 from scrubline.sources.vault import Secret
 
@@ -26,9 +27,14 @@ def label(token_label: Column, kind: Column) -> Column:
 
 def splice(text: Column, parts: Column) -> Column:
     """A text with sorted disjoint parts (start, end, new_value) put in."""
-    before = lambda i: F.coalesce(F.get(parts, i - 1)["end"], F.lit(0))
-    pieces = F.transform(parts, lambda x, i: F.concat(F.substr(text, before(i) + 1, x["start"] - before(i)), x["new_value"]))
-    return F.concat(F.array_join(pieces, ""), F.substr(text, before(F.size(parts)) + 1, F.length(text)))
+
+    def whole(p: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(p, i - 1)["end"], F.lit(0))
+        # one more, which stands for the end of the text
+        closed = F.concat(p, F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("new_value"))))
+        return F.array_join(let(closed, lambda c: cut(text, c, lambda x, i, part: F.concat(part(before(i), x["start"]), x["new_value"]))), "")
+
+    return let(parts, whole)
 
 
 def rewritten(reviewed: DataFrame, keep: list[str] | tuple[str, ...] = (), ordinals: str | None = None) -> DataFrame:
@@ -40,17 +46,9 @@ def rewritten(reviewed: DataFrame, keep: list[str] | tuple[str, ...] = (), ordin
     with a number for each judged finding.
     """
     rows = reviewed.withColumn("named", F.transform("judged", lambda x: F.when(x["action"] == "tokenize", label(x["token_label"], x["type"]))))
-    places = F.filter(F.zip_with("named", "judged", lambda name, x: F.struct(name.alias("label"), x["start"].alias("start"))), lambda p: p["label"].isNotNull())
-    rows = rows.withColumn("places", F.array_sort(places))
-    rows = rows.withColumn("labels", F.transform("places", lambda p: p["label"]))
-
-    def number(x: Column, name: Column, i: Column) -> Column:
-        if ordinals is not None:
-            return F.get(ordinals, i)
-        return F.array_position("places", F.struct(name.alias("label"), x["start"].alias("start"))) - F.array_position("labels", name) + 1
-
-    of = F.transform("judged", lambda x, i: F.struct(x["value"].alias("value"), x["start"].alias("start"), F.get("named", i).alias("name"), i.alias("i")))
-    rows = rows.withColumn("token_of", F.transform(of, lambda x: F.when(x["name"].isNotNull(), S.token(x["name"], number(x, x["name"], x["i"])))))
+    numbers = ranks(F.col("named"), F.transform("judged", lambda x: x["start"])) if ordinals is None else F.col(ordinals)
+    token = lambda r: F.transform("named", lambda name, i: F.when(name.isNotNull(), S.token(name, F.get(r, i))))
+    rows = rows.withColumn("token_of", let(numbers, token))
 
     def new_value(x: Column, token: Column) -> Column:
         return F.when(x["action"] == "delete", REMOVED).when(x["action"] == "tokenize", token).when(x["action"] == "generalize", S.trim(x["replacement"])).otherwise(x["value"])
@@ -75,7 +73,7 @@ def rewritten(reviewed: DataFrame, keep: list[str] | tuple[str, ...] = (), ordin
         count(F.filter("judged", lambda x: x["action"] == "keep")).alias("residual_risk"),
         F.when(F.col("status") == "unresolved", F.col("n_open")).otherwise(F.lit(0)).cast("long").alias("n_unresolved"),
         count("judged").alias("n_public"),
-        count("places").alias("n_tokens"),
+        count(F.filter("named", lambda name: name.isNotNull())).alias("n_tokens"),
         F.when(ok, public).otherwise(none(public)).alias("public"),
         F.when(ok, entries).otherwise(none(entries)).alias("tokens"),
     )
@@ -135,7 +133,7 @@ def with_numbers(verdicts: DataFrame, secret: Secret, registry=None) -> DataFram
     """
     name = lambda x: F.when(x["action"] == "tokenize", label(x["token_label"], x["type"]))
     used = F.transform("judged", lambda x, i: F.struct(name(x).alias("label"), F.get("more", i).alias("p")))
-    used = F.array_distinct(F.filter(F.transform(used, lambda x: F.struct(x["label"].alias("label"), x["p"]["blind"].alias("blind"), x["p"]["bucket"].alias("bucket"), x["p"]["sealed"].alias("sealed"))), lambda x: x["label"].isNotNull()))
+    used = F.filter(F.transform(used, lambda x: F.struct(x["label"].alias("label"), x["p"]["blind"].alias("blind"), x["p"]["bucket"].alias("bucket"), x["p"]["sealed"].alias("sealed"))), lambda x: x["label"].isNotNull())
     places = verdicts.where("not repeated").select("source_id", F.explode(used).alias("x")).select("source_id", "x.*")
     # of one value in a source one place is enough
     places = settle(places.groupBy("source_id", "label", "blind", "bucket").agg(F.first("sealed").alias("sealed")))
@@ -150,10 +148,11 @@ def with_numbers(verdicts: DataFrame, secret: Secret, registry=None) -> DataFram
     marked = places.select("source_id", "label", "blind").join(F.broadcast(hot), ["label", "blind"], "left")
     rest = marked.where("ordinal is null").drop("ordinal").join(known.select("label", "blind", "ordinal"), ["label", "blind"])
     entry = F.struct(F.struct("label", "blind").alias("key"), F.col("ordinal").alias("value"))
-    maps = marked.where("ordinal is not null").unionByName(rest).groupBy("source_id").agg(F.map_from_entries(F.collect_list(entry)).alias("ordinals"))
-    rows = verdicts.join(maps, "source_id", "left")
-    number = lambda x, i: F.col("ordinals")[F.struct(name(x).alias("label"), F.get("more", i)["blind"].alias("blind"))]
-    return rows.withColumn("numbers", F.transform("judged", number)).drop("more", "ordinals")
+    lists = marked.where("ordinal is not null").unionByName(rest).groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("ordinals"))
+    key = lambda x, p: F.struct(name(x).alias("label"), p["blind"].alias("blind"))
+    number = lambda keys, known: F.zip_with("judged", "more", lambda x, p: lookup(keys, known, key(x, p))["value"])
+    numbers = let(F.col("ordinals"), lambda known: let(F.transform(known, lambda e: e["key"]), lambda keys: number(keys, known)))
+    return verdicts.join(lists, "source_id", "left").withColumn("numbers", numbers).drop("more", "ordinals")
 
 
 def public_findings(result: DataFrame) -> DataFrame:
@@ -172,9 +171,16 @@ def rehydrate(text: Column, entries: Column) -> Column:
     """Puts originals (array of token, original) back in place of their tokens.
 
     The text is cut at its tokens once, and each token looked up, so an original that looks like a
-    token is not replaced again; tokens without an entry stay.
+    token is not replaced again; tokens without an entry stay. Of several entries of one token the one
+    with the smallest original counts.
     """
     pattern = "【[^【】]*-[0-9]+】"
-    back = F.map_from_entries(F.array_distinct(F.transform(entries, lambda e: F.struct(e["token"].alias("key"), e["original"].alias("value")))))
+    known = F.array_sort(F.transform(entries, lambda e: F.struct(e["token"].alias("token"), e["original"].alias("original"))))
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"))
-    return F.array_join(F.transform(steps, lambda s: F.concat(s["gap"], F.coalesce(back[s["token"]], s["token"], F.lit("")))), "")
+
+    def put_back(e: Column) -> Column:
+        tokens, originals = F.transform(e, lambda x: x["token"]), F.transform(e, lambda x: x["original"])
+        back = lambda k, v: F.transform(steps, lambda s: F.concat(s["gap"], F.coalesce(lookup(k, v, s["token"]), s["token"], F.lit(""))))
+        return let(tokens, lambda k: let(originals, lambda v: back(k, v)))
+
+    return F.array_join(let(known, put_back), "")
