@@ -151,3 +151,26 @@ def test_cheap_tests_hold_of_every_match(spark):
         got = rows.select(F.col("t").rlike(d.pattern).alias("m"), d.may_match(F.col("t")).alias("g"))
         assert got.where("m and not g").count() == 0
     assert rows.where(DETECTORS[3].may_match(F.col("t"))).count() >= 11
+
+
+def test_texts_that_hold_the_marks(spark):
+    texts = ["﷐ a@b.co ﷑﷑﷐", "password=abc﷐﷑defgh sk-" + A20 + "﷑", "﷑﷐﷑" * 3 + "0912345678", "﷐ba﷐aa"]
+    for text, got in zip(texts, run(spark, texts, ("ba", "﷐a"))):
+        assert [(f["start"], f["end"]) for f in got] == oracle(text, ("ba", "﷐a"))
+        assert all(f["value"] == text[f["start"] : f["end"]] for f in got)
+
+
+def test_empty_matches_leave_the_places_of_others(spark):
+    from scrubline.operators.catalog import Detector
+    from scrubline.operators.detect import matches
+
+    texts = ["a1", "12", "é12漢345", "﷐3﷑﷑4", "", "none"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", matches(F.col("t"), Detector("digits", "digits", "low", "[0-9]*", ""), 0).alias("m")).orderBy("i").collect()
+    assert [[(m["start"], m["value"]) for m in r["m"]] for r in got] == [[(m.start(), m.group()) for m in re.finditer("[0-9]+", t)] for t in texts]
+
+
+def test_a_text_is_scanned_once_by_a_detector(spark):
+    """Each pattern stands in one expression that goes over the text, and no copy in lower case is made."""
+    plan = spark.createDataFrame([("x",)], "t string").select(detect(F.col("t")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert "lower(" not in plan and plan.count("ccess[_-]?token)|(?<=c)") == 1
