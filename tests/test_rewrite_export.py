@@ -265,3 +265,24 @@ def test_lint_looks_at_source_files_only(spark):
     text = "fetch(u)"
     files = spark.createDataFrame([(p, text) for p in ("a.ts", "b.mjs", "c.md", "d.tsx", "rules.js", "ts")], "path string, text string")
     assert sorted(v["path"] for v in lint.violations(files, exempt=("rules.js",)).collect()) == ["a.ts", "b.mjs"]
+
+
+def test_archives_are_handed_on_in_small_batches():
+    """However many rows come in at once, a worker holds a few archives only."""
+    import pyarrow as pa
+
+    from scrubline.sources import archive
+
+    schema, held = pa.schema([("n", pa.int64())]), []
+
+    def rows():
+        for i in range(1000):
+            held.append(i)
+            yield (i,), 1 << 20
+
+    sizes = []
+    for batch in archive._by_size(schema, rows()):
+        sizes.append(batch.num_rows)
+        assert len(held) == sum(sizes)
+    assert sum(sizes) == 1000 and max(sizes) == archive.OUT_BYTES >> 20
+    assert [b.num_rows for b in archive._by_size(schema, (((i,), 0) for i in range(archive.OUT_ROWS + 1)))] == [archive.OUT_ROWS, 1]
