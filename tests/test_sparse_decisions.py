@@ -162,3 +162,12 @@ def test_two_writers_of_one_version(spark, tmp_path):
 def test_a_short_secret_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         Registry(spark, str(tmp_path), b"short")
+
+
+def test_decisions_made_from_the_hits_need_no_detection_of_their_own(spark):
+    """Both ways of giving decisions rewrite the same."""
+    none = F.lit(None).cast("string")
+    made = lambda rows: rows.where("type = 'email'").select("source_id", F.lit(1).alias("seq"), "finding_id", F.lit("tokenize").alias("action"), none.alias("token_label"), none.alias("replacement"), none.alias("reason"))
+    d = table(spark, 60)
+    one, two = (sorted(map(repr, W.sanitize(d, x).select("source_id", "status", "sanitized_text", "n_unresolved").collect())) for x in (made, made(findings(d, "source_id"))))
+    assert one == two and any("EMAIL-" in r for r in one)
