@@ -174,3 +174,19 @@ def test_a_text_is_scanned_once_by_a_detector(spark):
     """Each pattern stands in one expression that goes over the text, and no copy in lower case is made."""
     plan = spark.createDataFrame([("x",)], "t string").select(detect(F.col("t")).alias("f"))._jdf.queryExecution().analyzed().toString()
     assert "lower(" not in plan and plan.count("ccess[_-]?token)|(?<=c)") == 1
+
+
+def test_the_common_scan_finds_what_each_detector_finds(spark):
+    """All detectors in one scan over Arrow batches, by the patterns that the expressions of single detectors take; broken UTF-8 counts as U+FFFD."""
+    from scrubline.operators.catalog import DETECTORS
+    from scrubline.operators.detect import candidates, matches
+
+    texts = [t for t, _, _ in GOLDEN.values()] + ["x᠎password = abcdefgh tail", "KPI_KEY=abcdefgh apiſkey=abcdefgh", "-----BEGIN PRIVATE KEY-----\U0001f600-----END PRIVATE KEY-----", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    broken = spark.range(1).select(F.lit(99).alias("i"), F.concat(F.lit("a@b.co "), F.unhex(F.lit("E6BC")).cast("string"), F.lit(" sk-" + A20)).alias("t"))
+    both = rows.unionByName(broken).select("i", candidates(F.col("t")).alias("one"), *[matches(F.col("t"), d, k).alias(f"m{k}") for k, d in enumerate(DETECTORS)])
+    for r in both.collect():
+        got = sorted((x["ord"], x["start"], -x["neg_end"], x["start16"], x["value"]) for x in r["one"])
+        assert got == sorted((x["ord"], x["start"], -x["neg_end"], x["start16"], x["value"]) for k in range(len(DETECTORS)) for x in r[f"m{k}"] or []), r["i"]
+    plan = rows.select(detect(F.col("t"), ("ba", "aa")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan
